@@ -124,8 +124,8 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     return _spanning(both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both), ids)
 
 
-def confirmed_edges(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges that span every link of every list, from blocks of at most 2 * BLOCK members each."""
+def confirmed_edges(lists: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
+    """(a, b) edges that span every link of every list, from blocks of about 2 * BLOCK members at most; ``kind`` is how a set's bytes are read."""
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
     met = lists.withColumns({"parts": parts, "own": own})
@@ -134,7 +134,7 @@ def confirmed_edges(lists: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        got = linked(pdf["id"].to_numpy(np.int64), [np.frombuffer(s, np.uint64) for s in pdf["s"]], percent) if len(pdf) > 1 else []
+        got = linked(pdf["id"].to_numpy(np.int64), [np.frombuffer(s, kind) for s in pdf["s"]], percent) if len(pdf) > 1 else []
         return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
     return met.join(sets, "id").groupBy("block").applyInPandas(confirm, "a long, b long")
