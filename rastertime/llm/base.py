@@ -75,3 +75,23 @@ def ordered_rank(df: DataFrame, groups: list[str], order: list[str], name: str)
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_{g}_of"))
     return placed.join(right, same).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_part", *right.columns)
+
+
+def ranges(rows: DataFrame, key: str) -> tuple[Column, int]:
+    """The number of the range of a long column that a row falls in, and how many ranges of about equal rows there are.
+
+    Only the bounds, fewer than the shuffle partitions, pass through the driver.
+    """
+    parts = partitions(rows.sparkSession)
+    if parts < 2:
+        return F.lit(0), 1
+    cut = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    cuts = sorted(set(cut))
+    if not cuts:
+        return F.lit(0), 1
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key))), len(cuts) + 1
+
+
+def ordering_key(column: str) -> Column:
+    """An id as a long that sorts nulls first."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))

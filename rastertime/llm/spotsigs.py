@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import materialise, partitions
+from rastertime.llm.base import materialise, ordering_key, ranges
 from rastertime.llm.components import components
 from rastertime.llm.minhash_join import confirmed_edges
 
@@ -105,12 +105,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     Columns: pid, extra (1 for the borrowed row), key, text; sorted in each partition. A null key comes first, ties are
     ordered by a hash of the text. Only the range bounds, one per partition, pass through the driver.
     """
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.col(key).cast("long").alias(key), text)
-    parts = partitions(docs.sparkSession)
+    docs = docs.select(ordering_key(key).alias("key"), F.col(key).cast("long").alias(key), text)
     ids = docs.select("key")
-    cut = ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cut)) if parts > 1 else []
-    pid = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
+    pid, count = ranges(ids, "key")
     first = ids.groupBy(pid.alias("pid")).agg(F.min("key").alias("key"))
     after = Window.orderBy("pid")  # a row per range
     lent = first.select("pid", F.coalesce(F.lead("key").over(after), F.min("key").over(Window.partitionBy())).alias("lent"))
@@ -119,7 +116,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     own = F.array(F.struct(F.col("pid").cast("int").alias("pid"), F.lit(0).alias("extra")))
     borrowed = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda p: F.struct(p.cast("int").alias("pid"), F.lit(1).alias("extra")))
     rows = rows.select("key", key, text, F.explode(F.concat(own, borrowed)).alias("at")).select("at.pid", "at.extra", "key", key, text)
-    return rows.repartitionById(len(cuts) + 1, F.col("pid")).sortWithinPartitions("pid", "extra", "key", F.xxhash64(text))
+    return rows.repartitionById(count, F.col("pid")).sortWithinPartitions("pid", "extra", "key", F.xxhash64(text))
 
 
 def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
