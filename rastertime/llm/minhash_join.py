@@ -112,7 +112,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[
     col = (np.cumsum(df > 1) - 1)[at[keep]]
     row = row[keep]
     both = np.zeros((n, n), np.float32)
-    width = max(1, 8_000_000 // n)
+    width = min(max(1, 8_000_000 // n), max(1, int((df > 1).sum())))
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     for start in range(0, int((df > 1).sum()), width):
