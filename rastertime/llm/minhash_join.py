@@ -162,3 +162,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, one row per doc_id; columns stay as they are.
+
+    Texts without words are alone and stay. Rows with a null doc_id can't be told apart by it, and stay. Only ids that
+    occur more than once go through an aggregate of their rows.
+    """
+    groups = near_duplicates(docs.where("doc_id IS NOT NULL"), percent, n)
+    kept = materialise(groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_times")))
+    rows = docs.join(kept.where("_times = 1"), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    again = kept.where("_times > 1")
+    if not again.isEmpty():
+        more = docs.join(again, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+        one = more.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+        rows = rows.unionByName(one.select("_row.*"))
+    return rows.unionByName(docs.where("doc_id IS NULL"))

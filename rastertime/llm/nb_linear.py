@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rastertime.llm.text import held_out, labelled_sample
@@ -109,4 +110,16 @@ def score(docs: DataFrame, model: NBLinear, cut: float = 0.3, text: str = "text"
     return docs.mapInPandas(run, docs.selectExpr("*", "0D AS score", "0 AS predicted").schema)
 
 
-__all__ = ["NBLinear", "fit", "held_out", "ngrams", "score", "train"]
+def keep_below(docs: DataFrame, model: NBLinear, cut: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows that score below ``cut``, with their columns as they are; null and empty texts score at the bias."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for batch in batches:
+            yield batch.filter(pa.array([m.score(t or "") < cut for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+__all__ = ["NBLinear", "fit", "held_out", "keep_below", "ngrams", "score", "train"]
