@@ -6,10 +6,11 @@
    after a count that sums before the shuffle. A class with fewer than M shared values cannot reach M collisions.
 3. Prefix: of its c shared values a class keeps the c - M + 1 that fewest classes share; two classes with M collisions
    meet in at least one of them. The longer lists are skipped, never merged.
-4. Lists with the same members are one list. Members meet in blocks of bounded size (a longer list in pairs of blocks),
-   where collisions, sizes and then the full sets are compared as matrices inside the task. A block returns edges that
-   span its links, fewer than it has members, so a large group never puts out its pairs.
-5. Components of the edges are the groups.
+4. Stars: each list's members meet its smallest and then its largest id alone, which is linear in the postings. Pairs
+   with M collisions of their signatures are confirmed on full sets; the links found join components.
+5. Rest: in lists whose members are still in several components, the signatures of all members meet in bounded blocks,
+   and pairs from different components with M collisions are confirmed. A pair within a component needs no test.
+6. Components of all confirmed links are the groups.
 
 A pair at similarity 0.85 collides in M = 13 or more of K = 32 coordinates but for a chance under 1e-8, and a link
 between two classes is lost only if no other path joins them.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastertime.llm.base import materialise
@@ -29,8 +30,8 @@ from rastertime.llm.components import components
 from rastertime.llm.text import WordHashes, mixed, shingle_set, words
 
 K, M = 32, 13
-#: Members of a list that meet in one block.
-BLOCK = 256
+#: Members that meet in one block, by signatures and by full sets.
+SIGNATURES, SETS = 1024, 256
 _MULTIPLY = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -91,53 +92,85 @@ def posting_lists(classes: DataFrame) -> DataFrame:
     return kept.join(one.select("p.at", "p.value", "n"), ["at", "value"]).select(F.xxhash64("at", "value").alias("list"), "n", "id")
 
 
-def _spanning(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of a symmetric link matrix, each from a member to the smallest id it reaches."""
-    low = ids.copy()
-    while True:
-        new = np.minimum(low, np.where(links, low[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == low).all():
-            return [(int(a), int(b)) for a, b in zip(ids, low) if a != b]
-        low = new
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links |A and B| * 100 >= percent * |A or B| among a block's members, on their full sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    n = len(ids)
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    df = np.bincount(at)
-    row = np.repeat(np.arange(n), sizes)
-    keep = df[at] > 1
-    col = (np.cumsum(df > 1) - 1)[at[keep]]
-    row = row[keep]
-    both = np.zeros((n, n), np.float32)
-    width = min(max(1, 8_000_000 // n), max(1, int((df > 1).sum())))
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for start in range(0, int((df > 1).sum()), width):
-        a, b = np.searchsorted(col, [start, start + width])
-        m = np.zeros((n, width), np.float32)
-        m[row[a:b], col[a:b] - start] = 1
-        both += m @ m.T
-    both = both.astype(np.int64)
-    return _spanning(both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both), ids)
-
-
-def confirmed_edges(lists: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
-    """(a, b) edges that span every link of every list, from blocks of about 2 * BLOCK members at most; ``kind`` is how a set's bytes are read."""
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+def collisions(a: Column, b: Column) -> Column:
+    """In how many coordinates two signatures agree."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def star_pairs(lists: DataFrame, signed: DataFrame, last: bool = False) -> DataFrame:
+    """(a, b): each list's smallest (or last) id with every other member of the list that it collides with M times."""
+    hub = lists.groupBy("list").agg((F.max if last else F.min)("id").alias("a"))
+    pairs = lists.join(hub, "list").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    hubs = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    pairs = pairs.join(hubs, "a").join(signed.select(F.col("id").alias("b"), "sig"), "b")
+    return pairs.where(collisions(F.col("sig_a"), F.col("sig")) >= M).select("a", "b")
+
+
+def unsettled(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists whose members are in more than one component, with the component of each member and the list's new n."""
+    rows = lists.select("list", "id").join(groups, "id", "left").select("list", "id", F.coalesce("component", "id").alias("component"))
+    open_ = rows.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    return rows.join(open_.select("list", "n"), "list")
+
+
+def block_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a list's members that are in different components and collide M times."""
+    parts = F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
     met = lists.withColumns({"parts": parts, "own": own})
-    met = met.select("list", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
-    met = met.select(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "id")
+    met = met.select("list", "id", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
+    met = met.select(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "id", "component")
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        got = linked(pdf["id"].to_numpy(np.int64), [np.frombuffer(s, kind) for s in pdf["s"]], percent) if len(pdf) > 1 else []
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
+        ids, of = pdf["id"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+        sig = np.stack(pdf["sig"].to_numpy())
+        both = np.zeros((len(ids), len(ids)), np.int8)
+        for k in range(K):
+            both += sig[:, k][:, None] == sig[:, k][None, :]
+        i, j = np.nonzero((both >= M) & (of[:, None] != of[None, :]) & (ids[:, None] < ids[None, :]))
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
-    return met.join(sets, "id").groupBy("block").applyInPandas(confirm, "a long, b long")
+    return met.join(signed.select("id", "sig"), "id").groupBy("block").applyInPandas(meet, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
+    """The pairs (a, b) with |A and B| * 100 >= percent * |A or B|; ``kind`` is how a set's bytes are read.
+
+    An id a and at most about SETS of its partners share a block, so a large star is dealt out over many tasks.
+    """
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    dealt = pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit(3)), F.ceil(F.col("n") / F.lit(SETS))))
+    hubs = dealt.select("a", "part", F.col("a").alias("id")).distinct()
+    rows = dealt.select("a", "part", F.col("b").alias("id")).unionByName(hubs)
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        hub = int(pdf["a"].iloc[0])
+        sets = {int(i): np.frombuffer(s, kind) for i, s in zip(pdf["id"], pdf["s"])}
+        mine, out = sets.get(hub), []
+        for i, other in sets.items():
+            if i == hub or mine is None or min(len(mine), len(other)) * 100 < percent * max(len(mine), len(other)):
+                continue
+            at = np.searchsorted(mine, other)
+            both = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
+            if both * 100 >= percent * (len(mine) + len(other) - both):
+                out.append((hub, i))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.join(sets, "id").groupBy("a", "part").applyInPandas(confirm, "a long, b long")
+
+
+def linked_components(lists: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the classes that any list joins to another."""
+    links, groups = None, None
+    for turn in ("first", "last", "rest"):
+        if groups is not None:
+            lists = materialise(unsettled(lists, groups))
+        pairs = block_pairs(lists, signed) if turn == "rest" else star_pairs(lists, signed, turn == "last")
+        found = materialise(confirmed(materialise(pairs), sets, percent))
+        links = found if links is None else links.unionByName(found)
+        groups = components(links)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame:
@@ -156,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
     lists = materialise(posting_lists(reps))
     members = lists.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(shingle_sets(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
-    groups = components(confirmed_edges(lists, sets, percent))
+    groups = linked_components(lists, reps, sets, percent)
     of = reps.join(groups, "id", "left").select("class_hi", "class_lo", F.coalesce("component", "id").alias("component"))
     out = per_doc.drop("sig").join(of, ["class_hi", "class_lo"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
