@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rastertime.llm.base import materialise
 from rastertime.llm.text import held_out, labelled_sample
@@ -45,51 +46,63 @@ class NBLinear:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def log_ratios(by: list[np.ndarray], rows: tuple[int, int], smoothing: float = 1.0, least: int = 3, certain: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratio of each bucket from its rows with label 0 and 1, and which buckets get a weight.
+def log_ratios(found: DataFrame, smoothing: float = 1.0, least: int = 3, certain: float = 3.0) -> DataFrame:
+    """(bucket, ratio): log-count ratios of the buckets in rows (label, f) of features, those that get a weight.
 
-    A bucket needs ``least`` rows and a ratio at least ``certain`` of its standard errors away from 0.
+    A bucket needs ``least`` rows and a ratio at least ``certain`` of its standard errors away from 0. Tasks count in
+    fixed arrays, Spark adds up.
     """
-    p, q = smoothing + by[1], smoothing + by[0]
-    ratio = np.log((p / (smoothing * 2 + rows[1])) / (q / (smoothing * 2 + rows[0])))
-    return ratio, (by[0] + by[1] >= least) & (np.abs(ratio) >= certain * np.sqrt(1 / p + 1 / q))
 
-
-def fit(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float = 0.005, rounds: int = 200) -> NBLinear:
-    """L2-penalised logistic regression on presence times ``ratio``; ``features`` are the used buckets of each row.
-
-    ``penalty`` is per row. With one class alone, or no rows, every score is the smoothed share of label 1.
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)]
+        for pdf in batches:
+            for label, f in zip(pdf["label"], pdf["f"]):
+                by[label][np.frombuffer(f, np.int32)] += 1
+        ids = np.flatnonzero(by[0] + by[1])
+        for i in range(0, len(ids), 200_000):
+            k = ids[i : i + 200_000]
+            yield pd.DataFrame({"bucket": k.astype(np.int32), "n0": by[0][k].astype(np.int64), "n1": by[1][k].astype(np.int64)})
+
+    rows = {r.label: r.n for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = found.select("label", "f").coalesce(8).mapInPandas(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    p, q = F.col("n1") + F.lit(smoothing), F.col("n0") + F.lit(smoothing)
+    ratio = F.log(p / F.lit(smoothing * 2 + rows.get(1, 0))) - F.log(q / F.lit(smoothing * 2 + rows.get(0, 0)))
+    counted = counted.where(F.col("n0") + F.col("n1") >= least).select("bucket", ratio.alias("ratio"), F.sqrt(1 / p + 1 / q).alias("error"))
+    return counted.where(F.abs("ratio") >= F.col("error") * certain).select("bucket", "ratio")
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float = 0.005, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of L2-penalised logistic regression on presence times ``ratio``.
+
+    ``features`` are numbers of places in ``ratio``, ``penalty`` is per row. With one class alone, or no rows, all
+    weights are 0 and the bias is the smoothed share of label 1. Entries are taken in slices, which keeps memory small.
     """
-    n, ones = len(labels), int(labels.sum())
-    prior = float(np.log((ones + 0.5) / (n - ones + 0.5)))
-    weights = np.zeros(BUCKETS, np.float32)
-    if ones == 0 or ones == n:
-        return NBLinear(weights, prior)
+    n, ones, k = len(labels), int(labels.sum()), len(ratio)
+    w, b = np.zeros(k), float(np.log((ones + 0.5) / (n - ones + 0.5)))
+    if ones == 0 or ones == n or not k:
+        return w, b
     rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
-    ids, cols = np.unique(np.concatenate(features), return_inverse=True)
-    r = ratio[ids]
-    x = r[cols].astype(np.float32)
-    y = labels.astype(float)
-    w, b = np.zeros(len(ids)), prior
-    g2, gb2 = np.zeros(len(ids)), 0.0
+    cols = np.concatenate(features).astype(np.int32, copy=False)
+    slices = [slice(i, i + 500_000) for i in range(0, len(cols), 500_000)]
+    g2, gb2 = np.zeros(k), 0.0
     for _ in range(rounds):  # full-batch AdaGrad
-        z = b + np.bincount(rows, weights=x * w[cols], minlength=n)
-        d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.bincount(cols, weights=x * d[rows], minlength=len(ids)) + penalty * n * w
+        v = ratio * w
+        z = b + sum(np.bincount(rows[s], weights=v[cols[s]], minlength=n) for s in slices)
+        d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
+        g = ratio * sum(np.bincount(cols[s], weights=d[rows[s]], minlength=k) for s in slices) + penalty * n * w
         gb = float(d.sum())
         g2 += g * g
         gb2 += gb * gb
         w -= 0.05 * g / np.sqrt(g2 + 1e-9)
         b -= 0.05 * gb / np.sqrt(gb2 + 1e-9)
-    weights[ids] = (w * r).astype(np.float32)
-    return NBLinear(weights, b)
+    return w * ratio, b
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> NBLinear:
     """Fits on at most ``rows`` labelled documents outside the held-out fold.
 
-    Tasks write down hashed features, not texts. The driver passes over them twice, a partition at a time: to count
-    documents by bucket and label in fixed arrays, then to take those buckets that get a weight.
+    Tasks write down hashed features, not texts. Spark counts documents by bucket and label; only those buckets that get
+    a weight, and the rows' numbers among them, come to the driver.
     """
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,71 +110,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "f": [ngrams(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
 
     found = materialise(labelled_sample(docs, labels, label, rows).mapInPandas(features, "doc_id long, label int, f binary"))
-    by, seen = [np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)], [0, 0]
-    for x in found.toLocalIterator():
-        by[x.label][np.frombuffer(x.f, np.int32)] += 1
-        seen[x.label] += 1
-    ratio, use = log_ratios(by, tuple(seen))
-    kept = []
-    for x in found.toLocalIterator():
-        f = np.frombuffer(x.f, np.int32)
-        kept.append((x.doc_id, x.label, f[use[f]]))
-    kept.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
-    return fit([f for _, _, f in kept], np.array([y for _, y, _ in kept], int), ratio)
-
-
-def score(self, text: str) -> float:
-        z = self.bias + float(self.weights[ngrams(text)].sum(dtype=np.float64))
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-
-
-def fit(features: list[np.ndarray], labels: np.ndarray, smoothing: float = 1.0, least_share: float = 1 / 150, penalty: float = 0.02, rounds: int = 120) -> NBLinear:
-    """Log-count ratios r of presence by class, then L2-penalised logistic regression on presence times r.
+    chosen = log_ratios(found).toArrow().sort_by("bucket")
+    ids, ratio = chosen["bucket"].to_numpy(), chosen["ratio"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(ids)
 
-    Buckets that fewer than 3 rows or ``least_share`` of the rows have, and those whose ratio says nothing, get no
-    weight. ``penalty`` is per row. With one class alone, or no rows, every score is the smoothed share of label 1.
-    """
-    n, ones = len(labels), int(labels.sum())
-    prior = float(np.log((ones + 0.5) / (n - ones + 0.5)))
-    weights = np.zeros(BUCKETS, np.float32)
-    if ones == 0 or ones == n:
-        return NBLinear(weights, prior)
-    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])
-    cols = np.concatenate(features)
-    by = [np.bincount(cols[labels[rows] == k], minlength=BUCKETS) for k in (0, 1)]
-    p, q = smoothing + by[1], smoothing + by[0]
-    ratio = np.log((p / (smoothing * 2 + ones)) / (q / (smoothing * 2 + n - ones)))
-    use = (by[0] + by[1] >= max(3, least_share * n)) & (np.abs(ratio) >= 0.35)
-    kept = use[cols]
-    rows, cols = rows[kept], cols[kept]
-    ids, cols = np.unique(cols, return_inverse=True)
-    r = ratio[ids]
-    x = r[cols].astype(np.float32)
-    y = labels.astype(float)
-    w, b = np.zeros(len(ids)), prior
-    g2, gb2 = np.zeros(len(ids)), 0.0
-    for _ in range(rounds):  # full-batch AdaGrad
-        z = b + np.bincount(rows, weights=x * w[cols], minlength=n)
-        d = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.bincount(cols, weights=x * d[rows], minlength=len(ids)) + penalty * n * w
-        gb = float(d.sum())
-        g2 += g * g
-        gb2 += gb * gb
-        w -= 0.05 * g / np.sqrt(g2 + 1e-9)
-        b -= 0.05 * gb / np.sqrt(gb2 + 1e-9)
-    weights[ids] = (w * r).astype(np.float32)
-    return NBLinear(weights, b)
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> NBLinear:
-    """Fits on at most ``rows`` labelled documents outside the held-out fold; tasks send hashed features, not texts."""
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = held.value
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "f": [ngrams(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
+            yield pdf.assign(f=[np.flatnonzero(np.isin(known, np.frombuffer(f, np.int32), assume_unique=True)).astype(np.int32).tobytes() for f in pdf["f"]])
 
-    got = labelled_sample(docs, labels, label, rows).mapInPandas(features, "label int, f binary").collect()
-    return fit([np.frombuffer(x.f, np.int32) for x in got], np.array([x.label for x in got], int))
+    got = found.mapInPandas(places, found.schema).toArrow()
+    kept = [(i, y, np.frombuffer(f, np.int32)) for i, y, f in zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["f"].to_pylist())]
+    kept.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
+    w, bias = fit([f for _, _, f in kept], np.array([y for _, y, _ in kept], float), ratio)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[ids] = w
+    return NBLinear(weights, bias)
 
 
 def score(docs: DataFrame, model: NBLinear, cut: float = 0.3, text: str = "text") -> DataFrame:
