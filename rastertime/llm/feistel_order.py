@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,7 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     total, starts = 0, {}
     for p in sorted(sizes):
         starts[p], total = total, total + sizes[p]
-    kind, source = f"<u{width}", "<u1" if encoder is None else "<u4"
+    kind, source = f"<u{width}", np.dtype("<u1" if encoder is None else "<u4")
     held = docs.sparkSession.sparkContext.broadcast(starts)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,23 +104,35 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
             for i in range(0, len(pdf), 200):
                 out = []
                 for p, doc_id, body in zip(pdf["pid"][i : i + 200], pdf["doc_id"][i : i + 200], pdf["body"][i : i + 200]):
-                    ids = np.append(np.frombuffer(body, source).astype(kind), np.array([end], kind))
-                    n = -(-len(ids) // length)
+                    n_ids = len(body) // source.itemsize + 1
+                    n = -(-n_ids // length)
                     first = at.setdefault(p, held.value[p])
                     at[p] = first + n
-                    full = np.full(n * length, pad, kind)
-                    full[: len(ids)] = ids
-                    slots = permuted(np.arange(first, first + n), total, seed)
-                    out += [(s, doc_id, j, min(length, len(ids) - j * length), full[j * length : (j + 1) * length].tobytes()) for j, s in enumerate(slots.tolist())]
-                made = pd.DataFrame(out, columns=["slot", "doc_id", "part", "n_tokens", "payload"])
+                    slots, step = permuted(np.arange(first, first + n), total, seed), length * source.itemsize
+                    out += [(s, doc_id, j, min(length, n_ids - j * length), body[j * step : (j + 1) * step]) for j, s in enumerate(slots.tolist())]
+                made = pd.DataFrame(out, columns=["slot", "doc_id", "part", "n_tokens", "body"])
                 yield made.astype({"doc_id": "Int64"})
 
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                full = np.full((part.num_rows, length), pad, kind)
+                for row, body, n in zip(full, part.column("body").to_pylist(), part.column("n_tokens").to_pylist()):
+                    ids = np.frombuffer(body, source)
+                    row[: len(ids)] = ids
+                    if n > len(ids):
+                        row[len(ids)] = end
+                cols = [part.column(c) for c in ("slot", "doc_id", "part", "n_tokens")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([r.tobytes() for r in full], pa.binary())], ["slot", "doc_id", "part", "n_tokens", "payload"])
+
     rows = rows.select(pid.alias("pid"), "key", "doc_id", "body").repartitionById(count, F.col("pid")).sortWithinPartitions("pid", "key", F.xxhash64("body"))
-    made = rows.select("pid", "doc_id", "body").mapInPandas(cut, "slot long, doc_id long, part long, n_tokens long, payload binary")
+    made = rows.select("pid", "doc_id", "body").mapInPandas(cut, "slot long, doc_id long, part long, n_tokens long, body binary")  # as it came, which shuffles half the bytes
     shard = F.expr(f"slot div {shard_rows}")
     shards = max(1, -(-total // shard_rows))
     parts = min(partitions(docs.sparkSession), shards)
-    made = made.withColumn("shard", shard).repartitionById(parts, (F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("slot")
+    dealt = made.repartitionById(parts, (shard * parts / shards).cast("int")).sortWithinPartitions("slot")
+    made = dealt.mapInArrow(lay, "slot long, doc_id long, part long, n_tokens long, payload binary").withColumn("shard", shard)
     offset = (F.col("slot") % shard_rows) * (length * width)
     return made.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "part", "n_tokens", "payload")
 
