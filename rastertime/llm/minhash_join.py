@@ -6,11 +6,13 @@
    after a count that sums before the shuffle. A class with fewer than M shared values cannot reach M collisions.
 3. Prefix: of its c shared values a class keeps the c - M + 1 that fewest classes share; two classes with M collisions
    meet in at least one of them. The longer lists are skipped, never merged.
-4. Stars: each list's members meet its smallest and then its largest id alone, which is linear in the postings. Pairs
-   with M collisions of their signatures are confirmed on full sets; the links found join components.
-5. Rest: in lists whose members are still in several components, the signatures of all members meet in bounded blocks,
-   and pairs from different components with M collisions are confirmed. A pair within a component needs no test.
-6. Components of all confirmed links are the groups.
+4. Peel: an id most of whose shingles no other listed id has cannot be linked, and leaves its lists.
+5. Stars: each list's members meet its smallest id alone, which is linear in the postings. Pairs with M collisions of
+   their signatures are confirmed on full sets; the links found join components.
+6. Rest: lists whose members are still in several components meet in blocks of bounded size, where full sets are
+   compared as matrices inside the task. A block returns edges between components, fewer than it has members, so a large
+   group never puts out its pairs. A pair within a component needs no test.
+7. Components of all confirmed links are the groups.
 
 A pair at similarity 0.85 collides in M = 13 or more of K = 32 coordinates but for a chance under 1e-8, and a link
 between two classes is lost only if no other path joins them.
@@ -25,13 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import materialise
+from rastertime.llm.base import attach, materialise
 from rastertime.llm.components import components
 from rastertime.llm.text import WordHashes, mixed, shingle_set, words
 
 K, M = 32, 13
-#: Members that meet in one block, by signatures and by full sets.
-SIGNATURES, SETS = 1024, 256
+#: Partners of a star's centre in one task, and members of a list on each side of a block.
+SETS, BLOCK = 256, 512
 _MULTIPLY = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mixed(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -97,9 +99,9 @@ def collisions(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def star_pairs(lists: DataFrame, signed: DataFrame, last: bool = False) -> DataFrame:
-    """(a, b): each list's smallest (or last) id with every other member of the list that it collides with M times."""
-    hub = lists.groupBy("list").agg((F.max if last else F.min)("id").alias("a"))
+def star_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): each list's smallest id with every other member of the list that it collides with M times."""
+    hub = lists.groupBy("list").agg(F.min("id").alias("a"))
     pairs = lists.join(hub, "list").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     hubs = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
     pairs = pairs.join(hubs, "a").join(signed.select(F.col("id").alias("b"), "sig"), "b")
@@ -113,9 +115,54 @@ def unsettled(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(open_.select("list", "n"), "list")
 
 
-def block_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a list's members that are in different components and collide M times."""
-    parts = F.ceil(F.col("n") / F.lit(SIGNATURES)).cast("int")
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The matrix of links |A and B| * 100 >= percent * |A or B| among full sets."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    links = np.zeros((len(sets), len(sets)), bool)
+    tokens, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(row[df[at] > 1], minlength=len(sets))
+    may = np.flatnonzero(shared * 100 >= percent * sizes)  # the others have too much that no set here shares
+    if len(may) < 2:
+        return links
+    place = np.full(len(sets), -1)
+    place[may] = np.arange(len(may))
+    keep = (place[row] >= 0) & (df[at] > 1)
+    row, (used, col) = place[row[keep]], np.unique(at[keep], return_inverse=True)
+    both = np.zeros((len(may), len(may)), np.float32)
+    width = max(1, 4_000_000 // len(may))
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    for start in range(0, len(used), width):
+        a, b = np.searchsorted(col, [start, start + width])
+        m = np.zeros((len(may), min(width, len(used) - start)), np.float32)
+        m[row[a:b], col[a:b] - start] = 1
+        both += m @ m.T
+    both, own = both.astype(np.int64), sizes[may]
+    links[np.ix_(may, may)] = both * 100 >= percent * (own[:, None] + own[None, :] - both)
+    return links
+
+
+def spanning(links: np.ndarray, of: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (a, b) between components ``of`` the members that join whatever the links join, fewer than there are members."""
+    names, at = np.unique(of, return_inverse=True)
+    low = np.arange(len(names))
+    i, j = np.nonzero(links & (at[:, None] != at[None, :]))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, at[i], low[at[j]])
+        new = new[new]
+        if (new == low).all():
+            return [(int(names[a]), int(names[b])) for a, b in enumerate(low) if a != b]
+        low = new
+
+
+def block_edges(lists: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
+    """(a, b): edges between components that span every link of every list, from blocks of about 2 * BLOCK members at most.
+
+    ``lists``: list, id, component, n. ``kind`` is how a set's bytes are read.
+    """
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
     met = lists.withColumns({"parts": parts, "own": own})
     met = met.select("list", "id", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
@@ -123,15 +170,11 @@ def block_pairs(lists: DataFrame, signed: DataFrame) -> DataFrame:
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id").sort_values("id")
-        ids, of = pdf["id"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
-        sig = np.stack(pdf["sig"].to_numpy())
-        both = np.zeros((len(ids), len(ids)), np.int8)
-        for k in range(K):
-            both += sig[:, k][:, None] == sig[:, k][None, :]
-        i, j = np.nonzero((both >= M) & (of[:, None] != of[None, :]) & (ids[:, None] < ids[None, :]))
-        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+        of = pdf["component"].to_numpy(np.int64)
+        got = spanning(linked([np.frombuffer(s, kind) for s in pdf["s"]], percent), of) if (of != of[0]).any() else []
+        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
 
-    return met.join(signed.select("id", "sig"), "id").groupBy("block").applyInPandas(meet, "a long, b long").distinct()
+    return met.join(sets, "id").groupBy("block").applyInPandas(meet, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
@@ -160,17 +203,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8"
     return rows.join(sets, "id").groupBy("a", "part").applyInPandas(confirm, "a long, b long")
 
 
+def peel(lists: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+    """The lists without the ids that no member can be linked to, and without lists that keep one member.
+
+    A link shares at least ``percent`` hundredths of either set, so an id is out if more of its set than the rest is in
+    no other member's set. Counts of shingles sum before the shuffle; each round may put more ids out.
+    """
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [np.frombuffer(s, "<i8") for s in pdf["s"]]
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in own]), "h": np.concatenate(own) if own else np.zeros(0, np.int64)})
+
+    sizes = sets.select("id", F.expr("octet_length(s) div 8").alias("size"))
+    for _ in range(rounds):
+        members = lists.select("id").distinct()
+        rows = sets.join(members, "id", "left_semi").mapInPandas(shingles, "id long, h long")
+        alone = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+        out = materialise(alone.join(sizes, "id").where(F.col("alone") * 100 > F.col("size") * (100 - percent)).select("id"))
+        if out.isEmpty():
+            return lists
+        left = lists.select("list", "id").join(out, "id", "left_anti")
+        n = left.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        lists = materialise(left.join(n, "list"))
+    return lists
+
+
 def linked_components(lists: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the classes that any list joins to another."""
-    links, groups = None, None
-    for turn in ("first", "last", "rest"):
-        if groups is not None:
-            lists = materialise(unsettled(lists, groups))
-        pairs = block_pairs(lists, signed) if turn == "rest" else star_pairs(lists, signed, turn == "last")
-        found = materialise(confirmed(materialise(pairs), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
-    return groups
+    lists = peel(lists, sets, percent)
+    links = materialise(confirmed(materialise(star_pairs(lists, signed)), sets, percent))
+    rest = materialise(unsettled(lists, components(links)))
+    return components(links.unionByName(materialise(block_edges(rest, sets, percent))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame:
@@ -187,8 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
     reps = has.groupBy("class_hi", "class_lo").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     reps = materialise(reps.where("id IS NOT NULL"))
     lists = materialise(posting_lists(reps))
-    members = lists.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
+    members = materialise(lists.select(F.col("id").alias("doc_id")).distinct())
+    sets = materialise(shingle_sets(attach(docs, members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), n))
     groups = linked_components(lists, reps, sets, percent)
     of = reps.join(groups, "id", "left").select("class_hi", "class_lo", F.coalesce("component", "id").alias("component"))
     out = per_doc.drop("sig").join(of, ["class_hi", "class_lo"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rastertime.llm.base import materialise, ordering_key, ranges
 from rastertime.llm.components import components
+from rastertime.llm.minhash_join import block_edges
 
 #: Common words of English, French, German and Spanish that anchor a chain.
 ANCHORS = frozenset(
@@ -30,8 +31,6 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 3
-#: Members of a list that meet in one block.
-BLOCK = 256
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -75,55 +74,6 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInPandas(run, docs.selectExpr("*", "'' AS fingerprint").schema)
 
 
-def _spanning(links: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of a symmetric link matrix, each from a member to the smallest id it reaches."""
-    low = ids.copy()
-    while True:
-        new = np.minimum(low, np.where(links, low[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (new == low).all():
-            return [(int(a), int(b)) for a, b in zip(ids, low) if a != b]
-        low = new
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links |A and B| * 100 >= percent * |A or B| among a block's members, on their full sets."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    n = len(ids)
-    tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
-    df = np.bincount(at)
-    row = np.repeat(np.arange(n), sizes)
-    keep = df[at] > 1
-    col = (np.cumsum(df > 1) - 1)[at[keep]]
-    row = row[keep]
-    both = np.zeros((n, n), np.float32)
-    width = min(max(1, 8_000_000 // n), max(1, int((df > 1).sum())))
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for start in range(0, int((df > 1).sum()), width):
-        a, b = np.searchsorted(col, [start, start + width])
-        m = np.zeros((n, width), np.float32)
-        m[row[a:b], col[a:b] - start] = 1
-        both += m @ m.T
-    both = both.astype(np.int64)
-    return _spanning(both * 100 >= percent * (sizes[:, None] + sizes[None, :] - both), ids)
-
-
-def confirmed_edges(lists: DataFrame, sets: DataFrame, percent: int, kind: str = "<u8") -> DataFrame:
-    """(a, b) edges that span every link of every list, from blocks of about 2 * BLOCK members at most; ``kind`` is how a set's bytes are read."""
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
-    met = lists.withColumns({"parts": parts, "own": own})
-    met = met.select("list", "id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
-    met = met.select(F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "id")
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        got = linked(pdf["id"].to_numpy(np.int64), [np.frombuffer(s, kind) for s in pdf["s"]], percent) if len(pdf) > 1 else []
-        return pd.DataFrame(got, columns=["a", "b"], dtype="int64")
-
-    return met.join(sets, "id").groupBy("block").applyInPandas(confirm, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, fingerprint, component_id): groups of texts whose fingerprints reach ``percent`` hundredths of likeness.
 
@@ -144,7 +94,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     posts = materialise(posts.select("id", F.xxhash64("length", "chain").alias("list")))
     lists = posts.join(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "list")
     sets = reps.select("id", F.unhex("fingerprint").alias("s"))
-    groups = components(confirmed_edges(lists, sets, percent, ">u4"))
+    groups = components(block_edges(lists.withColumn("component", F.col("id")), sets, percent, ">u4"))
     of = reps.join(groups, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     return per_doc.join(of, "class", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
