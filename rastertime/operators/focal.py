@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl
+from rastertime.sources.scratch import materialise
 
 
 def circle(radius: float) -> list[tuple[int, int]]:
@@ -175,7 +176,7 @@ def lee_filter(df: DataFrame, band: str, keys: list[str] = ()) -> DataFrame:
     return rows.select(*keys, "row", "col", (F.col("_mean") + blend * (v(0, 0) - F.col("_mean"))).alias(band))
 
 
-def components(df: DataFrame, value: str, eight: bool = False, checkpoint: bool = True) -> DataFrame:
+def components(df: DataFrame, value: str, eight: bool = False) -> DataFrame:
     """Adds patch, the smallest cell id of the connected cells of equal value.
 
     Rounds of the least label among linked neighbours, then of that label's own label, until none changes; labels thus
@@ -189,7 +190,7 @@ def components(df: DataFrame, value: str, eight: bool = False, checkpoint: bool
         step = rows.join(near, ["row", "col", value], "left").withColumn("low", F.least("patch", "low"))
         jump = step.select(F.col("id").alias("low"), F.col("low").alias("far"))
         step = step.join(jump, "low", "left").select("row", "col", value, "id", F.coalesce("far", "low").alias("new"), "patch")
-        step = step.checkpoint() if checkpoint else step
+        step = materialise(step)
         changed = not step.where("new <> patch").isEmpty()
         rows = step.select("row", "col", value, "id", F.col("new").alias("patch"))
         if not changed:

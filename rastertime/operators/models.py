@@ -231,11 +231,14 @@ def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability:
 
     def model(idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = 3 if len(idx) >= 24 else 2 if len(idx) >= 18 else 1
-        x = np.column_stack([np.ones(len(idx)), t[idx], wave(t[idx], h)[:, 1:]])
-        beta = np.linalg.lstsq(x * 1.0, v[idx], rcond=None)[0]
-        rmse = np.sqrt(((v[idx] - x @ beta) ** 2).sum(axis=0) / max(1, len(idx) - x.shape[1]))
+        drifts = t[idx[-1]] - t[idx[0]] >= 2  # a shorter record can't tell a trend from its noise
+        middle = t[idx].mean()
+        x = np.column_stack([np.ones(len(idx)), (t[idx] - middle) * drifts, wave(t[idx], h)[:, 1:]])
+        beta = np.linalg.lstsq(x, v[idx], rcond=None)[0]
+        rmse = np.sqrt(((v[idx] - x @ beta) ** 2).sum(axis=0) / max(1, len(idx) - x.shape[1] + (not drifts)))
         full = np.zeros((8, v.shape[1]))
         full[: len(beta)] = beta
+        full[0] -= full[1] * middle
         return full, np.maximum(rmse, 1e-6)
 
     def off(i: int, beta: np.ndarray, rmse: np.ndarray) -> np.ndarray:
@@ -250,7 +253,7 @@ def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability:
             break
         idx = list(range(start, end + 1))
         beta, rmse = model(np.array(idx))
-        broke, i, fitted = None, end + 1, len(idx)
+        broke, i = None, end + 1
         while i < n:
             ahead = range(i, min(i + least, n))
             far = [float((off(j, beta, rmse) ** 2).sum()) > limit for j in ahead]
@@ -259,9 +262,7 @@ def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability:
                 break
             if not far[0]:
                 idx.append(i)
-                if len(idx) >= 1.33 * fitted:
-                    beta, rmse = model(np.array(idx))
-                    fitted = len(idx)
+                beta, rmse = model(np.array(idx))
             i += 1
         beta, rmse = model(np.array(idx))
         jump = np.median([off(j, beta, rmse) * rmse for j in range(broke, broke + least)], axis=0) if broke else np.zeros(v.shape[1])

@@ -112,24 +112,12 @@ r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a
 @query("WITH RECURSIVE grid AS (SELECT s_suppkey // 10 AS row, s_suppkey % 10 AS col, s_acctbal AS z FROM supplier)," + PATCH.removeprefix("WITH RECURSIVE") + " SELECT row, col, v, count(*) OVER (PARTITION BY patch) AS n FROM c JOIN p USING (id)", obs=False)
 def patch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v"))
-    return L.patch_sizes(g, "v", checkpoint_ready(spark))
-
-
-def checkpoint_ready(spark: SparkSession) -> bool:
-    """Sets a checkpoint folder where none is set (as in tests); returns False, for four neighbours."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    elif not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rastertime-"))
-    return False
+    return L.patch_sizes(g, "v")
 
 
 @query()
 def sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches of four cells or fewer take the commonest value nearby. Iterative; tested on small grids."""
-    checkpoint_ready(spark)
     return L.sieve(grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v")), "v", 4)
 
 
