@@ -67,5 +67,5 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift of a moved copy of the grid against the grid, by tile."""
     g = grid(spark, sf_dir).select("row", "col", "z")
-    moved = g.select(F.lit(1).alias("image"), (F.col("row") + 2).alias("row"), (F.col("col") + 1).alias("col"), "z")
+    moved = g.select(F.lit(1).alias("image"), "row", (F.col("col") + 1).alias("col"), "z")
     return M.registration_offsets(moved, g, "z", tile=16)
