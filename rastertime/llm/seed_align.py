@@ -18,7 +18,8 @@ SEED_WORDS = 5
 #: A seed is rare if at most so many times the documents have it as have the item's median seed.
 RARE = 10
 MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
-LEAST = 0.8
+#: Share of an exact copy's score from which a stretch counts as a copy: about a third of its words may be others.
+LEAST = 0.6
 #: Items whose seeds and words are broadcast at once; a larger benchmark takes more passes.
 BLOCK_ITEMS = 20_000
 _WORD = re.compile(r"[^\W_]+")

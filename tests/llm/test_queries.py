@@ -166,9 +166,9 @@ def test_benchmark_copies_against_full_alignment(spark, duck, docs):
         if len(w) > 3000:
             continue
         for k, item in items:
-            if len(np.intersect1d(w, item)) * 2 >= len(np.unique(item)):
+            if len(np.intersect1d(w, item)) * 2 >= len(np.unique(item)):  # fewer can't score 0.6
                 s = align(w, item)[0] / len(item)
-                if s >= 0.8:
+                if s >= 0.6:
                     want[i, k] = s
     short = {i for i, t in docs if len(item_words(t or "")) <= 3000}
     assert {k for k in got if k[0] in short} == set(want)
