@@ -136,3 +136,12 @@ def to_natural(db: Column) -> Column:
 
 def to_db(x: Column) -> Column:
     return F.when(x > 0, F.log10(x) * 10)
+
+
+def scale_for_fit(x: Column, direction: int, factor: float = 1.0) -> Column:
+    """Turns a band so that loss goes up and makes it positive, as some models need."""
+    return (x * dbl(-direction) + dbl(1)) * dbl(factor)
+
+
+def unscale_fit(x: Column, direction: int, factor: float = 1.0) -> Column:
+    return (x / dbl(factor) - dbl(1)) * dbl(-direction)

@@ -70,3 +70,17 @@ def changes(segs: Column, probability: float = 1.0) -> dict[str, Column]:
         newest = F.get(F.reverse(F.array_sort(F.transform(own, lambda s: F.struct(s["tBreak"].alias("k"), s["mag"].alias("mag"))))), F.lit(0))
         out |= {f"newest_{kind}_year": newest["k"], f"newest_{kind}_mag": newest["mag"], f"largest_{kind}_year": largest["k"], f"largest_{kind}_mag": largest["mag"]}
     return out
+
+
+def annual_segments(df: DataFrame, segs: str, first: int, last: int, keys: list[str], day: int = 250) -> DataFrame:
+    """A row per year with fit, slope and magnitude of the segment that spans it; of several the latest counts.
+
+    A segment spans a year if it starts before ``day`` of that year and ends at or after that day of the year before.
+    """
+    rows = df.select(*keys, segs, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
+    now = F.col("year").cast("double") + dbl(day) / dbl(365)
+    on = F.filter(F.col(segs), lambda s: (s["tStart"] < now) & (s["tEnd"] >= now - dbl(1)))
+    s = F.get(F.reverse(on), F.lit(0))
+    slope = F.get(s["coefs"], F.lit(1))
+    fit = F.get(s["coefs"], F.lit(0)) + slope * now
+    return rows.select(*keys, "year", fit.alias("fit"), slope.alias("slope"), (slope * (s["tEnd"] - s["tStart"])).alias("mag"))

@@ -70,3 +70,8 @@ def peak_day_to_date(fraction: Column) -> Column:
     """Month and day of a fraction of a 365-day year."""
     d = F.date_add(F.lit("2001-01-01").cast("date"), F.least(F.floor(fraction * dbl(365)).cast("int"), F.lit(364)))
     return F.struct(F.month(d).alias("month"), F.day(d).alias("day"))
+
+
+def sun_angles(elevation: Column, azimuth: Column) -> dict[str, Column]:
+    """Zenith and azimuth in radians from angles in degrees."""
+    return {"zenith": F.radians(dbl(90) - elevation), "azimuth": F.radians(azimuth)}

@@ -76,3 +76,17 @@ def water(flat: Column | None = None) -> Column:
 
 def all_bands(bands: list[str]) -> Column:
     return all_valid(bands)
+
+
+def observed(count: Column) -> Column:
+    """Cells that were looked at at all on a day."""
+    return count > 0
+
+
+def state_clear(state: Column) -> Column:
+    return bit_clear(state, STATE_1KM_CLOUD_BIT)
+
+
+def existing_change(year: Column, first: int, last: int) -> Column:
+    """The year of a known change, if it lies within the years given."""
+    return F.when(year.between(first, last), year)

@@ -111,3 +111,25 @@ def threshold_z_and_trend(df: DataFrame, bands: list[str], z: float, slope: floa
 
 def neighbour_mean(xs: list[Column]) -> Column:
     return row_mean(xs)
+
+
+def least_observations(df: DataFrame, band: str, keys: list[str], least: int) -> DataFrame:
+    """Masks the band in all years of a pixel with fewer than ``least`` valid ones."""
+    return df.withColumn(band, F.when(F.count(band).over(Window.partitionBy(*keys)) >= least, F.col(band)))
+
+
+def bridge_year(df: DataFrame, band: str, year: int, keys: list[str], order: str = "yr") -> DataFrame:
+    """Replaces one year's value by the mean of the years beside it where all three are there."""
+    over = Window.partitionBy(*keys).orderBy(order)
+    near = (F.lag(order).over(over) == year - 1) & (F.lead(order).over(over) == year + 1) & F.col(band).isNotNull()
+    mean = (F.lag(band).over(over) + F.lead(band).over(over)) / 2
+    return df.withColumn(band, F.when((F.col(order) == year) & near & mean.isNotNull(), mean).otherwise(F.col(band)))
+
+
+def composite_times(df: DataFrame, keys: list[str], first_day: int, year: str = "year", julian: str = "julianDay") -> DataFrame:
+    """Adds time, the decimal year of each composite's own day; a masked day takes the pixel's median one.
+
+    Days up to the season's first belong to the next year.
+    """
+    day = F.coalesce(F.col(julian).cast("double"), F.median(julian).over(Window.partitionBy(*keys)))
+    return df.withColumn("_day", day).withColumn("time", F.col(year).cast("double") + F.when(F.col("_day") <= first_day, 1).otherwise(0) + F.col("_day") / dbl(365)).drop("_day")

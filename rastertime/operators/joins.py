@@ -76,3 +76,11 @@ def missing_ids(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def lookup(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
     """Per-pixel statistics or masks; Spark broadcasts them if their size allows and else joins by pixel."""
     return df.join(stats, on, "left")
+
+
+def by_time(parts: dict[str, DataFrame], on: list[str], optional: tuple[str, ...] = ()) -> DataFrame:
+    """Bands of several products of one platform on equal keys; an ``optional`` product may be absent."""
+    out = None
+    for name, df in parts.items():
+        out = df if out is None else out.join(df, on, "left" if name in optional else "inner")
+    return out

@@ -63,3 +63,8 @@ def describe(df: DataFrame, t: str = "t") -> DataFrame:
 
 def in_box(df: DataFrame, low_row: int, high_row: int, low_col: int, high_col: int) -> DataFrame:
     return df.where(F.col("row").between(low_row, high_row) & F.col("col").between(low_col, high_col))
+
+
+def radar(df: DataFrame, polarisation: str, direction: str, mode: str = "IW") -> DataFrame:
+    """Scenes of one mode and orbit direction that have a polarisation among those sent and received."""
+    return df.where((F.col("instrumentMode") == mode) & F.array_contains("polarisations", polarisation) & (F.col("pass") == direction))
