@@ -15,8 +15,9 @@ from rastertime.functions.dates import in_days
 from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import composite as P
-from rastertime.plans.history import FIVE
-from rastertime.plans.registry import obs_query, rounded
+from rastertime.plans.history import FIVE, TDOM, _medoid_sql
+from rastertime.plans.registry import obs_query, rounded, rounded_sql
+from rastertime.plans.scenes import LANDSAT_SCORE, VISIBLE, _score, nd, rescale_sql
 from rastertime.sources.catalog import merge
 
 SCENE_BANDS = ["blue", "green", "red", "nir", "swir1", "swir2", "temp"]
@@ -117,14 +118,36 @@ def _shown(out: DataFrame) -> DataFrame:
     return rounded(out, ["px", "year", "compositeObsCount"], FIVE)
 
 
-@obs_query()
+def _kept(keep: str, bands: list[str] = SCENE_BANDS) -> str:
+    return ", ".join(f"CASE WHEN {keep} THEN {b} END AS {b}" for b in bands)
+
+
+def _history_sql(score: str, dark: tuple[str, str], cloud: str = "true", shadow: str = "true") -> str:
+    """Season, cloud score less its pixel percentile, dark outliers against the pixel's own mean."""
+    a, b = dark
+    stats = f"avg({a}) OVER w AS nir_m, stddev_pop({a}) OVER w AS nir_s, avg({b}) OVER w AS swir1_m, stddev_pop({b}) OVER w AS swir1_s"
+    tdom = TDOM.replace("swir1 -", f"{b} -").replace("nir + swir1", f"{a} + {b}")
+    return f"""WITH s0 AS (SELECT *, {score} AS score FROM obs WHERE doy BETWEEN 152 AND 273), s1 AS (SELECT *, quantile_cont(score, 0.1) OVER (PARTITION BY px) AS low FROM s0),
+s2 AS (SELECT * REPLACE ({_kept(f"score - low < 20 AND {cloud}")}) FROM s1), s3 AS (SELECT *, {stats} FROM s2 WINDOW w AS (PARTITION BY px)),
+s4 AS (SELECT * REPLACE ({_kept(f"NOT coalesce({tdom}, false) AND {shadow}")}) FROM s3)"""
+
+
+MEDIANS = f'count(green) AS "compositeObsCount", {rounded_sql({b: f"median({b})" for b in FIVE})}'
+
+
+@obs_query(f"""{_history_sql(LANDSAT_SCORE, ("nir", "swir1"), "(qa & 8) = 0", "(qa & 16) = 0")}, {_medoid_sql("SELECT *, yr AS year FROM s4 WHERE green IS NOT NULL", "px, year")}
+SELECT px, year, cnt AS "compositeObsCount", {rounded_sql(FIVE)} FROM n WHERE nth = 1""")
 def recipe_landsat(obs: DataFrame) -> DataFrame:
-    """Cloud score, quality bits, dark outliers, medoid. Tested against its parts, which have SQL."""
+    """Cloud score, quality bits, dark outliers, medoid."""
     o = Options(cloud_score=True, cloud_threshold=20, dark_outliers=True)
     return _shown(composites(landsat_scenes(obs, o), o))
 
 
-@obs_query()
+DAILY = ", ".join(f"arg_max({b}, (t, ok, ln, pk)) AS {b}" for b in [*FIVE, "yr", "doy"])
+
+
+@obs_query(f"""WITH d AS (SELECT px, orbit, strftime(t, '%Y-%m-%d') AS day, {DAILY} FROM obs GROUP BY 1, 2, 3)
+SELECT px, yr AS year, {MEDIANS} FROM d WHERE doy BETWEEN 152 AND 273 AND swir1 * 2 >= 0.6::DOUBLE GROUP BY px, yr""")
 def recipe_sentinel2(obs: DataFrame) -> DataFrame:
     """Daily orbit mosaics and a precomputed cloud band, medians."""
     o = Options(method="median", cloud_score_plus=0.6)
@@ -132,14 +155,24 @@ def recipe_sentinel2(obs: DataFrame) -> DataFrame:
     return _shown(composites(sentinel2_scenes(daily.withColumn("cloudScorePlus", F.col("swir1") * 2), o), o))
 
 
-@obs_query()
+def _inverse_sql(pair: tuple[str, str], when: str = "true") -> str:
+    at = {b: i for i, b in enumerate(I.SIX)}
+    return ", ".join(f"CASE WHEN {when} THEN ({b} - ({H.CHASTAIN[pair][1][at[b]]})::DOUBLE) / {H.CHASTAIN[pair][0][at[b]]}::DOUBLE ELSE {b} END AS {b}" for b in FIVE)
+
+
+@obs_query(f"""WITH u AS (SELECT px, yr, doy, {_inverse_sql(("OLI", "ETM"), "sensor = 'R'")} FROM obs WHERE orbit = 'O' AND (qa & 8) = 0 AND (qa & 16) = 0 UNION ALL SELECT px, yr, doy, {_inverse_sql(("MSI", "ETM"))} FROM obs WHERE orbit = 'F'),
+w(year, member, weight) AS (SELECT y, y + k - 1, [1, 5, 1][k + 1] FROM range(1996, 2001) a(y), range(0, 3) b(k)), rep AS (SELECT u.*, w.year FROM u JOIN w ON u.yr = w.member, range(0, w.weight) c(i) WHERE doy BETWEEN 152 AND 273)
+SELECT px, year::INTEGER AS year, {MEDIANS} FROM rep GROUP BY px, year""")
 def recipe_hybrid(obs: DataFrame) -> DataFrame:
     """Two families, harmonised and merged, median over weighted windows of three years."""
     o = Options(method="median", buffer=1, weights=(1, 5, 1))
     return _shown(composites(hybrid_scenes(obs.where("orbit = 'O'"), obs.where("orbit = 'F'").withColumn("cb", F.col("blue")), o, o), o))
 
 
-@obs_query()
+MODIS_SCORE = f"CASE WHEN temp IS NULL THEN 100 ELSE {_score(VISIBLE, rescale_sql('nir + swir2 + swir2', 0.3, 0.8), rescale_sql(nd('green', 'swir2'), 0.8, 0.6))} END"
+
+
+@obs_query(f"""{_history_sql(MODIS_SCORE, ("nir", "swir2"))} SELECT px, yr AS year, {MEDIANS} FROM s4 WHERE green IS NOT NULL GROUP BY px, yr""")
 def recipe_modis(obs: DataFrame) -> DataFrame:
     o = Options(method="median", cloud_threshold=20)
     return _shown(composites(modis_scenes(obs, o), o))
