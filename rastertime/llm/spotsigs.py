@@ -37,7 +37,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def spots(text: str) -> np.ndarray:
     """The sorted distinct 32-bit hashes of a text's chains.
 
-    A text in which no anchor has a full chain is one signature as a whole, so equal texts agree and others do not.
+    Where no anchor has a full chain (tables, lists of names), every word is an anchor. A text too short for that is one
+    signature as a whole, so equal texts agree and others do not.
     """
     words = _LETTERS.findall(text.lower())
     content = [w for w in words if w not in ANCHORS]
@@ -48,6 +49,8 @@ def spots(text: str) -> np.ndarray:
             at += 1
         elif at <= last:
             found.add(xxhash.xxh32_intdigest(" ".join((w, *content[at : at + CHAIN]))))
+    if not found:
+        found.update(xxhash.xxh32_intdigest(" ".join(words[i : i + CHAIN + 1])) for i in range(len(words) - CHAIN))
     if not found:
         found.add(xxhash.xxh32_intdigest("\0" + " ".join(words) if words else "\1" + text))
     return np.array(sorted(found), np.uint32)
