@@ -87,7 +87,8 @@ def z_and_trend(df: DataFrame, bands: list[str], years: tuple[int, int], days: t
     analysis and trend together, so the history of a pixel is shuffled once.
     """
     windows = z_trend_windows(df.sparkSession, years, days, n_days, baseline, gap, epoch)
-    met = df.select(px, "yr", "doy", "t", *bands).join(F.broadcast(windows), F.col("doy").between(F.col("day0"), F.col("day1")) & F.col("yr").between(F.least("base0", "trend0"), F.col("year")))
+    by_year = windows.withColumn("member", F.explode(F.sequence(F.least("base0", "trend0"), F.col("year"))))  # a hash join by year, not a loop
+    met = df.select(px, "yr", "doy", "t", *bands).join(F.broadcast(by_year), (F.col("yr") == F.col("member")) & F.col("doy").between(F.col("day0"), F.col("day1")))
     base, now, trend = F.col("yr").between(F.col("base0"), F.col("base1")), F.col("yr") == F.col("year"), F.col("yr") >= F.col("trend0")
     keys = [px, "year", "day0", "day1"]
     # the z-score is linear in x, so reducing x first gives the reduced z of the analysis year for mean, median, min and max
