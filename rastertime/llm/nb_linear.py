@@ -20,19 +20,20 @@ BUCKETS = 1 << 22
 FIT_ROWS = 4000
 
 
-def ngrams(text: str) -> np.ndarray:
-    """Sorted distinct buckets of the byte n-grams of the whole text, in lower case, white space as one blank."""
+def hashes(text: str) -> Iterator[np.ndarray]:
+    """Buckets of the byte n-grams of the whole text, an array for each n; in lower case, white space as one blank."""
     b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-    seen = []
+    h = np.zeros(len(b), np.uint64)
     with np.errstate(over="ignore"):
-        for n in SIZES:
-            if len(b) < n:
-                continue
-            h = np.full(len(b) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = h * np.uint64(0x100000001B3) + b[i : len(b) - n + 1 + i]
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            seen.append((h >> np.uint64(42)).astype(np.int32))
+        for i in range(min(max(SIZES), len(b))):
+            h = h[: len(b) - i] * np.uint64(0x100000001B3) + b[i:]
+            if i + 1 in SIZES:
+                yield (((h ^ (h >> np.uint64(29)) ^ np.uint64(i + 1)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(42)).astype(np.int32)
+
+
+def ngrams(text: str) -> np.ndarray:
+    """Sorted distinct buckets."""
+    seen = list(hashes(text))
     return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int32)
 
 
@@ -42,7 +43,8 @@ class NBLinear:
     bias: float
 
     def score(self, text: str) -> float:
-        z = self.bias + float(self.weights[ngrams(text)].sum(dtype=np.float64))
+        found = [h[self.weights[h] != 0] for h in hashes(text)]  # only these few need sorting
+        z = self.bias + (float(self.weights[np.unique(np.concatenate(found))].sum(dtype=np.float64)) if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
