@@ -105,7 +105,7 @@ def apply_plan(docs: DataFrame, found: DataFrame, boundary: str = "cut") -> Data
 def pareto_mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: str = "mix", boundary: str = "cut", key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` (key, source, ...) with size, source_size, target, taken and copies.
 
-    Null sizes count 0; a null source is a source of its own, the last. A source without words has target 0. Equal keys
+    Null sizes count 0, and such rows get the certain copies of their source; a null source is a source of its own, the last. A source without words has target 0. Equal keys
     get equal ranks and tie on size, so repeated rows are interchangeable. Empty tables stay empty. Clashing columns of
     the input are replaced. The draw depends on key and seed alone, so reruns agree.
     """
