@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastertime.functions import bands as B
@@ -164,12 +164,12 @@ def join_nearest_time(obs: DataFrame) -> DataFrame:
 BOX = "col - 0.5::DOUBLE AS x0, col + 0.6::DOUBLE AS x1, row - 0.5::DOUBLE AS y0, row + 0.6::DOUBLE AS y1"
 
 
-@obs_query(f"""WITH a AS (SELECT *, {BOX} FROM obs WHERE sensor = 'A' AND yr = 1996), b AS (SELECT *, {BOX} FROM obs WHERE sensor = 'R' AND yr = 1996)
+@obs_query(f"""WITH a AS (SELECT *, {BOX} FROM obs WHERE sensor = 'A'), b AS (SELECT *, {BOX} FROM obs WHERE sensor = 'R')
 SELECT a.px, a.ok, a.ln, a.pk, a.doy, arg_min(b.px, ({NEAR_SQL}, b.px, b.ok, b.ln, b.pk)) AS px_2, min({NEAR_SQL}) AS gap_seconds FROM a JOIN b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 AND {NEAR_SQL} <= 24 * 3600
 GROUP BY a.px, a.ok, a.ln, a.pk, a.t, a.doy""")
 def join_spatiotemporal(obs: DataFrame) -> DataFrame:
     box = {"x0": F.col("col") - B.dbl(0.5), "x1": F.col("col") + B.dbl(0.6), "y0": F.col("row") - B.dbl(0.5), "y1": F.col("row") + B.dbl(0.6)}
-    rows = obs.where("yr = 1996").withColumns(box).select(*KEY, "doy", "sensor", *box)
+    rows = obs.withColumns(box).select(*KEY, "doy", "sensor", *box)
     a, b = rows.where("sensor = 'A'").drop("sensor"), rows.where("sensor = 'R'").drop("sensor")
     return J.spatio_temporal(a, b, 24, KEY, ["px", "ok", "ln", "pk"], 2.0).select("px", "ok", "ln", "pk", "doy", "px_2", "gap_seconds")
 
@@ -317,14 +317,19 @@ def synth_image(obs: DataFrame) -> DataFrame:
     return rows.select("px", "doy", F.round(R.harmonic_value("nir", F.col("doy").cast("double") / B.dbl(365)), 6).alias("value"))
 
 
-# ---- segments: yearly medians of every second year stand for vertices, turned so that loss goes up
+# ---- segments: the turning points of yearly medians stand for vertices, turned so that loss goes up
 
-VERTS = f"{ANNUAL}, vx AS (SELECT px, yr, -v AS fit, row_number() OVER (PARTITION BY px ORDER BY yr) AS k, count(*) OVER (PARTITION BY px) AS n FROM ann WHERE yr % 2 = 1)"
+VERTS = (
+    f"{ANNUAL}, vt AS (SELECT px, yr, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM ann WINDOW w AS (PARTITION BY px ORDER BY yr)), "
+    "vx AS (SELECT px, yr, -v AS fit, row_number() OVER (PARTITION BY px ORDER BY yr) AS k FROM vt WHERE b IS NULL OR a IS NULL OR (v - b) * (a - v) <= 0)"
+)
 SEGS = VERTS + ", sg AS (SELECT px, yr, yr - lag(yr) OVER w AS dur, lag(fit) OVER w - fit AS mag, (lag(fit) OVER w - fit) / (yr - lag(yr) OVER w) AS slope, lag(yr) OVER w AS start, lag(fit) OVER w AS start_fit, fit AS end_fit FROM vx WINDOW w AS (PARTITION BY px ORDER BY yr) QUALIFY start IS NOT NULL)"
 
 
 def verts(obs: DataFrame) -> DataFrame:
-    rows = annual(obs).where("yr % 2 = 1").select("px", "yr", (-F.col("v")).alias("fit"))
+    over = Window.partitionBy("px").orderBy("yr")
+    rows = annual(obs).withColumns({"_b": F.lag("v").over(over), "_a": F.lead("v").over(over)})
+    rows = rows.where("_b IS NULL OR _a IS NULL OR (v - _b) * (_a - v) <= 0").select("px", "yr", (-F.col("v")).alias("fit"))
     return rows.groupBy("px").agg(F.sort_array(F.collect_list(F.struct("yr", "fit"))).alias("verts"))
 
 
