@@ -212,8 +212,9 @@ def peel(lists: DataFrame, sets: DataFrame, percent: int, rounds: int = 1) -> Da
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [np.frombuffer(s, "<i8") for s in pdf["s"]]
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64), [len(x) for x in own]), "h": np.concatenate(own) if own else np.zeros(0, np.int64)})
+            for i in range(0, len(pdf), 256):  # a batch of whole sets is large
+                own = [np.frombuffer(s, "<i8") for s in pdf["s"][i : i + 256]]
+                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(np.int64)[i : i + 256], [len(x) for x in own]), "h": np.concatenate(own)})
 
     sizes = sets.select("id", F.expr("octet_length(s) div 8").alias("size"))
     for _ in range(rounds):

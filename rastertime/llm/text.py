@@ -22,7 +22,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered for the words of a task; forgets all when it has grown past a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
