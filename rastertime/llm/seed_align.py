@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores the copies."""
+"""Benchmark decontamination: pairs of words that every copy must keep point to passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -11,14 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import materialise
-from rastertime.llm.text import WordHashes, grams
+from rastertime.llm.text import MIX, WordHashes, mixed
 
-SEED_WORDS = 5
-#: A seed is rare if at most so many times the documents have it as have the item's median seed.
-RARE = 10
+#: A pair of neighbouring item words is found in a document with at most so many words less one between them.
+REACH = 3
 MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
-#: Share of an exact copy's score from which a stretch counts as a copy: about a third of its words may be others.
+#: Share of an exact copy's score from which a stretch counts as a copy: just under a third of its words may be others.
 LEAST = 0.6
 #: Items whose seeds and words are broadcast at once; a larger benchmark takes more passes.
 BLOCK_ITEMS = 20_000
@@ -51,81 +49,122 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def kept(n: int, least: float) -> tuple[int, int, int]:
+    """What every alignment of an n-word item with a score of ``least`` * n has: found pairs of neighbours at least, words
+    that match at least, and words of the document at most.
+
+    Another or a missing word costs a match and a penalty and breaks two pairs; REACH added words between two neighbours
+    break one; words left out at an end cost a match and break a pair each.
+    """
+    spare = (MATCH - least) * n + 1e-9
+    pair = min((MATCH - max(MISMATCH, GAP)) / 2, -GAP * REACH, MATCH)
+    return n - 1 - int(spare / pair), max(1, n - int(spare / MATCH)), n + int(spare / -GAP)
+
+
+def pair_hashes(words: np.ndarray, reach: int) -> list[np.ndarray]:
+    """For each distance up to ``reach``, a hash of each word and the word at that distance after it."""
+    first = mixed(words) * MIX
+    return [mixed(first[:-d] + words[d:]) for d in range(1, min(reach, len(words) - 1) + 1)]
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start to before its end, one range after the other."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
 @dataclass
 class Items:
-    """A block of items: ids, words as hashes, and seeds sorted by hash with their item and place."""
+    """A block of items: ids, words as hashes, what a copy keeps of each, and the distinct seeds with their items and places.
+
+    A seed is a pair of neighbours, or a word where an item is so short that a copy need not keep a pair. Seed k is that of
+    items and places begin[k] to before begin[k + 1]. ``maybe`` tells most other hashes from seeds by their last bits.
+    """
 
     ids: list
     words: list[np.ndarray]
+    seeds: np.ndarray
+    matches: np.ndarray
+    width: np.ndarray
     seed: np.ndarray
+    begin: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    by_word: bool
+    maybe: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
-        seen, words, seed, item, place = WordHashes(), [], [], [], []
+    def of(cls, rows: list[tuple[int, str]], least: float = LEAST) -> Items:
+        seen, words, need, seed, item, place, by_word = WordHashes(), [], [], [], [], [], False
         for k, (_, text) in enumerate(rows):
             w = seen.of(item_words(text or ""))
-            g = grams(w, min(SEED_WORDS, max(1, len(w))))
+            pairs, matches, width = kept(len(w), least)
+            if pairs < 1 and len(w):
+                by_word = True
+            g = pair_hashes(w, 1)[0] if pairs > 0 else mixed(w)
             words.append(w)
+            need.append((pairs if pairs > 0 else matches, matches, width))
             seed.append(g)
             item.append(np.full(len(g), k))
             place.append(np.arange(len(g)))
         cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
         seed, item, place = cat(seed, np.uint64), cat(item, np.int64), cat(place, np.int64)
         order = np.argsort(seed, kind="stable")
-        return cls([i for i, _ in rows], words, seed[order], item[order], place[order])
-
-    def lengths(self) -> list[int]:
-        """The seed lengths in use: shorter items have one seed, all their words."""
-        return sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
+        seed, begin = np.unique(seed[order], return_index=True)
+        maybe = np.zeros(1 << max(16, (16 * len(seed)).bit_length()), bool)
+        maybe[seed & np.uint64(len(maybe) - 1)] = True
+        need = np.array(need, np.int64).reshape(-1, 3)
+        return cls([i for i, _ in rows], words, *need.T, seed, np.append(begin, len(order)), item[order], place[order], by_word, maybe)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the words at which a seed begins, and the seeds."""
-        at, found = [], []
-        for n in self.lengths():
-            g = grams(words, n)
-            i = np.searchsorted(self.seed, g)
-            ok = np.flatnonzero(self.seed[np.minimum(i, len(self.seed) - 1)] == g) if len(self.seed) else i[:0]
-            at.append(ok)
-            found.append(g[ok])
-        return (np.concatenate(at), np.concatenate(found)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-    def rare(self, df: dict[int, int]) -> Items:
-        """Without the seeds that far more documents have than the item's median seed of those that occur."""
-        n = np.array([df.get(int(s), 0) for s in self.seed.view(np.int64)])
-        keep = np.zeros(len(n), bool)
-        order = np.argsort(self.item, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
-            some = n[own][n[own] > 0]
-            keep[own] = n[own] <= RARE * np.median(some) if len(some) else False
-        return Items(self.ids, self.words, self.seed[keep], self.item[keep], self.place[keep])
+        """Positions in the words at which a seed begins, and the numbers of the seeds."""
+        at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for g in [*pair_hashes(words, REACH), *([mixed(words)] if self.by_word else [])]:
+            p = np.flatnonzero(self.maybe[g & np.uint64(len(self.maybe) - 1)])
+            k = np.searchsorted(self.seed, g[p])
+            ok = k < len(self.seed)
+            ok[ok] = self.seed[k[ok]] == g[p[ok]]
+            at.append(p[ok])
+            found.append(k[ok])
+        return np.concatenate(at), np.concatenate(found)
 
     def copies(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(index of the item, similarity, start, end) of the best alignment of each item that a rare seed points to."""
+        """(index of the item, similarity, start, end) of the best alignment of each item that may have a copy here."""
         at, found = self.hits(words)
-        stretches: dict[int, list[tuple[int, int]]] = {}
-        for p, s in zip(at.tolist(), found):
-            a, b = np.searchsorted(self.seed, [s, s], side="left")[0], np.searchsorted(self.seed, s, side="right")
-            for k in range(a, b):
-                i, m = int(self.item[k]), len(self.words[self.item[k]])
-                start = p - int(self.place[k])
-                stretches.setdefault(i, []).append((max(0, start - m // 4 - 1), min(len(words), start + m + m // 4 + 1)))
+        own = np.unique(found)
+        if not len(own):
+            return []
+        have = np.bincount(self.item[spans(self.begin[own], self.begin[own + 1])], minlength=len(self.ids))
+        may = have >= self.seeds
+        may &= have > 0
+        if not may.any():
+            return []
+        post = spans(self.begin[found], self.begin[found + 1])
+        at = np.repeat(at, self.begin[found + 1] - self.begin[found])
+        keep = may[self.item[post]]
+        post, at = post[keep], at[keep]
         out = []
-        for i, own in stretches.items():
-            own.sort()
-            merged = [list(own[0])]
-            for a, b in own[1:]:
-                if a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
+        for i in np.flatnonzero(may).tolist():
+            mine, w, m = self.item[post] == i, self.words[i], int(self.width[i])
+            # a copy lies in one of the windows of two widths, of which one begins every width
+            window = np.concatenate([at[mine] // m, np.maximum(at[mine] // m - 1, 0)])
+            seen = np.unique(window * len(w) + np.tile(self.place[post[mine]], 2)) // len(w)
+            window, n = np.unique(seen, return_counts=True)
+            merged: list[list[int]] = []
+            for a in (window[n >= self.seeds[i]] * m).tolist():
+                b = min(len(words), a + 2 * m)
+                if np.isin(w, words[a:b]).sum() < self.matches[i]:
+                    continue
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = b
                 else:
                     merged.append([a, b])
             best = (0.0, 0, 0)
             for a, b in merged:
-                score, x, y = align(words[a:b], self.words[i])
+                score, x, y = align(words[a:b], w)
                 if score > best[0]:
                     best = (score, a + x, a + y)
-            out.append((i, best[0] / (MATCH * len(self.words[i])), best[1], best[2]))
+            out.append((i, best[0] / (MATCH * len(w)), best[1], best[2]))
         return out
 
 
@@ -146,45 +185,28 @@ def copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
 
     similarity is the alignment score over that of an exact copy. Words are runs of letters and digits in lower case, of
     whole texts. Null and empty texts and items have no copies; repeated rows give repeated results; either table may be
-    empty. Pass one finds the documents with any seed and counts documents per seed, over all documents; pass two aligns
-    in those found.
+    empty. The result is that of aligning every item with every document: only stretches that lack the seeds or words
+    which every alignment of that score must keep (see ``kept``) are left out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = []
-    for block in _blocks(benchmark):
-        items = Items.of(block)
-        held = spark.sparkContext.broadcast(items)
+    out = spark.createDataFrame([], SCHEMA)
+    for k, block in enumerate(_blocks(benchmark)):
+        held = spark.sparkContext.broadcast(Items.of(block, least))
 
-        def seeds(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            seen = WordHashes()
+        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            seen, items = WordHashes(), held.value
             for pdf in batches:
                 out = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                     if isinstance(text, str):
-                        _, found = held.value.hits(seen.of(item_words(text)))
-                        if len(found):
-                            out.append((doc_id, text, np.unique(found).view(np.int64)))
-                yield pd.DataFrame(out, columns=["doc_id", "text", "seeds"]).astype({"doc_id": "Int64"})
-
-        near = materialise(docs.mapInPandas(seeds, "doc_id long, text string, seeds array<long>"))
-        df = near.select(F.explode("seeds").alias("seed")).groupBy("seed").count()  # a row per seed of the block at most
-        rare = spark.sparkContext.broadcast(items.rare({r[0]: r[1] for r in df.collect()}))
-
-        def score(batches: Iterator[pd.DataFrame], rare=rare) -> Iterator[pd.DataFrame]:
-            seen = WordHashes()
-            for pdf in batches:
-                out = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    for i, s, a, b in rare.value.copies(seen.of(item_words(text))):
-                        if s >= least:
-                            out.append((doc_id, rare.value.ids[i], s, a, b))
+                        for i, s, a, b in items.copies(seen.of(item_words(text))):
+                            if s >= least:
+                                out.append((doc_id, items.ids[i], s, a, b))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "first_word", "last_word"]).astype({"doc_id": "Int64", "item_id": "Int64", "similarity": "float64", "first_word": "int64", "last_word": "int64"})
 
-        parts.append(near.select("doc_id", "text").mapInPandas(score, SCHEMA))
-    out = spark.createDataFrame([], SCHEMA)
-    for p in parts:
-        out = p if p is parts[0] else out.unionByName(p)
+        found = docs.mapInPandas(score, SCHEMA)
+        out = out.unionByName(found) if k else found
     return out
 
 
