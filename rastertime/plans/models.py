@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +58,12 @@ def snic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedding labels from a forest fitted on rows whose hash falls in the training share."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
+    """Embedding labels from a forest on every component, fitted on rows whose hash falls in the training share."""
+    whole = ~F.exists("embedding", lambda x: x.isNull())
+    vector = F.when(whole, array_to_vector(F.col("embedding").cast("array<double>"))).alias("e")
+    rows = table(spark, sf_dir, "embeddings").where(whole).select("vec_id", F.col("label").cast("double").alias("label"), vector)
     train = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(10)) < 7)
-    return C.random_forest(train, rows, [f"e{i}" for i in range(16)], "label").select("vec_id", "label", "classified")
+    return C.random_forest(train, rows, ["e"], "label").select("vec_id", "label", "classified")
 
 
 @query()
