@@ -27,6 +27,11 @@ def pick(segs: Column, t: Column, fill_gaps: bool = False) -> Column:
     return F.get(F.filter(segs, lambda s: (s["tStart"] < t) & (t <= s["tEnd"])), F.lit(0))
 
 
+def of_band(segs: Column, band: str) -> Column:
+    """Segments of one band, from segments whose coefs and mag are maps by band."""
+    return F.transform(segs, lambda s: s.withField("coefs", s["coefs"][band]).withField("mag", s["mag"][band]))
+
+
 def value(coefs: Column, t: Column, harmonics: tuple[int, ...] = (1, 2, 3)) -> Column:
     out = F.get(coefs, F.lit(0)) + F.get(coefs, F.lit(1)) * t
     for h in harmonics:

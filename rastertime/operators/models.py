@@ -223,9 +223,35 @@ def chi_square(p: float, d: int) -> float:
     return d * (1 - 2 / (9 * d) + NormalDist().inv_cdf(p) * sqrt(2 / (9 * d))) ** 3
 
 
-def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability: float = 0.99, years: float = 1.33) -> list[dict]:
+def lasso(x: np.ndarray, v: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
+    """Coefficients by column of v that minimise half the mean squared error plus ``penalty`` times the sum of absolute
+    coefficients, by cyclic coordinate descent. The first column of x is all ones and free; the others count in units of
+    their standard deviations."""
+    mean, sd = x[:, 1:].mean(axis=0), x[:, 1:].std(axis=0)
+    used = np.flatnonzero(sd > 1e-12)
+    z = (x[:, 1:][:, used] - mean[used]) / sd[used]
+    gram, target = (z.T @ z / len(z)).tolist(), (z.T @ (v - v.mean(axis=0)) / len(z)).T.tolist()
+    beta = np.zeros((x.shape[1], v.shape[1]))
+    for j, pull in enumerate(target):
+        b = [0.0] * len(used)
+        for _ in range(rounds):
+            moved = 0.0
+            for k, row in enumerate(gram):
+                r = pull[k] - sum(g * c for g, c in zip(row, b)) + b[k]
+                new = r - penalty if r > penalty else r + penalty if r < -penalty else 0.0
+                moved = max(moved, abs(new - b[k]))
+                b[k] = new
+            if moved < 1e-9:
+                break
+        beta[used + 1, j] = np.array(b) / sd[used]
+    beta[0] = v.mean(axis=0) - mean @ beta[1:]
+    return beta
+
+
+def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability: float = 0.99, years: float = 1.33, penalty: float = 0.002, rounds: int = 25_000) -> list[dict]:
     """Segments of harmonic fits to several bands (rows: times, columns: bands), broken where ``least`` observations in a
-    row leave the fit; a single one is an outlier. The first band's coefficients are kept."""
+    row leave the fit; a single one is an outlier. coefs has a list for each band, mag a number. The fits are by ``lasso``,
+    by least squares where ``penalty`` is 0."""
     limit = chi_square(probability, v.shape[1])
     segments, start, n = [], 0, len(t)
 
@@ -234,7 +260,7 @@ def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability:
         drifts = t[idx[-1]] - t[idx[0]] >= 2  # a shorter record can't tell a trend from its noise
         middle = t[idx].mean()
         x = np.column_stack([np.ones(len(idx)), (t[idx] - middle) * drifts, wave(t[idx], h)[:, 1:]])
-        beta = np.linalg.lstsq(x, v[idx], rcond=None)[0]
+        beta = lasso(x, v[idx], penalty, rounds) if penalty else np.linalg.lstsq(x, v[idx], rcond=None)[0]
         rmse = np.sqrt(((v[idx] - x @ beta) ** 2).sum(axis=0) / max(1, len(idx) - x.shape[1] + (not drifts)))
         full = np.zeros((8, v.shape[1]))
         full[: len(beta)] = beta
@@ -266,25 +292,29 @@ def continuous_change(t: np.ndarray, v: np.ndarray, least: int = 6, probability:
             i += 1
         beta, rmse = model(np.array(idx))
         jump = np.median([off(j, beta, rmse) * rmse for j in range(broke, broke + least)], axis=0) if broke else np.zeros(v.shape[1])
-        segments.append({"tStart": float(t[idx[0]]), "tEnd": float(t[idx[-1]]), "tBreak": float(t[broke]) if broke else 0.0, "changeProb": 1.0 if broke else 0.0, "coefs": beta[:, 0].tolist(), "mag": float(jump[0])})
+        segments.append({"tStart": float(t[idx[0]]), "tEnd": float(t[idx[-1]]), "tBreak": float(t[broke]) if broke else 0.0, "changeProb": 1.0 if broke else 0.0, "coefs": beta.T.tolist(), "mag": jump})
         if broke is None:
             break
         start = broke
     return segments
 
 
-def ccdc(df: DataFrame, bands: list[str], keys: list[str], t: str = "t_dec", least: int = 6, probability: float = 0.99, years: float = 1.33) -> DataFrame:
-    """(keys, segs); see functions.ccdc for the struct."""
+def ccdc(df: DataFrame, bands: list[str], keys: list[str], t: str = "t_dec", least: int = 6, probability: float = 0.99, years: float = 1.33, penalty: float = 0.002, rounds: int = 25_000) -> DataFrame:
+    """(keys, segs): the structs of functions.ccdc, but with coefs and mag as maps by band; functions.ccdc.of_band takes one.
+
+    ``penalty`` is in units of the bands; 0 means least squares.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=bands).sort_values([t, *bands])
         if not len(pdf):
             return pd.DataFrame({c: [] for c in [*keys, "segs"]})
-        got = continuous_change(pdf[t].to_numpy(float), pdf[bands].to_numpy(float), least, probability, years)
+        got = continuous_change(pdf[t].to_numpy(float), pdf[bands].to_numpy(float), least, probability, years, penalty, rounds)
+        got = [s | {"coefs": dict(zip(bands, s["coefs"])), "mag": dict(zip(bands, s["mag"].tolist()))} for s in got]
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "segs": [got]})
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    seg = "struct<tStart: double, tEnd: double, tBreak: double, changeProb: double, coefs: array<double>, mag: double>"
+    seg = "struct<tStart: double, tEnd: double, tBreak: double, changeProb: double, coefs: map<string, array<double>>, mag: map<string, double>>"
     return df.select(*keys, t, *bands).groupBy(*keys).applyInPandas(fit, f"{head}, segs array<{seg}>")
 
 

@@ -10,7 +10,7 @@ from rastertime.functions import segments as S
 from rastertime.operators import classify as C
 from rastertime.operators import models as M
 from rastertime.plans.history import annual, clear
-from rastertime.plans.registry import obs_query, query, rounded
+from rastertime.plans.registry import obs_query, query
 from rastertime.sources.observations import grid, table
 
 
@@ -43,10 +43,11 @@ def ewmacd(obs: DataFrame) -> DataFrame:
 
 @obs_query()
 def ccdc(obs: DataFrame) -> DataFrame:
-    """Segments of the continuous-change model on two bands."""
-    out = M.ccdc(_decimal(clear(obs)), ["nir", "swir1"], ["px"])
-    s = out.select("px", F.posexplode("segs").alias("i", "s"))
-    return rounded(s.select("px", "i", "s.*"), ["px", "i"], ["tStart", "tEnd", "tBreak", "changeProb", "mag"])
+    """Segments of the continuous-change model on two bands, with the magnitude and coefficients of each."""
+    bands = ["nir", "swir1"]
+    s = M.ccdc(_decimal(clear(obs)), bands, ["px"]).select("px", F.posexplode("segs").alias("i", "s")).select("px", "i", "s.*")
+    own = {f"{b}_magnitude": F.round(F.col("mag")[b], 6) for b in bands} | {f"{b}_coefs": F.transform(F.col("coefs")[b], lambda c: F.round(c, 6)) for b in bands}
+    return s.select("px", "i", *[F.round(c, 6).alias(c) for c in ("tStart", "tEnd", "tBreak", "changeProb")], *[c.alias(n) for n, c in own.items()])
 
 
 @query()

@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rastertime.functions import ccdc as C
+from rastertime.operators import models as M
 from rastertime.plans import models as Q
 
 
@@ -16,3 +18,36 @@ def test_forest_reads_every_component(spark, tmp_path):
     assert {r.vec_id for r in got} == set(range(600))
     held = [r.label == r.classified for r in got if r.held]
     assert len(held) > 100 and np.mean(held) > 0.9
+
+
+def break_of_swir1():
+    t = np.arange(2000, 2008, 1 / 12)
+    rng = np.random.default_rng(0)
+    nir, swir1 = (0.5 + 0.1 * np.cos(2 * np.pi * t) + rng.normal(0, 0.01, len(t)) for _ in range(2))
+    swir1[t >= 2004] -= 0.25
+    return t, nir, swir1
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.002])
+def test_a_break_of_the_second_band_has_its_magnitude(spark, penalty):
+    t, nir, swir1 = break_of_swir1()
+    df = spark.createDataFrame([(1, *map(float, x)) for x in zip(t, nir, swir1)], "px long, t_dec double, nir double, swir1 double")
+    out = M.ccdc(df, ["nir", "swir1"], ["px"], penalty=penalty)
+    segs = out.first().segs
+    assert len(segs) == 2 and segs[0].tBreak == pytest.approx(2004, abs=0.1)
+    assert segs[0].mag["swir1"] == pytest.approx(-0.25, abs=0.05) and abs(segs[0].mag["nir"]) < 0.05
+    assert all(len(segs[0].coefs[b]) == 8 and segs[0].coefs[b][2] == pytest.approx(0.1, abs=0.02) for b in ("nir", "swir1"))
+    got = out.select(C.changes(C.of_band(F.col("segs"), "swir1"))["largest_loss_mag"].alias("m")).first().m
+    assert got == segs[0].mag["swir1"]
+
+
+def test_lasso():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([np.ones(60), rng.normal(size=(60, 3)) * [1, 5, 0.1]])
+    v = x @ np.array([[1.0, 0], [2, 0.001], [0, 0.5], [0.5, 0]]) + rng.normal(0, 0.01, (60, 2))
+    assert np.allclose(M.lasso(x, v, 0.0, 25_000), np.linalg.lstsq(x, v, rcond=None)[0], atol=1e-6)
+    got, sd = M.lasso(x, v, 0.05, 25_000), x[:, 1:].std(axis=0)
+    slope = (x[:, 1:] / sd).T @ (v - x @ got) / len(x)  # the conditions of the minimum
+    assert np.allclose((v - x @ got).mean(axis=0), 0, atol=1e-9) and np.abs(slope).max() <= 0.05 + 1e-7
+    on = got[1:] != 0
+    assert np.allclose(slope[on], 0.05 * np.sign(got[1:][on]), atol=1e-7) and not on.all()
