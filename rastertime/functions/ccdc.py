@@ -65,15 +65,18 @@ def annualize(df: DataFrame, segs: str, first: int, last: int, keys: list[str],
 
 
 def changes(segs: Column, probability: float = 1.0) -> dict[str, Column]:
-    """Newest and largest loss and gain: decimal year and magnitude of the breaks that are certain enough."""
-    sure = F.filter(segs, lambda s: s["changeProb"] >= dbl(probability))
+    """Decimal year and magnitude of the newest and of the largest loss and gain; NULL where that break is uncertain.
+
+    The newest and the largest are picked among all breaks, certain or not, so an uncertain one hides those behind it.
+    """
     out = {}
     for kind, keep in (("loss", lambda s: s["mag"] < 0), ("gain", lambda s: s["mag"] > 0)):
-        own = F.filter(sure, keep)
-        size = F.array_sort(F.transform(own, lambda s: F.struct(F.abs(s["mag"]).alias("a"), s["tBreak"].alias("k"), s["mag"].alias("mag"))))
-        largest = F.get(F.reverse(size), F.lit(0))
-        newest = F.get(F.reverse(F.array_sort(F.transform(own, lambda s: F.struct(s["tBreak"].alias("k"), s["mag"].alias("mag"))))), F.lit(0))
-        out |= {f"newest_{kind}_year": newest["k"], f"newest_{kind}_mag": newest["mag"], f"largest_{kind}_year": largest["k"], f"largest_{kind}_mag": largest["mag"]}
+        own = F.filter(segs, keep)
+        for what, first in (("newest", lambda s: s["tBreak"]), ("largest", lambda s: F.abs(s["mag"]))):
+            in_order = F.array_sort(F.transform(own, lambda s: F.struct(first(s).alias("by"), s["tBreak"].alias("k"), s["mag"].alias("mag"), s["changeProb"].alias("sure"))))  # noqa: B023
+            top = F.get(F.reverse(in_order), F.lit(0))
+            for name, field in (("year", "k"), ("mag", "mag")):
+                out[f"{what}_{kind}_{name}"] = F.when(top["sure"] >= dbl(probability), top[field])
     return out
 
 

@@ -48,12 +48,22 @@ def wrap_dates(first: int, last: int) -> tuple[int, int]:
     return 365, int(last > 365 - first)
 
 
+def window_year(t: Column, first: int, last: int) -> Column:
+    """The year in which the season that holds ``t`` begins; NULL outside the season.
+
+    A wrapped season runs from day ``first`` of a year to ``last`` - 1 + 365 days after that year's 1 January, so after a
+    leap year it ends on day ``last`` - 1 of the next.
+    """
+    doy, y = F.dayofyear(t), F.year(t)
+    if first <= last:
+        return F.when(doy.between(first, last), y)
+    leap = F.dayofyear(F.make_date(y - 1, F.lit(12), F.lit(31))) - 365
+    return F.when(doy >= first, y).when(doy <= F.lit(last) - leap, y - 1)
+
+
 def season_year(t: Column, first: int, last: int) -> Column:
     """The year that a season's composite is dated to: for a wrapped season, the one with more of its days."""
-    offset, later = wrap_dates(first, last)
-    if not offset:
-        return F.year(t)
-    return F.year(t) + F.when(F.dayofyear(t) >= first, later).otherwise(later - 1)
+    return window_year(t, first, last) + wrap_dates(first, last)[1]
 
 
 def offset_date(t: Column, n: int, unit: str) -> Column:

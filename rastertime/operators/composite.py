@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl
-from rastertime.functions.dates import in_days
+from rastertime.functions.dates import window_year, wrap_dates
 
 #: Bands whose distance to their medians a medoid minimises.
 MEDOID_BANDS = ["green", "red", "nir", "swir1", "swir2"]
@@ -31,9 +31,9 @@ def year_windows(spark: SparkSession, first: int, last: int, buffer: int = 0, we
     return spark.createDataFrame(rows, "year int, member int, weight int")
 
 
-def in_windows(df: DataFrame, windows: DataFrame) -> DataFrame:
+def in_windows(df: DataFrame, windows: DataFrame, by: str = "yr") -> DataFrame:
     """Each observation once per window and unit of weight. Windows are a row per year and weight, so they are broadcast."""
-    met = df.join(F.broadcast(windows), F.col("yr") == F.col("member"))
+    met = df.join(F.broadcast(windows), F.col(by) == F.col("member"))
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), "weight"))).drop("member", "weight")
 
 
@@ -58,9 +58,14 @@ def medoid(df: DataFrame, bands: list[str], keys: list[str], near: list[str] = M
 
 
 def time_series(df: DataFrame, bands: list[str], years: tuple[int, int], days: tuple[int, int], buffer: int = 0, weights: list[int] | None = None, method: str = "medoid", reducer: Callable | None = None, px: str = "px") -> DataFrame:
-    """Annual composites of a season over moving, weighted windows of years."""
-    season = df.where(in_days(F.col("doy"), *days) & F.col("yr").between(*years))
-    rows = in_windows(season, year_windows(df.sparkSession, *years, buffer, weights))
+    """Annual composites of a season over moving, weighted windows of years.
+
+    A season that wraps over New Year belongs to the year in which it begins, whatever the calendar year of a day in it;
+    its composite is dated to the year with more of its days. ``years`` are those in which seasons begin.
+    """
+    season = df.withColumn("_season", window_year(F.col("t"), *days)).where(F.col("_season").between(*years))
+    windows = year_windows(df.sparkSession, *years, buffer, weights).withColumn("year", F.col("year") + wrap_dates(*days)[1])
+    rows = in_windows(season, windows, "_season").drop("_season")
     if reducer is not None:
         return reduce_bands(rows, bands, [px, "year"], reducer)
     return reduce_bands(rows, bands, [px, "year"]) if method == "median" else medoid(rows, bands, [px, "year"])

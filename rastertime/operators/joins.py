@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +18,26 @@ def equi(a: DataFrame, b: DataFrame, on: list[str], suffix: str, mask_zero: bool
     return out
 
 
+def bin_seconds(hours: float) -> int:
+    """Width of the time bins for a tolerance: its whole seconds, one at least."""
+    if hours < 0:
+        raise ValueError("the tolerance can't be negative")
+    return max(1, ceil(hours * 3600))
+
+
 def nearest_in_time(primary: DataFrame, secondary: DataFrame, on: list[str], hours: float, key: list[str], ties: list[str], suffix: str = "_2", t: str = "t") -> DataFrame:
     """Each primary row with the secondary row of its group that is nearest in time, within ``hours``; others drop out.
 
     Time is cut into bins as wide as the tolerance. A secondary row is posted in its own bin and its two neighbours, so
     the range condition becomes an equi-join, and a group with a long history is spread over its bins.
     """
-    width = int(hours * 3600)
+    width = bin_seconds(hours)
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     left = primary.withColumn("_s", seconds(t)).withColumn("_bin", F.floor(F.col("_s") / width))
     right = secondary.select(*on, *[F.col(c).alias(f"{c}{suffix}") for c in secondary.columns if c not in on]).withColumn("_s2", seconds(f"{t}{suffix}"))
     here = F.floor(F.col("_s2") / width)
     right = right.withColumn("_bin", F.explode(F.array(here - 1, here, here + 1)))
-    met = left.join(right, [*on, "_bin"]).withColumn("_gap", F.abs(F.col("_s") - F.col("_s2"))).where(F.col("_gap") <= width)
+    met = left.join(right, [*on, "_bin"]).withColumn("_gap", F.abs(F.col("_s") - F.col("_s2"))).where(F.col("_gap") <= hours * 3600)
     kept = [c for c in primary.columns if c not in key]
     found = [c for c in right.columns if c.endswith(suffix)]
     best = F.min_by(F.struct(*kept, *found, F.col("_gap").alias("gap_seconds")), F.struct("_gap", *[f"{c}{suffix}" for c in ties]))
@@ -44,7 +53,7 @@ def spatio_temporal(primary: DataFrame, secondary: DataFrame, hours: float, key:
 
     Both sides are posted under the grid cells that their boxes touch and under time bins, which makes an equi-join.
     """
-    width = int(hours * 3600)
+    width = bin_seconds(hours)
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
 
     def cells(df: DataFrame, s: str) -> DataFrame:
@@ -56,7 +65,7 @@ def spatio_temporal(primary: DataFrame, secondary: DataFrame, hours: float, key:
     here = F.floor(F.col("_s2") / width)
     right = right.withColumn("_bin", F.explode(F.array(here - 1, here, here + 1)))
     sides = [{k: F.col(f"{k}{s}") for k in ("x0", "x1", "y0", "y1")} for s in ("", suffix)]
-    met = left.join(right, ["_cx", "_cy", "_bin"]).where(overlap(*sides)).withColumn("_gap", F.abs(F.col("_s") - F.col("_s2"))).where(F.col("_gap") <= width)
+    met = left.join(right, ["_cx", "_cy", "_bin"]).where(overlap(*sides)).withColumn("_gap", F.abs(F.col("_s") - F.col("_s2"))).where(F.col("_gap") <= hours * 3600)
     found = [f"{c}{suffix}" for c in secondary.columns]
     kept = [c for c in primary.columns if c not in key]
     best = F.min_by(F.struct(*kept, *found, F.col("_gap").alias("gap_seconds")), F.struct("_gap", *[f"{c}{suffix}" for c in ties]))

@@ -12,6 +12,7 @@ from rastertime.functions import ccdc as C
 from rastertime.functions import indices as I
 from rastertime.functions import masks as M
 from rastertime.functions import segments as S
+from rastertime.functions.dates import season_year
 from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import composite as P
@@ -52,11 +53,30 @@ def composite_median(obs: DataFrame) -> DataFrame:
     return rounded(P.time_series(clear(obs), FIVE, (1995, 2001), SEASON, method="median"), ["px", "year", "compositeObsCount"], FIVE)
 
 
-@obs_query(f"SELECT px, yr AS year, count(green) AS \"compositeObsCount\", {rounded_sql({b: f'avg({b})' for b in FIVE}, 8)} FROM obs WHERE doy >= 274 OR doy <= 120 GROUP BY px, yr")
+# windows by dates: day 274 of a year to 120 - 1 + 365 days after its 1 January; the later year holds more of the days
+WRAPPED = """y AS (SELECT y, make_date(y::INTEGER, 1, 1) AS jan FROM range(1995, 2002) r(y)),
+wr AS (SELECT obs.*, (y + 1)::INTEGER AS year FROM y JOIN obs ON t::DATE >= jan + 273 AND t::DATE <= jan + (120 - 1 + 365))"""
+
+
+@obs_query(f"WITH {WRAPPED} SELECT px, year, count(green) AS \"compositeObsCount\", {rounded_sql({b: f'avg({b})' for b in FIVE}, 8)} FROM wr GROUP BY px, year")
 def composite_mean_reducer(obs: DataFrame) -> DataFrame:
     return rounded(P.time_series(obs, FIVE, (1995, 2001), (274, 120), reducer=F.avg), ["px", "year", "compositeObsCount"], FIVE, 8)
 
 
+@obs_query(f"""WITH {WRAPPED}, {_medoid_sql(f"SELECT * FROM wr WHERE {CLEAR}", "px, year")}
+SELECT px, year, cnt AS "compositeObsCount", year(t)::INTEGER AS obs_year, dayofyear(t)::INTEGER AS "julianDay", {rounded_sql(FIVE)} FROM n WHERE nth = 1""")
+def composite_wrapped_medoid(obs: DataFrame) -> DataFrame:
+    """Medoids of seasons that wrap over New Year."""
+    return rounded(P.time_series(clear(obs), FIVE, (1995, 2001), (274, 120)), ["px", "year", "compositeObsCount", "obs_year", "julianDay"], FIVE)
+
+
+@obs_query(f"""WITH {WRAPPED}, w AS (SELECT px, year + k AS year, green, nir FROM wr, range(-1, 2) a(k), range(0, CASE WHEN k = 0 THEN 3 ELSE 1 END) b(i) WHERE year + k BETWEEN 1997 AND 2001)
+SELECT px, year::INTEGER AS year, count(green) AS "compositeObsCount", {rounded_sql({b: f'median({b})' for b in ('green', 'nir')})} FROM w GROUP BY px, year""")
+def composite_wrapped_weighted(obs: DataFrame) -> DataFrame:
+    """Medians over weighted windows of three seasons that wrap over New Year."""
+    return rounded(P.time_series(obs, ["green", "nir"], (1995, 2001), (274, 120), 1, [1, 3, 1], "median"), ["px", "year", "compositeObsCount"], ["green", "nir"])
+
+
 @obs_query(f"""WITH w(year, member, weight) AS (SELECT y, y + k - 1, [1, 5, 1][k + 1] FROM range(1996, 2001) a(y), range(0, 3) b(k)),
 rep AS (SELECT obs.*, w.year FROM obs JOIN w ON obs.yr = w.member, range(0, w.weight) c(i) WHERE doy BETWEEN 152 AND 273 AND {CLEAR})
 SELECT px, year::INTEGER AS year, count(green) AS "compositeObsCount", {rounded_sql({b: f'median({b})' for b in FIVE})} FROM rep GROUP BY px, year""")
@@ -93,11 +113,10 @@ def obs_count(obs: DataFrame) -> DataFrame:
     return obs.groupBy("px", "yr").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(M.fmask(F.col("qa"), "cloud"), F.col("nir"))).alias("clear"))
 
 
-@obs_query(f"SELECT px, (CASE WHEN doy >= 300 THEN yr ELSE yr - 1 END)::INTEGER AS season, {rounded_sql({'nir': 'median(nir)'})}, count(nir) AS \"compositeObsCount\" FROM obs WHERE doy >= 300 OR doy <= 60 GROUP BY 1, 2")
+@obs_query(f"""WITH y AS (SELECT y::INTEGER AS season, make_date(y::INTEGER, 1, 1) AS jan FROM range(1990, 2003) r(y))
+SELECT px, season, {rounded_sql({'nir': 'median(nir)'})}, count(nir) AS "compositeObsCount" FROM y JOIN obs ON t::DATE >= jan + 299 AND t::DATE <= jan + (60 - 1 + 365) GROUP BY 1, 2""")
 def wrap_dates_composite(obs: DataFrame) -> DataFrame:
-    from rastertime.functions.dates import in_days, season_year
-
-    rows = obs.where(in_days(F.col("doy"), 300, 60)).withColumn("season", season_year(F.col("t"), 300, 60).cast("int"))
+    rows = obs.withColumn("season", season_year(F.col("t"), 300, 60).cast("int")).where("season IS NOT NULL")
     return rounded(P.reduce_bands(rows, ["nir"], ["px", "season"]), ["px", "season", "compositeObsCount"], ["nir"])
 
 
@@ -427,8 +446,8 @@ def ccdc_annual_slope(obs: DataFrame) -> DataFrame:
     return rounded(C.annualize(ccdc_synth(obs), "segs", 1995, 2001, ["px"]), ["px", "year"], ["fitted", "fit_slope"])
 
 
-@obs_query(f"""WITH {CCDC}, s AS (SELECT px, brk, mag, CASE WHEN mag < 0 THEN 'loss' ELSE 'gain' END AS kind FROM sg3 WHERE prob >= 1 AND mag <> 0)
-SELECT p.px, {', '.join(f"round(arg_max({c}, {o}) FILTER (WHERE kind = '{k}'), 6) AS {w}_{k}_{n}" for k in ('loss', 'gain') for w, o in (('newest', 'brk'), ('largest', 'abs(mag)')) for n, c in (('year', 'brk'), ('mag', 's.mag')))}
+@obs_query(f"""WITH {CCDC}, s AS (SELECT px, brk, mag, prob, CASE WHEN mag < 0 THEN 'loss' ELSE 'gain' END AS kind FROM sg3 WHERE mag <> 0)
+SELECT p.px, {', '.join(f"CASE WHEN arg_max(prob, {o}) FILTER (WHERE kind = '{k}') >= 1 THEN round(arg_max({c}, {o}) FILTER (WHERE kind = '{k}'), 6) END AS {w}_{k}_{n}" for k in ('loss', 'gain') for w, o in (('newest', 'brk'), ('largest', 'abs(mag)')) for n, c in (('year', 'brk'), ('mag', 's.mag')))}
 FROM (SELECT DISTINCT px FROM sg3) p LEFT JOIN s ON s.px = p.px GROUP BY p.px""")
 def ccdc_change(obs: DataFrame) -> DataFrame:
     return rounded(ccdc_synth(obs), ["px"], C.changes(F.col("segs")))

@@ -11,7 +11,7 @@ from rastertime.functions import harmonize as H
 from rastertime.functions import indices as I
 from rastertime.functions import masks as M
 from rastertime.functions.bands import all_band_mask, mask
-from rastertime.functions.dates import in_days
+from rastertime.functions.dates import window_year
 from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import composite as P
@@ -50,9 +50,14 @@ class Options:
     stats: DataFrame | None = None
 
 
+def in_seasons(df: DataFrame, o: Options) -> DataFrame:
+    """Observations in the seasons that begin in the years of the options."""
+    return df.where(window_year(F.col("t"), *o.days).between(*o.years))
+
+
 def landsat_scenes(df: DataFrame, o: Options) -> DataFrame:
     """Season, then the masks in their fixed order, then indices; one shuffle by pixel if a history mask is on."""
-    df = all_band_mask(df.where(F.col("yr").between(*o.years) & in_days(F.col("doy"), *o.days)), I.SIX)
+    df = all_band_mask(in_seasons(df, o), I.SIX)
     if o.cloud_score:
         df = K.cloud_score_mask(df, M.landsat_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
     if o.fmask_cloud:
@@ -69,7 +74,7 @@ def landsat_scenes(df: DataFrame, o: Options) -> DataFrame:
 
 
 def sentinel2_scenes(df: DataFrame, o: Options) -> DataFrame:
-    df = all_band_mask(df.where(F.col("yr").between(*o.years) & in_days(F.col("doy"), *o.days)), I.SIX)
+    df = all_band_mask(in_seasons(df, o), I.SIX)
     if o.cloud_score:
         df = K.cloud_score_mask(df, M.sentinel2_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
     if o.cloud_probability is not None:
@@ -82,7 +87,7 @@ def sentinel2_scenes(df: DataFrame, o: Options) -> DataFrame:
 
 
 def modis_scenes(df: DataFrame, o: Options) -> DataFrame:
-    df = df.where(F.col("yr").between(*o.years) & in_days(F.col("doy"), *o.days))
+    df = in_seasons(df, o)
     df = K.cloud_score_mask(df, M.modis_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
     return with_indices(K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, ("nir", "swir2"), o.stats))
 
@@ -178,8 +183,10 @@ def recipe_modis(obs: DataFrame) -> DataFrame:
     return _shown(composites(modis_scenes(obs, o), o))
 
 
-@obs_query("SELECT px, yr AS year, count(nir) AS \"compositeObsCount\", round(avg(nir), 9) AS nir, round(avg(temp), 9) AS temp FROM obs WHERE doy >= 274 OR doy <= 273 GROUP BY px, yr")
+@obs_query("""WITH y AS (SELECT y, make_date(y::INTEGER, 1, 1) AS jan FROM range(1995, 2002) r(y))
+SELECT px, (y + 1)::INTEGER AS year, count(nir) AS "compositeObsCount", round(avg(nir), 9) AS nir, round(avg(temp), 9) AS temp
+FROM y JOIN obs ON t::DATE >= jan + 273 AND t::DATE <= jan + (273 - 1 + 365) GROUP BY px, y""")
 def recipe_climate(obs: DataFrame) -> DataFrame:
-    """Means over a wrapped water year."""
+    """Means over water years, October to September, dated to the later year."""
     out = climate_composites(obs, Options(days=(274, 273)), ["nir", "temp"])
     return rounded(out, ["px", "year", "compositeObsCount"], ["nir", "temp"], 9)

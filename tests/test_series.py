@@ -151,3 +151,44 @@ def test_registration(spark):
     moved = g.assign(row=(g.row + 2) % 16, col=(g.col + 1) % 16, image=1)
     r = M.registration_offsets(spark.createDataFrame(moved), spark.createDataFrame(g), "z", tile=16).first()
     assert (r.dr, r.dc) == (2, 1)
+
+
+def dated(spark, *days):
+    rows = [(1, dt.datetime(y, 1, 1) + dt.timedelta(days=doy - 1), v) for y, doy, v in days]
+    return spark.createDataFrame(rows, "px int, t timestamp_ntz, v double")
+
+
+def test_a_wrapped_season_holds_its_winter(spark):
+    df = dated(spark, (2000, 300, 1.0), (2001, 20, 3.0), (2001, 300, 10.0), (2001, 200, 99.0))
+    out = P.time_series(df, ["v"], (2000, 2001), (274, 120), reducer=F.avg)
+    assert {r.year: (r.v, r.compositeObsCount) for r in out.collect()} == {2001: (2.0, 2), 2002: (10.0, 1)}
+
+
+def test_a_wrapped_season_is_dated_to_the_year_with_more_days(spark):
+    df = dated(spark, (2000, 320, 1.0), (2001, 20, 3.0))
+    out = P.time_series(df, ["v"], (2000, 2000), (300, 60), reducer=F.avg).collect()
+    assert [(r.year, r.v) for r in out] == [(2000, 2.0)]
+
+
+def test_the_end_of_a_wrapped_season_after_a_leap_year(spark):
+    df = dated(spark, (2001, 119, 1.0), (2001, 120, 5.0), (2002, 120, 7.0))  # 2000 has 366 days
+    out = P.time_series(df, ["v"], (2000, 2001), (274, 120), reducer=F.avg)
+    assert {r.year: r.v for r in out.collect()} == {2001: 1.0, 2002: 7.0}
+
+
+def test_an_uncertain_largest_loss_is_no_loss(spark):
+    from rastertime.functions import ccdc as C
+
+    seg = "px int, segs array<struct<tStart: double, tEnd: double, tBreak: double, changeProb: double, mag: double>>"
+    df = spark.createDataFrame([(1, [(1990.0, 1995.0, 1995.5, 1.0, -0.1), (1996.0, 1998.0, 1998.5, 0.5, -0.4), (1999.0, 2003.0, 2003.5, 1.0, 0.2)])], seg)
+    r = df.select(*[c.alias(n) for n, c in C.changes(F.col("segs")).items()]).first()
+    assert (r.largest_loss_year, r.largest_loss_mag, r.newest_loss_year) == (None, None, None)
+    assert (r.largest_gain_year, r.newest_gain_mag) == (2003.5, 0.2)
+
+
+def test_a_tolerance_under_a_second(spark):
+    from rastertime.operators import joins as J
+
+    a = dated(spark, (2000, 10, 1.0), (2000, 11, 2.0))
+    got = J.nearest_in_time(a, a, ["px"], 0.0, ["px", "t"], ["t"]).collect()
+    assert sorted((r.v, r.v_2) for r in got) == [(1.0, 1.0), (2.0, 2.0)]
