@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rastertime.sources.scratch import materialise, release, shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a lookup table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -17,23 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="rastertime-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it again, which cuts the lineage for good."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rt-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,6 +27,14 @@ def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", bound: int
     return big.join(small, on, how)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores after it as make it none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -56,31 +46,37 @@ def unit_hash(key: Column, seed: str) -> Column:
 
 
 def ordered_rank(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds the gapless rank from 0 of each row in its group, by ``order``.
+    """Adds the gapless rank from 0 of each row in its group, by ``order``; a column of that name is replaced.
 
     One range shuffle deals the rows out, whatever the size of a group; the position in a sorted partition plus the
-    rows of the group in earlier partitions is the rank. Rows that tie in every order column are interchangeable.
+    rows of the group in earlier partitions is the rank. Rows that tie in every order column are interchangeable. Other
+    columns stay, whatever their names.
     """
+    if name not in (*groups, *order):
+        df = df.drop(name)
     keys = [F.col(c) for c in (*groups, *order)]
+    at, part, base, part_of = (unused(c, df.columns) for c in ("at", "part", "base", "part_of"))
+    of = {g: unused(f"{g}_of", df.columns) for g in groups}
     placed = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*groups, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    starts = starts.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first"))
-    right = starts.select(*[F.col(g).alias(f"_{g}_of") for g in groups], F.col("_part").alias("_part_of"), "_base")
-    same = F.col("_part") == F.col("_part_of")
+    placed = materialise(placed.withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(at, 33)).withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    first, rows = unused("first", df.columns), unused("rows", df.columns)
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*groups, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(rows))
+    starts = starts.withColumn(base, F.coalesce(F.sum(rows).over(before), F.lit(0)) - F.col(first))
+    right = starts.select(*[F.col(g).alias(of[g]) for g in groups], F.col(part).alias(part_of), base)
+    same = F.col(part) == F.col(part_of)
     for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}_of"))
-    return placed.join(right, same).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_part", *right.columns)
+        same = same & F.col(g).eqNullSafe(F.col(of[g]))
+    rank = F.col(at) + F.col(base)
+    return placed.join(right, same).select(*[rank.alias(name) if c == name else F.col(c) for c in df.columns], *([] if name in df.columns else [rank.alias(name)]))
 
 
 def ranges(rows: DataFrame, key: str) -> tuple[Column, int]:
     """The number of the range of a long column that a row falls in, and how many ranges of about equal rows there are.
 
-    Only the bounds, fewer than the shuffle partitions, pass through the driver.
+    Only the bounds, fewer than the shuffle partitions, pass through the driver. They are one array in the plan, and a
+    row finds its range by halving.
     """
     parts = partitions(rows.sparkSession)
     if parts < 2:
@@ -89,9 +85,17 @@ def ranges(rows: DataFrame, key: str) -> tuple[Column, int]:
     cuts = sorted(set(cut))
     if not cuts:
         return F.lit(0), 1
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col(key))), len(cuts) + 1
+    bounds, steps = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+
+    def halve(low: Column, step: Column) -> Column:  # as many bounds as ``low`` are no larger than the key
+        return F.when(F.get(bounds, low + step - 1) <= F.col(key), low + step).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), halve), len(cuts) + 1
 
 
 def ordering_key(column: str) -> Column:
     """An id as a long that sorts nulls first."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+__all__ = ["attach", "materialise", "n_words", "ordered_rank", "ordering_key", "partitions", "ranges", "release", "shared_dir", "table", "unit_hash", "unused"]
