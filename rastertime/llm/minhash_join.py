@@ -66,8 +66,8 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches (rows of ``a`` with rows of ``b``, or one row) leave a link possible."""
-    empty = ((a | b) == 0).sum(axis=-1)
-    same, n, t = (a == b).sum(axis=-1) - empty, BINS - empty, percent / 100
+    empty = np.count_nonzero((a | b) == 0, axis=-1) if not (b.all() or a.all()) else 0
+    same, n, t = np.count_nonzero(a == b, axis=-1) - empty, BINS - empty, percent / 100
     return same >= t * n - SHORT * np.sqrt(t * (1 - t) * n)
 
 
@@ -258,6 +258,8 @@ def boundary(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             up_to = np.searchsorted(size, size * 100 // percent, side="right")  # larger sets have too little in common
             for i, end in enumerate(up_to.tolist()):
                 j = np.flatnonzero(of[i + 1 : end] != of[i]) + i + 1
+                if found[i]:
+                    j = j[~found[j]]
                 if len(j):
                     hit = j[may_link(x[j], x[i], percent)]
                     found[hit] = True

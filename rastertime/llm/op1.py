@@ -29,11 +29,18 @@ s2 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER be
 s3 AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER () AS open FROM s2),
 s4 AS (SELECT *, CASE WHEN open IS NULL OR cap::DOUBLE <= open * w::DOUBLE THEN cap::DOUBLE ELSE open * w::DOUBLE END AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0::DOUBLE END AS rate FROM s4),
-s6 AS (SELECT source, source_size, target, floor(rate)::BIGINT AS c, rate - floor(rate) AS f,
-              floor(target + 0.5::DOUBLE)::BIGINT - floor(rate)::BIGINT * source_size AS rest FROM s5),
-r0 AS (SELECT b.doc_id, b.size, s.*, CASE WHEN f > 0 AND f < 1 THEN (u / (1 - u)) / (f / (1 - f)) END AS q
-       FROM base b JOIN s6 s ON b.source IS NOT DISTINCT FROM s.source),
-r1 AS (SELECT *, rest - (sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size) AS room FROM r0),
-r2 AS (SELECT *, CASE WHEN rest <= 0 OR q IS NULL OR room <= 0 THEN 0 WHEN room >= size THEN size ELSE room END AS extra FROM r1)
-SELECT doc_id, size, source_size, target, (c * size + extra)::BIGINT AS taken, (c + CASE WHEN extra > 0 THEN 1 ELSE 0 END)::BIGINT AS copies FROM r2
+s6 AS (SELECT source, source_size, target, floor(rate)::BIGINT AS c0, floor(target + 0.5::DOUBLE)::BIGINT - floor(rate)::BIGINT * source_size AS rest0 FROM s5),
+s7 AS (SELECT source, source_size, target, c0 + CASE WHEN rest0 > 0 AND rest0 >= source_size THEN 1 ELSE 0 END AS c,
+              CASE WHEN rest0 > 0 AND rest0 >= source_size THEN 0 ELSE rest0 END AS rest FROM s6),
+k0 AS (SELECT source, length(bin(size)) AS m, sum(size)::BIGINT AS words FROM base GROUP BY 1, 2),
+k1 AS (SELECT k0.source, m, (rest - coalesce(sum(words) OVER (PARTITION BY k0.source ORDER BY m DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                        / nullif((sum(words * m) OVER (PARTITION BY k0.source ORDER BY m DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE, 0) AS ck
+       FROM k0 JOIN s7 ON k0.source IS NOT DISTINCT FROM s7.source WHERE rest > 0),
+k2 AS (SELECT source, arg_max(ck, m) FILTER (WHERE ck * m::DOUBLE <= 1) AS scale FROM k1 GROUP BY source),
+r0 AS (SELECT b.doc_id, b.size, b.u, s.*, k.scale * length(bin(b.size))::DOUBLE AS pi
+       FROM base b JOIN s7 s ON b.source IS NOT DISTINCT FROM s.source LEFT JOIN k2 k ON b.source IS NOT DISTINCT FROM k.source),
+r1 AS (SELECT *, CASE WHEN pi >= 1 THEN 0 WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM r0),
+r2 AS (SELECT *, rest - (sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) - size) AS room FROM r1),
+r3 AS (SELECT *, CASE WHEN rest <= 0 OR q IS NULL OR room <= 0 THEN 0 WHEN room >= size THEN size ELSE room END AS extra FROM r2)
+SELECT doc_id, size, source_size, target, (c * size + extra)::BIGINT AS taken, (c + CASE WHEN extra > 0 THEN 1 ELSE 0 END)::BIGINT AS copies FROM r3
 """

@@ -93,8 +93,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     posts = posts.join(df, "chain").withColumn("nth", F.row_number().over(rarest))
     posts = posts.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("df") > 1))
     length = F.floor(F.log(F.col("size").cast("double")) / F.lit(-float(np.log(percent / 100)))).cast("int")
-    posts = posts.select("id", F.explode(F.array(length, length + 1)).alias("length"), "chain")
-    posts = materialise(posts.select("id", F.xxhash64("length", "chain").alias("list")))
+    posts = posts.select("id", "size", F.explode(F.array(length, length + 1)).alias("length"), "chain")
+    posts = materialise(posts.select("id", "size", F.xxhash64("length", "chain").alias("list")))
     lists = posts.join(posts.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "list")
     sets = reps.select("id", F.unhex("fingerprint").alias("s"))
     groups = components(block_edges(lists.withColumn("component", F.col("id")), sets, percent, ">u4"))

@@ -96,6 +96,21 @@ def test_mix_reaches_its_targets(spark):
     assert abs(sum({r.source: r.target for r in out}.values()) - sum(r.size for r in out)) < 1e-6
 
 
+def test_documents_are_taken_at_their_own_rates(spark):
+    rows = [(i, "word " * (2 if i % 2 else 300)) for i in range(400)]  # 2 and 9 bits
+    d = frame(spark, rows).withColumn("source", F.lit("a")).cache()
+    share = {2: [], 300: []}
+    for seed in range(6):
+        out = pareto_mix.pareto_mix(d, F.regexp_count("text", F.lit("word")), (1,), share=0.5, seed=f"s{seed}").collect()
+        for size in share:
+            own = [r for r in out if r.size == size]
+            share[size].append(sum(r.copies for r in own) / len(own))
+        assert sum(r.taken for r in out) == round(out[0].target) == 30200
+    low, high = (sum(x) / len(x) for x in (share[2], share[300]))
+    scale = 30200 / (200 * 2 * 2 + 200 * 300 * 9)
+    assert abs(low - 2 * scale) < 0.05 and abs(high - 9 * scale) < 0.05
+
+
 def test_adding_a_shard_moves_rows_only_into_it(spark):
     d = frame(spark, [(i, "x") for i in range(2000)])
     got = jump_hash.shard(d, 8).collect()
