@@ -42,9 +42,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as a Pareto order sample takes, whole ones only."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("_words"), F.struct(*docs.columns).alias("_row"))
-    mixed = pareto_mix(rows, F.col("_words"), WEIGHTS, MOST, boundary="nearest")
-    return mixed.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("n_words"), F.struct(*docs.columns).alias("document"))
+    mixed = pareto_mix(rows, F.col("n_words"), WEIGHTS, MOST, boundary="nearest")
+    return mixed.where("copies > 0").select("document", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("document.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
