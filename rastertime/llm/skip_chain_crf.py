@@ -1,17 +1,20 @@
 """Personal data by patterns and a skip-chain conditional random field (Sutton and McCallum, 2004).
 
-The patterns give base spans. Tokens with a digit or an @ are the nodes of one graph per document, over whole texts:
-neighbouring tokens share chain potentials, and tokens that repeat or hold the same digits, however far apart, share
-skip potentials. Tokens under base spans are observed; loopy message passing carries their labels to the others, and
-those whose belief is high become added spans. Base spans always stay.
-
-Node and chain weights maximise the pseudo-likelihood of the base labels, the skip weight is the smoothed log odds that
-linked tokens agree. All documents count: tasks sum tokens by their description, of which there is a bounded number.
+The patterns give base spans. Each base span is an observed node of its document's graph, and so is not each other token
+with a digit or an @, over whole texts: its label is unknown. Neighbouring nodes share chain potentials. Nodes that are
+similar, however far apart, share skip potentials: equal but for letter case, at an edit distance of one, or with the
+same last seven digits. Loopy message passing runs until the messages settle, and nodes whose belief in a kind is high
+become added spans. Base spans always stay.
+
+Node and chain weights maximise the pseudo-likelihood of the base labels over all documents; nodes that are similar to a
+base span are left out of these counts, as their label is what is asked for. The skip weight is the smoothed log odds
+that similar base spans are of one kind. Tasks sum nodes by their description, of which there is a bounded number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Belief from which an unobserved token is added.
 CERTAIN = 0.9
-ROUNDS = 10
+#: Messages stop once none moves by more than this, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-4, 200
 #: Digits up to which neighbouring tokens of a kind are one span.
 MOST_DIGITS = {"card": 19, "phone": 15}
 
@@ -80,22 +84,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-@dataclass
-class Tokens:
-    """The nodes of one document."""
-
-    spans: list[tuple[int, int]]  # without marks at either side
-    codes: np.ndarray  # what the token looks like
-    seen: np.ndarray  # label by base spans; 0 where none covers it
-    chain: np.ndarray  # pairs of neighbours with blanks alone between them
-    skip: np.ndarray  # pairs of distant tokens that repeat or hold the same digits
-
+#: Length from which a token links to its repeats and to tokens with the same last digits, and lengths at which an edit
+#: distance of one counts (a longer token is no card, phone or address of practical use).
+LONG, TAIL, EDITED = 5, 7, range(8, 65)
 
 #: Sizes of the parts of a code: @, leading +, bracket, hyphen, letters, Luhn, dots, digits.
 _FIELDS = (2, 2, 2, 2, 2, 2, 5, 7)
 CODES = int(np.prod(_FIELDS))
 
 
+@dataclass
+class Graph:
+    """The nodes of one document, in order."""
+
+    spans: list[tuple[int, int]]  # a base span, or a token without marks at either side
+    codes: np.ndarray  # what the node looks like
+    seen: np.ndarray  # label of a base span, 0 of other tokens
+    chain: np.ndarray  # pairs of neighbours with blanks alone between them
+    skip: np.ndarray  # pairs of similar nodes
+
+
 def _code(core: str, digits: str) -> int:
     n = len(digits)
     bucket = (n > 0) + (n > 3) + (n > 6) + (n > 9) + (n > 15) + (n > 19)
@@ -115,12 +123,37 @@ def _indicators() -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
-    covered = sorted((a, b, k + 1) for k, a, b in base)
-    spans, codes, seen, chain, skip = [], [], [], [], []
-    last: dict[str, int] = {}
-    first: dict[str, int] = {}
-    j = 0
+def similar(cores: list[str], digits: list[str]) -> set[tuple[int, int]]:
+    """Pairs of places of similar nodes. Of nodes that share a reason, each meets the first and the one before it, so pairs
+    are linear in the text and still join all of them."""
+    out: set[tuple[int, int]] = set()
+    ends: dict[object, tuple[int, int]] = {}  # reason: first and latest place
+
+    def meet(reason: object, i: int) -> None:
+        first, latest = ends.get(reason, (i, i))
+        out.update((x, i) for x in {first, latest} if x != i)
+        ends[reason] = (first, i)
+
+    for i, (core, d) in enumerate(zip(cores, digits)):
+        if len(core) >= LONG:
+            meet(core, i)
+        if len(d) >= TAIL:
+            meet((1, d[-TAIL:]), i)
+    by: dict[str, int] = {}
+    for i, core in enumerate(cores):
+        if len(core) in EDITED:
+            by.setdefault(core, i)
+    if len(by) > 1:  # different cores at distance one agree once a character is left out of one or both
+        for core, i in by.items():
+            meet((2, core), i)
+            for less in {core[:k] + core[k + 1 :] for k in range(len(core))}:
+                meet((2, less), i)
+    return out
+
+
+def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
+    nodes = [(a, b, k + 1) for k, a, b in base]
+    covered, j = sorted((a, b) for _, a, b in base), 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         while a < b and not (text[a].isalnum() or text[a] in "+(@"):
@@ -129,26 +162,30 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> Tokens:
             b -= 1
         if a == b:
             continue
-        core, i = text[a:b], len(spans)
-        digits = _DIGITS.sub("", core)
         while j < len(covered) and covered[j][1] <= a:
             j += 1
-        label = next((k for x, y, k in covered[j : j + 8] if x < b and y > a), 0)
-        if spans and not text[spans[-1][1] : a].strip(" "):
-            chain.append((i - 1, i))
-        spans.append((a, b))
-        codes.append(_code(core, digits))
-        seen.append(label)
-        keys = [core.lower()] if len(core) >= 5 else []
-        if len(digits) >= 7 and digits != core:
-            keys.append(digits)
-        for key in keys:
-            if key in last:
-                skip += [(x, i) for x in {last[key], first[key]}]
-            first.setdefault(key, i)
-            last[key] = i
-    two = lambda x: np.array(x, np.int64).reshape(-1, 2)
-    return Tokens(spans, np.array(codes, np.int64), np.array(seen, np.int64), two(chain), two(skip))
+        # base spans of different kinds may overlap, so one that ends further on may begin earlier
+        if not any(x < b and y > a for x, y in itertools.takewhile(lambda c: c[0] < b, itertools.islice(covered, j, None))):
+            nodes.append((a, b, 0))
+    nodes.sort()
+    cores = [text[a:b].lower() for a, b, _ in nodes]
+    digits = [_DIGITS.sub("", c) for c in cores]
+    beside = [(i - 1, i) for i in range(1, len(nodes)) if nodes[i - 1][1] <= nodes[i][0] and not text[nodes[i - 1][1] : nodes[i][0]].strip(" ")]
+    two = lambda x: np.array(sorted(x), np.int64).reshape(-1, 2)
+    codes = np.array([_code(c, d) for c, d in zip(cores, digits)], np.int64)
+    return Graph([(a, b) for a, b, _ in nodes], codes, np.array([k for *_, k in nodes], np.int64), two(beside), two(similar(cores, digits)))
+
+
+def together(graphs: list[Graph]) -> tuple[Graph, np.ndarray]:
+    """Several graphs as one without edges between them, and the number of the graph of each node."""
+    sizes = [len(g.spans) for g in graphs]
+    start = np.cumsum([0, *sizes[:-1]])
+    cat = lambda xs, like: np.concatenate(xs) if xs else np.zeros(like, np.int64)
+    whole = Graph(
+        [s for g in graphs for s in g.spans], cat([g.codes for g in graphs], 0), cat([g.seen for g in graphs], 0),
+        cat([g.chain + k for g, k in zip(graphs, start)], (0, 2)), cat([g.skip + k for g, k in zip(graphs, start)], (0, 2)),
+    )
+    return whole, np.repeat(np.arange(len(graphs)), sizes)
 
 
 @dataclass
@@ -157,47 +194,77 @@ class SkipChain:
     chain: np.ndarray  # by label and next label
     skip: float
 
-    def beliefs(self, t: Tokens) -> np.ndarray:
-        """Marginals of every token after ROUNDS of parallel sum-product messages over both kinds of edges."""
-        n, k = len(t.spans), len(LABELS)
-        phi = self.node[t.codes].copy()
-        phi[t.seen > 0] = -30
-        phi[t.seen > 0, t.seen[t.seen > 0]] = 0
-        src = np.concatenate([t.chain[:, 0], t.chain[:, 1], t.skip[:, 0], t.skip[:, 1]])
-        dst = np.concatenate([t.chain[:, 1], t.chain[:, 0], t.skip[:, 1], t.skip[:, 0]])
-        c, s = len(t.chain), len(t.skip)
-        back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-        pot = np.concatenate([np.broadcast_to(self.chain, (c, k, k)), np.broadcast_to(self.chain.T, (c, k, k)), np.broadcast_to(self.skip * np.eye(k), (2 * s, k, k))])
-        msg = np.zeros((len(src), k))
-        belief = phi
-        for _ in range(ROUNDS if len(src) else 0):
-            x = (belief[src] - msg[back])[:, :, None] + pot
-            top = x.max(axis=1)
-            new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-            msg = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))  # damped
-            belief = phi.copy()
-            np.add.at(belief, dst, msg)
+    def beliefs(self, g: Graph, of: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of every node by parallel, damped sum-product messages over both kinds of edges.
+
+        Each graph's messages stop once none of them moves by TOLERANCE, so a document's beliefs don't depend on those
+        that are worked on with it; one that doesn't settle stops after ROUNDS.
+        """
+        k = len(LABELS)
+        of = np.zeros(len(g.spans), np.int64) if of is None else of
+        phi = self.node[g.codes].astype(float)
+        phi[g.seen > 0] = -30
+        phi[g.seen > 0, g.seen[g.seen > 0]] = 0
+        c, s = len(g.chain), len(g.skip)
+        src = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.skip[:, 0], g.skip[:, 1]])
+        dst = np.concatenate([g.chain[:, 1], g.chain[:, 0], g.skip[:, 1], g.skip[:, 0]])
+        back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c]).astype(np.int64)
+        kind = np.concatenate([np.zeros(c), np.ones(c), np.full(2 * s, 2)]).astype(np.int64)
+        pots = np.exp(np.stack([self.chain, self.chain.T, self.skip * np.eye(k)]))
+        msg, belief = np.zeros((len(src), k)), phi.copy()
+        live = np.arange(len(src))
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
+            x = belief[src[live]] - msg[back[live]]
+            x = np.exp(x - x.max(axis=1, keepdims=True))
+            new = np.empty_like(x)
+            for e in range(3):
+                mine = kind[live] == e
+                new[mine] = x[mine] @ pots[e]
+            new = np.log(new)
+            new = 0.5 * msg[live] + 0.5 * (new - new.max(axis=1, keepdims=True))
+            moved = np.abs(new - msg[live]).max(axis=1)
+            np.add.at(belief, dst[live], new - msg[live])
+            msg[live] = new
+            most = np.zeros(int(of.max()) + 1)
+            np.maximum.at(most, of[src[live]], moved)
+            live = live[most[of[src[live]]] >= TOLERANCE]
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of tokens that no base span covers and whose belief in a kind is CERTAIN; neighbours of a kind join."""
-        if not base:
-            return []
-        t = tokens(text, base)
-        if not len(t.skip) or (t.seen > 0).all():
-            return []
-        p = self.beliefs(t)
+    def added(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """For each text, spans of tokens that no base span covers and whose belief in a kind is CERTAIN.
+
+        Neighbouring tokens of a kind are one span. A text in which every node is a base span, or none can be one of
+        the kinds, has none without any messages: beliefs of nodes without edges are those of their look alone.
+        """
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        graphs = [graph(t, b) for t, b in zip(texts, bases)]
+        open_ = [i for i, g in enumerate(graphs) if (g.seen == 0).any()]
+        for at in range(0, len(open_), 256):
+            part = open_[at : at + 256]
+            whole, of = together([graphs[i] for i in part])
+            p = self.beliefs(whole, of)
+            start = 0
+            for i in part:
+                g = graphs[i]
+                out[i] = self._spans(texts[i], g, p[start : start + len(g.spans)])
+                start += len(g.spans)
+        return out
+
+    def _spans(self, text: str, g: Graph, p: np.ndarray) -> list[tuple[int, int, int]]:
         kind = p.argmax(axis=1)
+        sure = np.flatnonzero((kind > 0) & (g.seen == 0) & (p.max(axis=1) >= CERTAIN))
+        joined = {(int(a), int(b)) for a, b in g.chain} if len(sure) else set()
         out: list[list[int]] = []
-        joined = {(int(a), int(b)) for a, b in t.chain}
-        for i, k in enumerate(kind):
-            if k and not t.seen[i] and p[i, k] >= CERTAIN:
-                fits = out and sum(c.isdecimal() for c in text[out[-1][1] : t.spans[i][1]]) <= MOST_DIGITS.get(KINDS[k - 1], 0)
-                if fits and out[-1][0] == k - 1 and out[-1][3] == i - 1 and (i - 1, i) in joined:
-                    out[-1][2:] = [t.spans[i][1], i]
-                else:
-                    out.append([int(k) - 1, *t.spans[i], i])
+        for i in sure.tolist():
+            k, (a, b) = int(kind[i]) - 1, g.spans[i]
+            fits = out and sum(c.isdecimal() for c in text[out[-1][1] : b]) <= MOST_DIGITS.get(KINDS[k], 0)
+            if fits and out[-1][0] == k and out[-1][3] == i - 1 and (i - 1, i) in joined:
+                out[-1][2:] = [b, i]
+            else:
+                out.append([k, a, b, i])
         return [(k, a, b) for k, a, b, _ in out]
 
 
@@ -214,15 +281,18 @@ def train(docs: DataFrame, text: str = "text", steps: int = 300) -> SkipChain:
             for x in pdf[text]:
                 if not isinstance(x, str) or not x:
                     continue
-                t = tokens(x, base_spans(x))
+                t = graph(x, base_spans(x))
                 if not t.spans:
                     continue
                 left, right = np.full(len(t.spans), -1), np.full(len(t.spans), -1)
                 left[t.chain[:, 1]] = t.seen[t.chain[:, 0]]
                 right[t.chain[:, 0]] = t.seen[t.chain[:, 1]]
-                total.update(zip(t.codes.tolist(), t.seen.tolist(), left.tolist(), right.tolist()))
                 near = t.seen[t.skip]
-                hit = near.any(axis=1)
+                asked = np.zeros(len(t.spans), bool)
+                asked[t.skip[near[:, 1] > 0, 0]] = asked[t.skip[near[:, 0] > 0, 1]] = True
+                known = np.flatnonzero((t.seen > 0) | ~asked)
+                total.update(zip(t.codes[known].tolist(), t.seen[known].tolist(), left[known].tolist(), right[known].tolist()))
+                hit = near.all(axis=1)
                 total[-1, 0, 0, 0] += int((hit & (near[:, 0] != near[:, 1])).sum())
                 total[-1, 1, 0, 0] += int((hit & (near[:, 0] == near[:, 1])).sum())
         yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["code", "label", "before", "after", "n"], dtype="int64")
@@ -264,11 +334,11 @@ def find(docs: DataFrame, model: SkipChain, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for x in pdf[text]:
-                x = x if isinstance(x, str) else ""
-                base = base_spans(x)
+            texts = [x if isinstance(x, str) else "" for x in pdf[text]]
+            bases = [base_spans(x) for x in texts]
+            for base, more in zip(bases, held.value.added(texts, bases)):
                 counts = Counter(k for k, _, _ in base)
-                out.append((*(counts[i] for i in range(len(KINDS))), hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + held.value.added(x, base))))
+                out.append((*(counts[i] for i in range(len(KINDS))), hashlib.sha256(shown(base).encode()).hexdigest(), shown(base + more)))
             made = pd.DataFrame(out, columns=names, index=pdf.index)
             yield pd.concat([pdf, made.astype({n: "int64" for n in names[:4]})], axis=1)
 
