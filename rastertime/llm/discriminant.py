@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastertime.llm.base import materialise
-from rastertime.llm.text import held_out
+from rastertime.llm.text import agreed, held_out
 
 #: What a text is described by, in the order of the vector.
 STATISTICS = ("log_words", "log_word_bytes", "upper", "marks", "digits", "distinct_words", "top_word", "distinct_lines", "repeated_next", "log_line_words", "short_words", "long_words", "entropy", "high_bytes")
@@ -131,9 +131,12 @@ def describe(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
-    """Fits on every labelled row outside the held-out fold; Spark sums the moments, one row per class comes back."""
-    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    rows = stats.join(own.where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "label", "stats")
+    """Fits on every labelled row outside the held-out fold; Spark sums the moments, one row per class comes back.
+
+    Null ids and labels other than 0 and 1 are left out, and so is a document with labels that disagree; repeated rows
+    count each. Without rows, or with one label alone, scores stay near the prior.
+    """
+    rows = stats.join(agreed(labels, label).where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "label", "stats")
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = [F.col("stats")[i] for i in range(d)]
@@ -163,6 +166,10 @@ def score(stats: DataFrame, model: Discriminant, cut: float = 0.7) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = 0.7) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, ...) without its text, with score and predicted."""
+    """Every row of ``docs`` (doc_id, text, ...) without its text, with score and predicted.
+
+    A null or empty text gets the score of its statistics, as any other. Repeated rows score alike, an empty table stays
+    empty, memory is in proportion to the longest text. Input columns named stats, score or predicted are replaced.
+    """
     stats = materialise(describe(docs))
     return score(stats, train(stats, labels, label), cut)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from rastertime.llm.base import materialise, ordering_key, partitions, ranges
 from rastertime.llm.text import mixed
@@ -83,7 +87,7 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     ``length`` little-endian numbers of ``width`` bytes, so slot s lies at (s mod shard_rows) * length * width of shard
     s div shard_rows. Sequences are numbered by document id (nulls first), then part, and permuted by ``seed``. A null
     or empty text is one sequence with the end mark alone; repeated rows are sequences of their own; an empty table
-    gives none. Rows come out in ranges of whole shards, sorted by slot, so each task writes its shards in sequence and
+    gives none; other columns are not read, whatever their names; doc_id is a long, or casts to one. Rows come out in ranges of whole shards, sorted by slot, so each task writes its shards in sequence and
     a rerun writes the same bytes.
     """
     if encoder is None and width == 2 and max(end, pad) > 65535:
@@ -137,24 +141,92 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
     return made.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "part", "n_tokens", "payload")
 
 
-def write_shards(sequences: DataFrame, path: str) -> None:
-    """Parquet with a row per shard: its number, first slot, rows and body, the payloads of its slots end to end."""
+def _store(path: str):
+    """The file system of a path or address that driver and executors can all open, and the path in it."""
+    from pyarrow import fs
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, first, body = None, 0, []
-        for pdf in batches:
-            for s, slot, payload in zip(pdf["shard"], pdf["slot"], pdf["payload"]):
-                if s != number:
-                    if body:
-                        yield pd.DataFrame({"shard": [number], "first_slot": [first], "rows": [len(body)], "body": [b"".join(body)]})
-                    number, first, body = s, slot, []
-                body.append(payload)
-        if body:
-            yield pd.DataFrame({"shard": [number], "first_slot": [first], "rows": [len(body)], "body": [b"".join(body)]})
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+class ShardSink(DataSource):
+    """Spark sink of (shard, slot, payload), sorted by slot within tasks that hold whole shards: a file per shard."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fixed_stride_shards"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ShardWriter(dict(self.options))
+
+
+class ShardWriter(DataSourceWriter):
+    """Tasks write under names of their own attempt; the driver renames what committed tasks wrote, then writes the
+    manifest, so a lost executor or a repeated task leaves no half-written shard under its final name."""
+
+    def __init__(self, options: dict):
+        self.options = options
 
-    sequences.select("shard", "slot", "payload").mapInPandas(join, "shard long, first_slot long, rows long, body binary").write.mode("overwrite").parquet(path)
+    def write(self, rows) -> WriterCommitMessage:
+        store, folder = _store(self.options["path"])
+        store.create_dir(f"{folder}/_attempts")
+        out, files, n = None, [], 0
+        for row in rows:
+            shard = int(row[0])
+            if not files or files[-1][1] != shard:
+                if out:
+                    out.close()
+                files.append((f"{folder}/_attempts/{uuid.uuid4().hex}", shard))
+                out = store.open_output_stream(files[-1][0])
+            out.write(bytes(row[2]))
+            n += 1
+        if out:
+            out.close()
+        return Written(files, n)
 
+    def commit(self, messages) -> None:
+        store, folder = _store(self.options["path"])
+        for m in messages:
+            for path, shard in m.files if m else ():
+                store.move(path, f"{folder}/{shard_name(shard)}")
+        store.delete_dir(f"{folder}/_attempts")
+        facts = {k: int(self.options[k]) for k in ("length", "width", "shard_rows")} | {"slots": sum(m.rows for m in messages if m)}
+        with store.open_output_stream(f"{folder}/manifest.json") as f:
+            f.write(json.dumps(facts).encode())
 
-def read_from(spark, path: str, slot: int, shard_rows: int = 4096) -> DataFrame:
-    """The shards from the one that holds ``slot`` on, in order: where an interrupted reader resumes."""
-    return spark.read.parquet(path).where(F.col("shard") >= slot // shard_rows).orderBy("shard")
+    def abort(self, messages) -> None:
+        store, folder = _store(self.options["path"])
+        store.delete_dir_contents(f"{folder}/_attempts", missing_dir_ok=True)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list
+    rows: int
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
+
+
+def write_shards(sequences: DataFrame, path: str, length: int = 1024, shard_rows: int = 4096, width: int = 2) -> None:
+    """Raw files of ``shard_rows`` payloads of ``length * width`` bytes end to end, and a manifest, in a shared folder.
+
+    A rerun into an empty folder writes the same bytes. Files of an earlier run under the same names are replaced.
+    """
+    sequences.sparkSession.dataSource.register(ShardSink)
+    rows = sequences.select("shard", "slot", "payload")
+    rows.write.format("fixed_stride_shards").mode("append").option("path", path).option("length", length).option("width", width).option("shard_rows", shard_rows).save()
+
+
+def read_slots(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) from a slot on, in order: a reader that stopped resumes with one seek, wherever it stopped."""
+    store, folder = _store(path)
+    with store.open_input_stream(f"{folder}/manifest.json") as f:
+        facts = json.loads(f.read())
+    stride, per_shard = facts["length"] * facts["width"], facts["shard_rows"]
+    while slot < facts["slots"]:
+        with store.open_input_file(f"{folder}/{shard_name(slot // per_shard)}") as f:
+            f.seek(slot % per_shard * stride)
+            while len(raw := f.read(stride)) == stride:
+                yield slot, np.frombuffer(raw, f"<u{facts['width']}")
+                slot += 1

@@ -21,8 +21,8 @@ FIT_ROWS = 4000
 
 
 def hashes(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the byte n-grams of the whole text, an array for each n; in lower case, white space as one blank."""
-    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint64)
+    """Buckets of the character n-grams of the whole text, an array for each n; in lower case, white space as one blank."""
+    b = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(b), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(min(max(SIZES), len(b))):
@@ -101,9 +101,11 @@ def fit(features: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penal
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS) -> NBLinear:
-    """Fits on at most ``rows`` labelled documents outside the held-out fold.
+    """Fits on at most ``rows`` labelled documents (doc_id, text) outside the held-out fold.
 
-    Tasks write down hashed features, not texts. Spark counts documents by bucket and label; only those buckets that get
+    Null texts count as empty ones, null ids and labels other than 0 and 1 are left out, and so is a document with labels
+    that disagree; repeated rows count each. Without rows, or with one label alone, scores are the label's smoothed share.
+    Other columns are not read. Tasks write down hashed features, not texts. Spark counts documents by bucket and label; only those buckets that get
     a weight, and the rows' numbers among them, come to the driver.
     """
 
@@ -148,7 +150,10 @@ def score(docs: DataFrame, model: NBLinear, cut: float = 0.3, text: str = "text"
 
 
 def keep_below(docs: DataFrame, model: NBLinear, cut: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows that score below ``cut``, with their columns as they are; null and empty texts score at the bias."""
+    """The rows that score below ``cut``, with all columns as they are, whatever their names.
+
+    Null and empty texts score as a blank; a score of ``cut`` goes; repeated rows fare alike; an empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,7 +123,12 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text: the last quarter gives way to the next document's beginning."""
+    """Fingerprints of each text and of its edited text: the last quarter gives way to the next document's beginning.
+
+    A row for each row of ``docs``, in the order of ``key`` (a long, or cast to one): a null key comes first, rows with one
+    key are ordered by a hash of the text, and after the last comes the first. Null texts are empty ones; a single row is
+    its own next; an empty table stays empty. Other columns are not read. Memory is in proportion to the longest text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row before, until the row after it comes

@@ -71,13 +71,18 @@ def per_text(df: DataFrame, fn, schema: str, text: str = "text") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the documents labelled 0 or 1, without those whose labels disagree."""
+    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    return own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """Texts and labels of at most ``rows`` labelled documents outside the held-out fold, lowest key hashes first.
 
     Only ids and labels are sorted, by a bounded top-k; texts join the bounded list of ids.
     """
-    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-    own = own.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    own = agreed(labels, label).where(~held_out(F.col("doc_id")))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", "label")
 

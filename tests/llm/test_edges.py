@@ -138,14 +138,6 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
-def test_skip_links_carry_labels(spark):
-    mail = "Write to jane.doe@example.com today. " * 3
-    rows = [(i, mail + "Later: jane.doe@example and again jane.doe@example.com .") for i in range(30)]
-    d = frame(spark, rows)
-    out = skip_chain_crf.find(d, skip_chain_crf.train(d)).first()
-    assert out.n_email == 4 and out.spans.count("email") >= 4
-
-
 def test_one_class_of_labels(spark):
     d = frame(spark, [(i, f"text number {i} with words") for i in range(20)])
     one = labels(spark, [(i, 1, 1) for i in range(20)])

@@ -123,7 +123,7 @@ def test_equal_texts_score_alike(spark, docs):
 
 
 def test_training_order_round_trip(spark, docs, tmp_path):
-    from rastertime.llm.feistel_order import END, PAD, permuted, read_from, training_order, write_shards
+    from rastertime.llm.feistel_order import END, PAD, permuted, read_slots, shard_name, training_order, write_shards
     from rastertime.llm.base import table
 
     df = training_order(table(spark, SF, "documents"), 64, 100, 7)
@@ -138,10 +138,44 @@ def test_training_order_round_trip(spark, docs, tmp_path):
             want[int(permuted(np.array([number]), len(rows), 7)[0])] = (i, j // 64, len(part), np.array(part + [PAD] * (64 - len(part)), "<u2").tobytes())
             number += 1
     assert {r.slot: (r.doc_id, r.part, r.n_tokens, bytes(r.payload)) for r in rows} == want
-    write_shards(df, str(tmp_path / "s"))
-    shards = spark.read.parquet(str(tmp_path / "s")).orderBy("shard").collect()
-    assert b"".join(bytes(s.body) for s in shards) == b"".join(want[k][3] for k in range(len(rows)))
-    assert read_from(spark, str(tmp_path / "s"), 150, 100).first().shard == 1
+    folder = tmp_path / "s"
+    write_shards(df, str(folder), 64, 100)
+    files = sorted(folder.glob("*.bin"))
+    assert [f.name for f in files] == [shard_name(k) for k in range(-(-len(rows) // 100))]
+    assert b"".join(f.read_bytes() for f in files) == b"".join(want[k][3] for k in range(len(rows)))
+    assert [s for s, _ in read_slots(str(folder), 150)] == list(range(150, len(rows)))
+    assert all(ids.tobytes() == want[s][3] for s, ids in read_slots(str(folder), len(rows) - 120))
+    before = {f.name: f.read_bytes() for f in files}
+    write_shards(df, str(folder), 64, 100)
+    assert {f.name: f.read_bytes() for f in folder.glob("*.bin")} == before
+
+
+def test_the_permutation_is_a_feistel_network():
+    """Against one value at a time in plain integers."""
+    from rastertime.llm.feistel_order import ROUNDS, permuted
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def slot(i, n, key):
+        half = 1
+        while 4**half < n:
+            half += 1
+        while True:
+            left, right = i >> half, i & (1 << half) - 1
+            for r in range(1, ROUNDS + 1):
+                left, right = right, left ^ (mix(right ^ mix(key + r * 0x9E3779B97F4A7C15 & mask)) & (1 << half) - 1)
+            i = left << half | right
+            if i < n:
+                return i
+
+    for n, key in ((1, 0), (5, 9), (777, 3), (1 << 20, 12345)):
+        at = np.arange(0, n, max(1, n // 50))
+        assert permuted(at, n, key).tolist() == [slot(int(i), n, key) for i in at]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
