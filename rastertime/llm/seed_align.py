@@ -1,25 +1,37 @@
-"""Benchmark decontamination: pairs of words that every copy must keep point to passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare pairs of words join passages of documents to items, Smith-Waterman alignment scores them.
+
+1. An item's seeds are its pairs of neighbouring words (its words, where it is so short that a copy need not keep a pair).
+   All seeds set bits of a table of fixed size, which tasks use to tell most other words of the documents from seeds.
+2. Passages are runs of words around places where seeds begin, no further apart than the longest copy is wide; a run with
+   fewer seeds than any copy keeps is dropped. Only these runs leave the pass over the documents, as hashes.
+3. Seeds are counted over all passages. Of its p seeds, of which every copy keeps k, an item posts the p - k + JOINED that
+   fewest passages have: a copy must hit JOINED of them. The commoner seeds are never joined.
+4. Passages join items by these rare seeds; pairs with JOINED hits, with k seeds in all and with as many of the item's
+   words as a copy keeps are aligned in tasks.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastertime.llm.base import attach, materialise, release, unused
 from rastertime.llm.text import MIX, WordHashes, mixed
 
 #: A pair of neighbouring item words is found in a document with at most so many words less one between them.
 REACH = 3
 MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
-#: Share of an exact copy's score from which a stretch counts as a copy: just under a third of its words may be others.
-LEAST = 0.6
-#: Items whose seeds and words are broadcast at once; a larger benchmark takes more passes.
-BLOCK_ITEMS = 20_000
+#: Share of an exact copy's score from which a stretch counts as a copy: two fifths of its words may be others.
+LEAST = 0.5
+#: Rare seeds that a passage and an item must share, bits of the table of seeds (as a power of two), words of a passage at
+#: most (or four widths of the longest copy), ids and bytes of item words that are broadcast at most.
+JOINED, BITS, PASSAGE, IDS, BYTES = 2, 26, 1024, 1_000_000, 64 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -67,152 +79,156 @@ def pair_hashes(words: np.ndarray, reach: int) -> list[np.ndarray]:
     return [mixed(first[:-d] + words[d:]) for d in range(1, min(reach, len(words) - 1) + 1)]
 
 
-def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The numbers from each start to before its end, one range after the other."""
-    n = ends - starts
-    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
-
-
-@dataclass
-class Items:
-    """A block of items: ids, words as hashes, what a copy keeps of each, and the distinct seeds with their items and places.
-
-    A seed is a pair of neighbours, or a word where an item is so short that a copy need not keep a pair. Seed k is that of
-    items and places begin[k] to before begin[k + 1]. ``maybe`` tells most other hashes from seeds by their last bits.
-    """
-
-    ids: list
-    words: list[np.ndarray]
-    seeds: np.ndarray
-    matches: np.ndarray
-    width: np.ndarray
-    seed: np.ndarray
-    begin: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
-    by_word: bool
-    maybe: np.ndarray
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str]], least: float = LEAST) -> Items:
-        seen, words, need, seed, item, place, by_word = WordHashes(), [], [], [], [], [], False
-        for k, (_, text) in enumerate(rows):
-            w = seen.of(item_words(text or ""))
-            pairs, matches, width = kept(len(w), least)
-            if pairs < 1 and len(w):
-                by_word = True
-            g = pair_hashes(w, 1)[0] if pairs > 0 else mixed(w)
-            words.append(w)
-            need.append((pairs if pairs > 0 else matches, matches, width))
-            seed.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        seed, item, place = cat(seed, np.uint64), cat(item, np.int64), cat(place, np.int64)
-        order = np.argsort(seed, kind="stable")
-        seed, begin = np.unique(seed[order], return_index=True)
-        maybe = np.zeros(1 << max(16, (16 * len(seed)).bit_length()), bool)
-        maybe[seed & np.uint64(len(maybe) - 1)] = True
-        need = np.array(need, np.int64).reshape(-1, 3)
-        return cls([i for i, _ in rows], words, *need.T, seed, np.append(begin, len(order)), item[order], place[order], by_word, maybe)
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the words at which a seed begins, and the numbers of the seeds."""
-        at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for g in [*pair_hashes(words, REACH), *([mixed(words)] if self.by_word else [])]:
-            p = np.flatnonzero(self.maybe[g & np.uint64(len(self.maybe) - 1)])
-            k = np.searchsorted(self.seed, g[p])
-            ok = k < len(self.seed)
-            ok[ok] = self.seed[k[ok]] == g[p[ok]]
-            at.append(p[ok])
-            found.append(k[ok])
-        return np.concatenate(at), np.concatenate(found)
-
-    def copies(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(index of the item, similarity, start, end) of the best alignment of each item that may have a copy here."""
-        at, found = self.hits(words)
-        own = np.unique(found)
-        if not len(own):
-            return []
-        have = np.bincount(self.item[spans(self.begin[own], self.begin[own + 1])], minlength=len(self.ids))
-        may = have >= self.seeds
-        may &= have > 0
-        if not may.any():
-            return []
-        post = spans(self.begin[found], self.begin[found + 1])
-        at = np.repeat(at, self.begin[found + 1] - self.begin[found])
-        keep = may[self.item[post]]
-        post, at = post[keep], at[keep]
-        out = []
-        for i in np.flatnonzero(may).tolist():
-            mine, w, m = self.item[post] == i, self.words[i], int(self.width[i])
-            # a copy lies in one of the windows of two widths, of which one begins every width
-            window = np.concatenate([at[mine] // m, np.maximum(at[mine] // m - 1, 0)])
-            seen = np.unique(window * len(w) + np.tile(self.place[post[mine]], 2)) // len(w)
-            window, n = np.unique(seen, return_counts=True)
-            merged: list[list[int]] = []
-            for a in (window[n >= self.seeds[i]] * m).tolist():
-                b = min(len(words), a + 2 * m)
-                if np.isin(w, words[a:b]).sum() < self.matches[i]:
+def seeds_of(words: np.ndarray, pairs: int) -> np.ndarray:
+    """A seed for each place of an item."""
+    if not len(words):
+        return words
+    return pair_hashes(words, 1)[0] if pairs > 0 else mixed(words)
+
+
+def items_of(benchmark: DataFrame, least: float) -> DataFrame:
+    """(item, item_id, words, seeds, need, matches, width): a row per item with words; item numbers the rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHashes()
+        for pdf in batches:
+            out = []
+            for item, item_id, text in zip(pdf["item"], pdf["item_id"], pdf["text"]):
+                w = seen.of(item_words(text if isinstance(text, str) else ""))
+                if len(w):
+                    pairs, matches, width = kept(len(w), least)
+                    out.append((item, item_id, w.tobytes(), seeds_of(w, pairs).view(np.int64), pairs if pairs > 0 else matches, matches, width, pairs < 1))
+            yield pd.DataFrame(out, columns=["item", "item_id", "words", "seeds", "need", "matches", "width", "by_word"]).astype({"item": "int64", "item_id": "Int64", "need": "int64", "matches": "int64", "width": "int64", "by_word": "bool"})
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return rows.mapInPandas(run, "item long, item_id long, words binary, seeds array<long>, need long, matches long, width long, by_word boolean")
+
+
+def seed_table(items: DataFrame) -> np.ndarray:
+    """2^BITS bits, of which the last BITS bits of each seed set one; as many numbers at most reach the driver as it has."""
+    at = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
+    bits = items.select(F.explode("seeds").alias("seed")).groupBy(F.shiftright(at, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(seed & 31 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 5), np.uint32)
+    table[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
+    return table
+
+
+def in_table(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    at = seeds & np.uint64((1 << BITS) - 1)
+    return (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+
+
+def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, distinct seeds) of the passages of a text that may hold a copy of some item."""
+    at, found = [], []
+    for g in [*pair_hashes(words, REACH), *([mixed(words)] if by_word else [])]:
+        p = np.flatnonzero(in_table(table, g))
+        at.append(p)
+        found.append(g[p])
+    if not at or not sum(map(len, at)):
+        return
+    at, found = np.concatenate(at), np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    at, found = at[order], found[order]
+    long = max(PASSAGE, 4 * width)
+    cuts = np.flatnonzero(np.diff(at) > width) + 1
+    for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(at)]]).tolist()):
+        if b - a < low:
+            continue
+        start, end = max(0, int(at[a]) - width), min(len(words), int(at[b - 1]) + width + REACH)
+        for begin in range(start, max(start + 1, end - width), long - width):
+            stop = min(end, begin + long)
+            x, y = np.searchsorted(at, [begin, stop])
+            seeds = np.unique(found[x:y])
+            if len(seeds) and y - x >= low:
+                yield begin, stop, seeds
+
+
+def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, start, words, seeds): the passages of all documents; row numbers the rows of ``docs``."""
+    facts = items.agg(F.min("need").alias("low"), F.max("width").alias("width"), F.max("by_word").alias("by_word")).first()
+    held = docs.sparkSession.sparkContext.broadcast((seed_table(items), bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, row = WordHashes(), (TaskContext.get().partitionId() << 40) - 1
+        table, by_word, low, width = held.value
+        for pdf in batches:
+            out = []
+            for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
+                row += 1
+                w = seen.of(item_words(text if isinstance(text, str) else ""))
+                out += [(row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64)) for a, b, s in runs(w, table, by_word, low, width)]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "start", "words", "seeds"]).astype({"row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInPandas(run, "row long, doc_id long, text_hash long, start long, words binary, seeds array<long>")
+
+
+def rare_seeds(items: DataFrame, passages: DataFrame) -> DataFrame:
+    """(seed, item, times, joined): the seeds by which an item is joined, and how many of its places each stands for."""
+    seeds = items.select("item", "need", F.size("seeds").alias("p"), F.explode("seeds").alias("seed"))
+    df = passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
+    nth = F.row_number().over(Window.partitionBy("item").orderBy("df", "seed"))  # an item's places; seeds without passages can't hit
+    joined = F.least(F.col("need"), F.lit(JOINED))
+    ranked = seeds.join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumns({"nth": nth, "joined": joined})
+    chosen = ranked.where((F.col("nth") <= F.col("p") - F.col("need") + F.col("joined")) & (F.col("df") > 0))
+    return chosen.groupBy("seed", "item").agg(F.count(F.lit(1)).alias("times"), F.first("joined").alias("joined"))
+
+
+def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """(doc_id, text_hash, item_id, similarity, first_word, last_word) per row of ``docs`` and item of which it has a copy."""
+    items = materialise(items_of(benchmark, least))
+    passages = materialise(passages_of(docs, items))
+    rare = materialise(rare_seeds(items, passages))
+    hits = attach(passages.select("row", "start", F.explode("seeds").alias("seed")), rare, "seed")
+    pairs = hits.groupBy("row", "start", "item").agg(F.sum("times").alias("times"), F.first("joined").alias("joined")).where("times >= joined")
+    pairs = materialise(pairs.select("row", "start", "item"))
+    least_of = items.select("item", "item_id", F.col("words").alias("item_words"), "need", "matches")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
+    found = passages.join(pairs, ["row", "start"]).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                w, item = np.frombuffer(r.words, np.uint64), np.frombuffer(r.item_words, np.uint64)
+                own = seeds_of(item, kept(len(item), least)[0])
+                if np.isin(own.view(np.int64), r.seeds).sum() < r.need or np.isin(item, w).sum() < r.matches:
                     continue
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = b
-                else:
-                    merged.append([a, b])
-            best = (0.0, 0, 0)
-            for a, b in merged:
-                score, x, y = align(words[a:b], w)
-                if score > best[0]:
-                    best = (score, a + x, a + y)
-            out.append((i, best[0] / (MATCH * len(w)), best[1], best[2]))
-        return out
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; the driver streams them and holds one block at a time."""
-    block: list = []
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((r.item_id, r.text))
-        if len(block) == BLOCK_ITEMS:
-            yield block
-            block = []
-    if block:
-        yield block
+                points, a, b = align(w, item)
+                if points >= least * MATCH * len(item):
+                    out.append((r.row, r.doc_id, r.text_hash, r.item, r.item_id, points / (MATCH * len(item)), r.start + a, r.start + b))
+            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "item", "item_id", "similarity", "first_word", "last_word"]).astype(
+                {"row": "int64", "doc_id": "Int64", "text_hash": "int64", "item": "int64", "item_id": "Int64", "similarity": "float64", "first_word": "int64", "last_word": "int64"}
+            )
+
+    rows = found.select("row", "doc_id", "text_hash", "start", "words", "seeds", "item", "item_id", "item_words", "need", "matches")
+    rows = rows.mapInPandas(score, "row long, doc_id long, text_hash long, item long, item_id long, similarity double, first_word long, last_word long")
+    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("before"), "last_word", "doc_id", "text_hash", "item_id")).alias("b")
+    out = rows.groupBy("row", "item").agg(best).select("b.doc_id", "b.text_hash", "b.item_id", "b.similarity", (-F.col("b.before")).alias("first_word"), "b.last_word")
+    out = materialise(out)
+    release(items, passages, rare, pairs)
+    return out
 
 
 def copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word): documents with a copy of a benchmark item, exact or edited.
 
-    similarity is the alignment score over that of an exact copy. Words are runs of letters and digits in lower case, of
-    whole texts. Null and empty texts and items have no copies; repeated rows give repeated results; either table may be
-    empty. The result is that of aligning every item with every document: only stretches that lack the seeds or words
-    which every alignment of that score must keep (see ``kept``) are left out.
+    similarity is the alignment score over that of an exact copy; of equal ones in a text the first counts. Words are runs
+    of letters and digits in lower case, of whole texts. Null and empty texts and items have no copies; a null id stays
+    null; repeated rows give repeated results; either table may be empty. doc_id and item_id are longs, or cast to them;
+    other columns are not read. The result is that of aligning every item with every document: only passages without the
+    seeds or words which every alignment of that score must keep (see ``kept``) are left out.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = spark.createDataFrame([], SCHEMA)
-    for k, block in enumerate(_blocks(benchmark)):
-        held = spark.sparkContext.broadcast(Items.of(block, least))
-
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            seen, items = WordHashes(), held.value
-            for pdf in batches:
-                out = []
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                    if isinstance(text, str):
-                        for i, s, a, b in items.copies(seen.of(item_words(text))):
-                            if s >= least:
-                                out.append((doc_id, items.ids[i], s, a, b))
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "similarity", "first_word", "last_word"]).astype({"doc_id": "Int64", "item_id": "Int64", "similarity": "float64", "first_word": "int64", "last_word": "int64"})
-
-        found = docs.mapInPandas(score, SCHEMA)
-        out = out.unionByName(found) if k else found
-    return out
-
-
-SCHEMA = "doc_id long, item_id long, similarity double, first_word long, last_word long"
+    return scored(docs, benchmark, least).drop("text_hash")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without the documents that hold a copy of an item; rows with a null doc_id are kept."""
-    return docs.join(copies(docs, benchmark, least).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text holds a copy of an item; all columns stay as they are, whatever their names.
+
+    Null and empty texts stay, rows with a null doc_id are treated as others; either table may be empty.
+    """
+    out_id, out_hash = (unused(c, docs.columns) for c in ("out_id", "out_hash"))
+    named = materialise(scored(docs, benchmark, least).select(F.col("doc_id").alias(out_id), F.col("text_hash").alias(out_hash)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(out_id)) & (F.xxhash64("text") == F.col(out_hash))
+    return attach(docs, named, same, "left_anti", IDS)

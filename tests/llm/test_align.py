@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
-from rastertime.llm.seed_align import LEAST, Items, align, copies, decontaminate, item_words
-from rastertime.llm.text import WordHashes
+from rastertime.llm.seed_align import LEAST, copies, decontaminate, item_words
+from tests.conftest import SF
 from tests.llm.util import frame
 
 
@@ -36,19 +36,49 @@ def test_a_copy_is_found_by_a_common_passage(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2]
 
 
-@pytest.mark.parametrize("kinds", [["other"], ["gone"], ["more"], ["other", "gone", "more"]])
-def test_nothing_is_lost_against_full_alignment(kinds):
-    rng = np.random.default_rng(len(kinds[0]))
-    h = WordHashes()
-    near = 0
-    for _ in range(400):
-        n = int(rng.choice([1, 2, 3, 4, 5, 6, 9, 15, 25, 40, 59]))
-        names = [f"w{rng.integers(200 if rng.random() < 0.7 else 4)}" for _ in range(n)]
-        pad = [f"w{rng.integers(200)}" for _ in range(int(rng.integers(0, 400)))]
-        words = h.of([*pad, *edited(names, rng.choice([0.05, 0.2, 0.3, 0.4, 0.9]), rng, kinds), *pad[:50]])
-        item = h.of(names)
-        want = align(words, item)[0] / n
-        got = {i: s for i, s, _, _ in Items.of([(7, " ".join(names))]).copies(words)}.get(0, 0.0)
-        near += want >= LEAST
-        assert got == pytest.approx(want) if want >= LEAST else got < LEAST
-    assert near > 100
+def smith_waterman(doc, item):
+    """The best local score by the full table, cell by cell."""
+    before, best = [0.0] * (len(doc) + 1), 0.0
+    for w in item:
+        row = [0.0]
+        for j, d in enumerate(doc, 1):
+            row.append(max(0.0, before[j - 1] + (1.0 if d == w else -0.25), before[j] - 0.25, row[-1] - 0.25))
+        best, before = max(best, max(row)), row
+    return best
+
+
+def test_nothing_is_lost_against_full_alignment(spark):
+    rng = np.random.default_rng(5)
+    kinds = [["other"], ["gone"], ["more"], ["other", "gone", "more"]]
+    items = [[f"w{rng.integers(200 if rng.random() < 0.7 else 4)}" for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 9, 12, 15, 25, 40, 59)]
+    docs = [[f"w{rng.integers(200)}" for _ in range(300)]]
+    for k in range(140):
+        pad = [f"w{rng.integers(200)}" for _ in range(int(rng.integers(0, 250)))]
+        docs.append([*pad, *edited(items[k % len(items)], rng.choice([0.05, 0.2, 0.3, 0.4, 0.9]), rng, kinds[k % 4]), *pad[:50]])
+    docs.append([w for i in items for w in [*i, *(f"z{k}" for k in range(1500))]])  # longer than a passage
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in copies(frame(spark, [(k, " ".join(d)) for k, d in enumerate(docs)]), bench).collect()}
+    want = {}
+    for k, d in enumerate(docs):
+        for j, i in enumerate(items):
+            if len(set(i) & set(d)) and (k < 60 or k == len(docs) - 1 or j == (k - 1) % len(items)):  # the rest would take long
+                want[k, j] = smith_waterman(d, i) / len(i)
+    near = {p for p, s in want.items() if s >= LEAST}
+    assert near == {p for p in got if p in want} and len(near) > 100
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in near)
+
+
+def test_recall_of_edited_copies(spark):
+    """Items of the test tables with words replaced at random, each in a text of its own."""
+    rng = np.random.default_rng(3)
+    folder = SF.replace("sf0.001", "sf0.01")
+    items = [(r.item_id, item_words(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    rows = []
+    for rate in (0, 10, 20, 25, 30):
+        for i, w in items:
+            text = " ".join(f"x{rng.integers(10**6)}" if rng.random() * 100 < rate else x for x in w)
+            rows.append((rate * 1000 + len(rows) % len(items), f"some words before {text} and after"))
+    got = {r.doc_id for r in copies(frame(spark, rows), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
+    share = {rate: sum(d // 1000 == rate for d in got) / len(items) for rate in (0, 10, 20, 25, 30)}
+    print(share)
+    assert share[0] == 1 and share[10] == 1 and min(share.values()) >= 0.9
