@@ -31,7 +31,7 @@ MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
 LEAST = 0.5
 #: Rare seeds that a passage and an item must share, bits of the table of seeds (as a power of two), words of a passage at
 #: most (or four widths of the longest copy), ids and bytes of item words that are broadcast at most.
-JOINED, BITS, PASSAGE, IDS, BYTES = 2, 26, 1024, 1_000_000, 64 << 20
+JOINED, BITS, PASSAGE, IDS, BYTES = 8, 26, 1024, 1_000_000, 64 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -118,8 +118,8 @@ def in_table(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, distinct seeds) of the passages of a text that may hold a copy of some item."""
+def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, seeds, their places) of the passages of a text that may hold a copy of some item."""
     at, found = [], []
     for g in [*pair_hashes(words, REACH), *([mixed(words)] if by_word else [])]:
         p = np.flatnonzero(in_table(table, g))
@@ -139,13 +139,36 @@ def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: i
         for begin in range(start, max(start + 1, end - width), long - width):
             stop = min(end, begin + long)
             x, y = np.searchsorted(at, [begin, stop])
-            seeds = np.unique(found[x:y])
-            if len(seeds) and y - x >= low:
-                yield begin, stop, seeds
+            if y - x >= low:
+                yield begin, stop, found[x:y], at[x:y]
+
+
+def regions(at: np.ndarray, seeds: np.ndarray, own: np.ndarray, need: int, width: int) -> list[tuple[int, int]]:
+    """Where in a text a copy of an item may lie: ``width`` words with ``need`` of its seeds, places ``at`` in order."""
+    own, times = np.unique(own, return_counts=True)
+    k = np.minimum(np.searchsorted(own, seeds), len(own) - 1)
+    mine = own[k] == seeds
+    at, k, times = at[mine].tolist(), k[mine].tolist(), times.tolist()
+    inside, points, left = [0] * len(own), 0, 0
+    out: list[tuple[int, int]] = []
+    for p, i in zip(at, k):
+        inside[i] += 1
+        points += times[i] if inside[i] == 1 else 0
+        while p - at[left] > width:
+            inside[k[left]] -= 1
+            points -= times[k[left]] if not inside[k[left]] else 0
+            left += 1
+        if points >= need:
+            a, b = p - width, at[left] + width + REACH
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
 def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, text_hash, start, words, seeds): the passages of all documents; row numbers the rows of ``docs``."""
+    """(row, doc_id, text_hash, start, words, seeds, places): the passages of all documents; row numbers the rows of ``docs``."""
     facts = items.agg(F.min("need").alias("low"), F.max("width").alias("width"), F.max("by_word").alias("by_word")).first()
     held = docs.sparkSession.sparkContext.broadcast((seed_table(items), bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
 
@@ -157,17 +180,17 @@ def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
             for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
                 row += 1
                 w = seen.of(item_words(text if isinstance(text, str) else ""))
-                out += [(row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64)) for a, b, s in runs(w, table, by_word, low, width)]
-            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "start", "words", "seeds"]).astype({"row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
+                out += [(row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64), at) for a, b, s, at in runs(w, table, by_word, low, width)]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "start", "words", "seeds", "places"]).astype({"row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "row long, doc_id long, text_hash long, start long, words binary, seeds array<long>")
+    return rows.mapInPandas(run, "row long, doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<long>")
 
 
 def rare_seeds(items: DataFrame, passages: DataFrame) -> DataFrame:
     """(seed, item, times, joined): the seeds by which an item is joined, and how many of its places each stands for."""
     seeds = items.select("item", "need", F.size("seeds").alias("p"), F.explode("seeds").alias("seed"))
-    df = passages.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
+    df = passages.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy("item").orderBy("df", "seed"))  # an item's places; seeds without passages can't hit
     joined = F.least(F.col("need"), F.lit(JOINED))
     ranked = seeds.join(df, "seed", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumns({"nth": nth, "joined": joined})
@@ -180,10 +203,10 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     items = materialise(items_of(benchmark, least))
     passages = materialise(passages_of(docs, items))
     rare = materialise(rare_seeds(items, passages))
-    hits = attach(passages.select("row", "start", F.explode("seeds").alias("seed")), rare, "seed")
+    hits = attach(passages.select("row", "start", F.explode(F.array_distinct("seeds")).alias("seed")), rare, "seed")
     pairs = hits.groupBy("row", "start", "item").agg(F.sum("times").alias("times"), F.first("joined").alias("joined")).where("times >= joined")
     pairs = materialise(pairs.select("row", "start", "item"))
-    least_of = items.select("item", "item_id", F.col("words").alias("item_words"), "need", "matches")
+    least_of = items.select("item", "item_id", F.col("words").alias("item_words"), "need", "matches", "width")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
     found = passages.join(pairs, ["row", "start"]).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
 
@@ -192,17 +215,22 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 w, item = np.frombuffer(r.words, np.uint64), np.frombuffer(r.item_words, np.uint64)
-                own = seeds_of(item, kept(len(item), least)[0])
-                if np.isin(own.view(np.int64), r.seeds).sum() < r.need or np.isin(item, w).sum() < r.matches:
-                    continue
-                points, a, b = align(w, item)
-                if points >= least * MATCH * len(item):
-                    out.append((r.row, r.doc_id, r.text_hash, r.item, r.item_id, points / (MATCH * len(item)), r.start + a, r.start + b))
+                own = seeds_of(item, kept(len(item), least)[0]).view(np.int64)
+                best = (0.0, 0, 0)
+                for a, b in regions(r.places - r.start, r.seeds, own, r.need, r.width):
+                    a = max(a, 0)
+                    if np.isin(item, w[a:b]).sum() < r.matches:
+                        continue
+                    points, x, y = align(w[a:b], item)
+                    if points > best[0]:
+                        best = (points, r.start + a + x, r.start + a + y)
+                if best[0] >= least * MATCH * len(item):
+                    out.append((r.row, r.doc_id, r.text_hash, r.item, r.item_id, best[0] / (MATCH * len(item)), best[1], best[2]))
             yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "item", "item_id", "similarity", "first_word", "last_word"]).astype(
                 {"row": "int64", "doc_id": "Int64", "text_hash": "int64", "item": "int64", "item_id": "Int64", "similarity": "float64", "first_word": "int64", "last_word": "int64"}
             )
 
-    rows = found.select("row", "doc_id", "text_hash", "start", "words", "seeds", "item", "item_id", "item_words", "need", "matches")
+    rows = found.select("row", "doc_id", "text_hash", "start", "words", "seeds", "places", "item", "item_id", "item_words", "need", "matches", "width")
     rows = rows.mapInPandas(score, "row long, doc_id long, text_hash long, item long, item_id long, similarity double, first_word long, last_word long")
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("before"), "last_word", "doc_id", "text_hash", "item_id")).alias("b")
     out = rows.groupBy("row", "item").agg(best).select("b.doc_id", "b.text_hash", "b.item_id", "b.similarity", (-F.col("b.before")).alias("first_word"), "b.last_word")
