@@ -31,7 +31,7 @@ MATCH, MISMATCH, GAP = 1.0, -0.25, -0.25
 LEAST = 0.5
 #: Rare seeds that a passage and an item must share, bits of the table of seeds (as a power of two), words of a passage at
 #: most (or four widths of the longest copy), ids and bytes of item words that are broadcast at most.
-JOINED, BITS, PASSAGE, IDS, BYTES = 8, 26, 1024, 1_000_000, 64 << 20
+JOINED, BITS, PASSAGE, IDS, BYTES = 8, 26, 512, 1_000_000, 64 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -104,25 +104,27 @@ def items_of(benchmark: DataFrame, least: float) -> DataFrame:
     return rows.mapInPandas(run, "item long, item_id long, words binary, seeds array<long>, need long, matches long, width long, by_word boolean")
 
 
-def seed_table(items: DataFrame) -> np.ndarray:
-    """2^BITS bits, of which the last BITS bits of each seed set one; as many numbers at most reach the driver as it has."""
-    at = F.col("seed").bitwiseAND(F.lit((1 << BITS) - 1))
-    bits = items.select(F.explode("seeds").alias("seed")).groupBy(F.shiftright(at, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(seed & 31 AS INT))")).alias("bits")).toArrow()
-    table = np.zeros(1 << (BITS - 5), np.uint32)
-    table[bits["at"].to_numpy()] = bits["bits"].to_numpy().astype(np.uint32)
-    return table
+def seed_table(items: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, table): 2^bits bits, of which the last bits of each seed set one; 256 for each seed, but 2^BITS at most, so
+    no more numbers than the table has reach the driver."""
+    seeds = items.select(F.explode("seeds").alias("seed"))
+    bits = min(BITS, max(16, (256 * seeds.agg(F.approx_count_distinct("seed")).first()[0]).bit_length()))
+    at = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    got = seeds.groupBy(F.shiftright(at, 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(seed & 31 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 5), "<u4")
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    return bits, table
 
 
-def in_table(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    at = seeds & np.uint64((1 << BITS) - 1)
-    return (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+def unpacked(table: np.ndarray) -> np.ndarray:
+    return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
 
 
 def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, end, seeds, their places) of the passages of a text that may hold a copy of some item."""
     at, found = [], []
     for g in [*pair_hashes(words, REACH), *([mixed(words)] if by_word else [])]:
-        p = np.flatnonzero(in_table(table, g))
+        p = np.flatnonzero(table[(g & np.uint64(len(table) - 1)).view(np.int64)])
         at.append(p)
         found.append(g[p])
     if not at or not sum(map(len, at)):
@@ -168,23 +170,26 @@ def regions(at: np.ndarray, seeds: np.ndarray, own: np.ndarray, need: int, width
 
 
 def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, doc_id, text_hash, start, words, seeds, places): the passages of all documents; row numbers the rows of ``docs``."""
+    """(passage, row, doc_id, text_hash, start, words, seeds, places): the passages of all documents, whose rows are numbered."""
     facts = items.agg(F.min("need").alias("low"), F.max("width").alias("width"), F.max("by_word").alias("by_word")).first()
-    held = docs.sparkSession.sparkContext.broadcast((seed_table(items), bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
+    held = docs.sparkSession.sparkContext.broadcast((seed_table(items)[1], bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, row = WordHashes(), (TaskContext.get().partitionId() << 40) - 1
         table, by_word, low, width = held.value
+        table, passage = unpacked(table), row
         for pdf in batches:
             out = []
             for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
                 row += 1
                 w = seen.of(item_words(text if isinstance(text, str) else ""))
-                out += [(row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64), at) for a, b, s, at in runs(w, table, by_word, low, width)]
-            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "start", "words", "seeds", "places"]).astype({"row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
+                for a, b, s, at in runs(w, table, by_word, low, width):
+                    passage += 1
+                    out.append((passage, row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["passage", "row", "doc_id", "text_hash", "start", "words", "seeds", "places"]).astype({"passage": "int64", "row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "row long, doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<long>")
+    return rows.mapInPandas(run, "passage long, row long, doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<int>")
 
 
 def rare_seeds(items: DataFrame, passages: DataFrame) -> DataFrame:
@@ -203,12 +208,12 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     items = materialise(items_of(benchmark, least))
     passages = materialise(passages_of(docs, items))
     rare = materialise(rare_seeds(items, passages))
-    hits = attach(passages.select("row", "start", F.explode(F.array_distinct("seeds")).alias("seed")), rare, "seed")
-    pairs = hits.groupBy("row", "start", "item").agg(F.sum("times").alias("times"), F.first("joined").alias("joined")).where("times >= joined")
-    pairs = materialise(pairs.select("row", "start", "item"))
+    hits = attach(passages.select("passage", F.explode(F.array_distinct("seeds")).alias("seed")), rare, "seed", bound=IDS)
+    pairs = hits.groupBy("passage", "item").agg(F.sum("times").alias("times"), F.first("joined").alias("joined")).where("times >= joined")
+    pairs = materialise(pairs.select("passage", "item"))
     least_of = items.select("item", "item_id", F.col("words").alias("item_words"), "need", "matches", "width")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
-    found = passages.join(pairs, ["row", "start"]).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
+    found = attach(passages, pairs, "passage", bound=IDS).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -217,7 +222,7 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
                 w, item = np.frombuffer(r.words, np.uint64), np.frombuffer(r.item_words, np.uint64)
                 own = seeds_of(item, kept(len(item), least)[0]).view(np.int64)
                 best = (0.0, 0, 0)
-                for a, b in regions(r.places - r.start, r.seeds, own, r.need, r.width):
+                for a, b in regions(r.places.astype(np.int64) - r.start, r.seeds, own, r.need, r.width):
                     a = max(a, 0)
                     if np.isin(item, w[a:b]).sum() < r.matches:
                         continue
