@@ -145,3 +145,32 @@ def test_one_class_of_labels(spark):
     assert discriminant.classify(d, one).agg(F.count("score")).first()[0] == 20
     none = labels(spark, [(99, 1, 1)])
     assert discriminant.classify(d, none).agg(F.count("score")).first()[0] == 20
+
+
+NAMES = ["a", "b", "at", "part", "base", "first", "rows", "row", "size", "u", "tie", "rank", "extra", "chance", "rest", "ahead", "scale", "measure", "id", "out_id", "out_hash", "component", "doc", "text_hash", "fields", "level", "_id", "_row", "_at", "_part", "_base"]
+CLASHING = {
+    "pareto": lambda spark, d: (pareto_mix.pareto_mix(d, F.length("text")), {"size"}),
+    "one_of_each": lambda spark, d: (minhash_join.one_of_each(d), set()),
+    "jump": lambda spark, d: (jump_hash.shard(d, 8), set()),
+    "decontaminate": lambda spark, d: (seed_align.decontaminate(d, bench(spark)), set()),
+    "toxic": lambda spark, d: (nb_linear.keep_below(d, nb_linear.train(d, labels(spark))), set()),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CLASHING))
+def test_columns_of_any_name_stay(spark, name):
+    d = odd(spark).withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in NAMES})
+    out, replaced = CLASHING[name](spark, d)
+    assert len(set(out.columns)) == len(out.columns) and set(d.columns) <= set(out.columns)
+    for r in out.collect():
+        for c in set(NAMES) - replaced:
+            assert r[c] == f"{c}:{'null' if r.doc_id is None else r.doc_id}"
+
+
+def test_one_id_with_two_texts(spark):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(base)), (1, " ".join(f"v{i}" for i in range(60))), (2, " ".join([*base[:50], "x", *base[51:]])), (3, " ".join(f"u{i}" for i in range(60)))]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in minhash_join.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1, 56), (1, 1, 96), (2, 1, 96), (3, 3, 56)]
+    out = minhash_join.one_of_each(frame(spark, rows), 85).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in out) == [(1, "v"), (1, "w"), (3, "u")]
