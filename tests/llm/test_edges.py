@@ -174,3 +174,53 @@ def test_one_id_with_two_texts(spark):
     assert got == [(1, 1, 56), (1, 1, 96), (2, 1, 96), (3, 3, 56)]
     out = minhash_join.one_of_each(frame(spark, rows), 85).collect()
     assert sorted((r.doc_id, r.text[0]) for r in out) == [(1, "v"), (1, "w"), (3, "u")]
+
+
+def test_types_of_arguments(spark):
+    schemas = spark.createDataFrame([("f", "n", "integer", False), ("f", "x", "colour", False), ("f", "y", None, False)], "tool string, field string, type string, required boolean")
+    given = ['{"n":1}', '{"n":1.0}', '{"n":12345678901234567890}', '{"n":1.5}', '{"x":"red"}', '{"y":1}', '{"n":"1"}']
+    calls = spark.createDataFrame([("c", k, f"k{k}", "f", g, []) for k, g in enumerate(given)], "conv_id string, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    got = {r.turn: r.problems for r in tool_calls.validate(calls, schemas).collect()}
+    assert [bool(got[k]) for k in range(len(given))] == [False, False, False, True, True, True, True]
+
+
+def test_discriminant_against_plain_densities():
+    """Scores against class densities written out with determinants and inverses."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    d = len(discriminant.STATISTICS)
+    x = {0: rng.normal(0, 1, (200, d)), 1: rng.normal(0.5, 2, (150, d)) @ rng.normal(0, 0.4, (d, d))}
+    model = discriminant.fit({k: (len(v), v.sum(axis=0), v.T @ v) for k, v in x.items()})
+    both = np.concatenate([x[0], x[1]])
+    mean, sd = both.mean(axis=0), both.std(axis=0)
+    z = {k: (v - mean) / sd for k, v in x.items()}
+    own = {k: np.cov(v.T, bias=True) for k, v in z.items()}
+    pooled = sum(own[k] * len(z[k]) for k in z) / len(both)
+
+    def log_density(k, row):
+        cov = 0.8 * own[k] + 0.2 * pooled
+        cov = 0.95 * cov + 0.05 * (np.trace(cov) / d + 1e-3) * np.eye(d)
+        far = row - z[k].mean(axis=0)
+        return np.log((len(z[k]) + 0.5) / (len(both) + 1)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * far @ np.linalg.inv(cov) @ far
+
+    some = rng.normal(0, 1.5, (20, d))
+    want = [log_density(1, (r - mean) / sd) - log_density(0, (r - mean) / sd) for r in some]
+    assert np.allclose(model.difference(some), want, rtol=1e-6, atol=1e-6)
+
+
+def test_ngram_weights_against_plain_counts(spark):
+    """Log-count ratios of characters against counting strings."""
+    import math
+
+    texts = [("grün und gut", 0), ("grün und schön", 0), ("grün und neu", 0), ("böse worte", 1), ("böse worte hier", 1), ("böse worte da", 1)]
+    rows = [(i, y, nb_linear.ngrams(t).tobytes()) for i, (t, y) in enumerate(texts)]
+    found = spark.createDataFrame(rows, "doc_id long, label int, f binary")
+    got = sorted(round(r.ratio, 9) for r in nb_linear.log_ratios(found, certain=0.0).collect())
+    sets = [{(n, f" {t} "[i : i + n]) for n in nb_linear.SIZES for i in range(len(t) + 3 - n)} for t, _ in texts]
+    want = []
+    for g in set().union(*sets):
+        n0, n1 = (sum(g in s for s, (_, y) in zip(sets, texts) if y == k) for k in (0, 1))
+        if n0 + n1 >= 3:
+            want.append(round(math.log((n1 + 1) / 5) - math.log((n0 + 1) / 5), 9))
+    assert got == sorted(want)
