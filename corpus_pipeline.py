@@ -53,7 +53,7 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
-#: The trained stage can't be put in SQL; each stage is tested against a brute-force version.
+#: The trained stage can't be put in SQL; the operators are tested on their own, the stages for what they must keep.
 ORACLE_SQL = None
 
 
