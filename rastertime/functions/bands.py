@@ -130,6 +130,21 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in part.items()])
 
 
+def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
+    """(h, s, v), all 0 to 1, of red, green and blue; grey has hue 0, black saturation 0."""
+    high, low = strict_greatest(r, g, b), strict_least(r, g, b)
+    spread = high - low
+    turn = F.when(high == r, F.pmod(F.try_divide(g - b, spread), dbl(6))).when(high == g, F.try_divide(b - r, spread) + 2).otherwise(F.try_divide(r - g, spread) + 4)
+    h = F.when(spread == 0, dbl(0)).otherwise(turn / 6)
+    s = F.when(high == 0, dbl(0)).otherwise(F.try_divide(spread, high))
+    return F.struct(h.alias("h"), s.alias("s"), high.alias("v"))
+
+
+def expression(text: str, names: dict[str, str]) -> Column:
+    """An SQL expression in short names for the bands, as in expression("N / (N + R)", {"N": "nir", "R": "red"})."""
+    return F.expr(re.sub(r"\b[A-Za-z_]\w*\b", lambda m: f"`{names[m[0]]}`" if m[0] in names else m[0], text))
+
+
 def to_natural(db: Column) -> Column:
     return F.pow(dbl(10), db / 10)
 

@@ -103,6 +103,30 @@ def annual_from_segments(df: DataFrame, v: str, first: int, last: int, keys: lis
     return rows.select(*keys, "year", F.col("s.dur").alias("dur"), fit.alias("fit"), (F.col("s.end_fit") - F.col("s.start_fit")).alias("mag"), slope.alias("slope"), (fit - F.col("s.start_fit")).alias("diff"))
 
 
+def annual_many(df: DataFrame, stacks: dict[str, str], first: int, last: int, keys: list[str], prefix: str = "LT") -> DataFrame:
+    """Annual segment values of several bands side by side: {band}_{prefix}_dur, fit, mag, slope and diff.
+
+    ``stacks`` names each band's column of vertices. Years are assigned as in ``annual_from_segments``; a year in no
+    band's segment has no row. All within a row: no join of bands and no shuffle.
+    """
+    rows = df.select(*keys, *[segments(F.col(v)).alias(f"_{b}") for b, v in stacks.items()])
+    rows = rows.withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    year = F.col("year")
+
+    def here(b: str) -> Column:
+        return F.get(F.filter(f"_{b}", lambda s: ((s["start"] < year) | ((s["start"] == first) & (year == first))) & (year <= s["yr"])), F.lit(0))
+
+    def values(b: str) -> dict[str, Column]:
+        s = F.col(f"_{b}")
+        slope = F.try_divide(s["end_fit"] - s["start_fit"], s["dur"].cast("double"))
+        fit = s["end_fit"] - slope * (s["yr"] - year).cast("double")
+        return {"dur": s["dur"], "fit": fit, "mag": s["end_fit"] - s["start_fit"], "slope": slope, "diff": fit - s["start_fit"]}
+
+    rows = rows.withColumns({f"_{b}": here(b) for b in stacks})
+    rows = rows.where(F.coalesce(*[F.col(f"_{b}")["yr"] for b in stacks]).isNotNull())
+    return rows.select(*keys, "year", *[c.alias(f"{b}_{prefix}_{n}") for b in stacks for n, c in values(b).items()])
+
+
 def fitted(v: Column, year: Column) -> Column:
     """The model's value in a year between its first and last vertex; NULL outside."""
     on = F.filter(segments(v), lambda s: (s["start"] <= year) & (year <= s["yr"]))

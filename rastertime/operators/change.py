@@ -110,6 +110,18 @@ def threshold_z_and_trend(df: DataFrame, bands: list[str], z: float, slope: floa
     return df.withColumns({f"{b}_Z_change": threshold(F.col(f"{b}_Z"), F.col("year"), abs(z * 10), direction) for b in bands} | {f"{b}_slope_change": threshold(F.col(f"{b}_slope"), F.col("year"), abs(slope * 10000), direction) for b in bands})
 
 
+def threshold_z_and_trend_subtle(df: DataFrame, bands: list[str], z: tuple[float, float], slope: tuple[float, float], direction: int = -1) -> DataFrame:
+    """Year of slight change: z and slope beyond the first but short of the second limit, both signed as the change is."""
+    limits = [("Z", z, 10), ("slope", slope, 10000)]
+    return df.withColumns({f"{b}_{n}_change": threshold_subtle(F.col(f"{b}_{n}"), F.col("year"), abs(low * by), abs(high * by), direction) for b in bands for n, (low, high), by in limits})
+
+
+def masked_by(df: DataFrame, bands: list[str], valid: DataFrame, keys: list[str]) -> DataFrame:
+    """Masks the bands again where ``valid`` has no row of the same keys, as after gaps were filled for a model."""
+    seen = valid.select(*keys).distinct().withColumn("_seen", F.lit(True))
+    return df.join(seen, keys, "left").withColumns({b: F.when(F.col("_seen"), F.col(b)) for b in bands}).select(*df.columns)
+
+
 def neighbour_mean(xs: list[Column]) -> Column:
     return row_mean(xs)
 

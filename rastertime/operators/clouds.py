@@ -8,12 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl, mask
+from rastertime.operators.focal import contract_dilate
 
 
-def cloud_score_mask(df: DataFrame, score: Column, bands: list[str], threshold: float = 20, percentile: float = 10, offset: bool = True, stats: DataFrame | None = None, px: str = "px") -> DataFrame:
+def with_margin(df: DataFrame, clear: Column, contract: float, dilate: float, image: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Adds keep: within each image clear cells first grow by ``contract`` cells, then shrink by ``dilate``.
+
+    Specks go and larger masked areas get a margin. Cells where ``clear`` is NULL are seen by nobody and stay masked; a
+    cell with several rows in an image is clear if any of them is. Only keys and the mask are shuffled.
+    """
+    at = [*image, "row", "col"]
+    rows = df.withColumn("_clear", clear.cast("int"))
+    cells = rows.select(*at, "_clear").where(F.col("_clear").isNotNull())
+    wide = contract_dilate(cells, "_clear", contract, dilate, list(image)).withColumnRenamed("_clear", "_wide")
+    kept = F.col("_clear").isNotNull() & F.coalesce(F.col("_wide") == 1, F.lit(False))
+    return rows.join(wide, at, "left").select(*df.columns, kept.alias("keep"))
+
+
+def _masked(df: DataFrame, clear: Column, bands: list[str], contract: float, dilate: float, image: tuple[str, ...]) -> DataFrame:
+    if not contract and not dilate:
+        return mask(df, clear, bands)
+    out = with_margin(df, clear, contract, dilate, image)
+    return mask(out, F.col("keep"), bands).drop("keep")
+
+
+def cloud_score_mask(df: DataFrame, score: Column, bands: list[str], threshold: float = 20, percentile: float = 10, offset: bool = True, stats: DataFrame | None = None, px: str = "px", contract: float = 0, dilate: float = 0, image: tuple[str, ...] = ("t",)) -> DataFrame:
     """Keeps observations whose score, less the pixel's own percentile of scores, is under the threshold.
 
     ``stats`` (px, score_offset) are precomputed percentiles; without them one shuffle by pixel gives them.
+    ``contract`` and ``dilate`` give the mask of each image a margin.
     """
     df = df.withColumn("cloudScore", score)
     if not offset:
@@ -23,7 +46,7 @@ def cloud_score_mask(df: DataFrame, score: Column, bands: list[str], threshold:
     else:
         df = df.withColumn("score_offset", F.percentile("cloudScore", percentile / 100).over(Window.partitionBy(px)))
         own = F.col("score_offset")
-    return mask(df, F.col("cloudScore") - own < threshold, bands)
+    return _masked(df, F.col("cloudScore") - own < threshold, bands, contract, dilate, image)
 
 
 def dark_outlier(z: float = -1, total: float = 0.35, bands: tuple[str, ...] = ("nir", "swir1")) -> Column:
@@ -32,15 +55,15 @@ def dark_outlier(z: float = -1, total: float = 0.35, bands: tuple[str, ...] = ("
     return low & (reduce(lambda a, b: a + b, [F.col(b) for b in bands]) < dbl(total))
 
 
-def shadow_mask(df: DataFrame, bands: list[str], z: float = -1, total: float = 0.35, dark: tuple[str, ...] = ("nir", "swir1"), stats: DataFrame | None = None, px: str = "px") -> DataFrame:
-    """Masks temporal dark outliers. ``stats`` (px, {band}_mean, {band}_std) may be precomputed."""
+def shadow_mask(df: DataFrame, bands: list[str], z: float = -1, total: float = 0.35, dark: tuple[str, ...] = ("nir", "swir1"), stats: DataFrame | None = None, px: str = "px", contract: float = 0, dilate: float = 0, image: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Masks temporal dark outliers, with a margin in each image if asked for. ``stats`` (px, {band}_mean, {band}_std) may be precomputed."""
     names = [f"{b}_{s}" for b in dark for s in ("mean", "std")]
     if stats is None:
         over = Window.partitionBy(px)
         df = df.withColumns({f"{b}_mean": F.avg(b).over(over) for b in dark} | {f"{b}_std": F.stddev_pop(b).over(over) for b in dark})
     else:
         df = df.join(stats, px, "left")
-    return mask(df, ~F.coalesce(dark_outlier(z, total, dark), F.lit(False)), bands).drop(*names)
+    return _masked(df, ~F.coalesce(dark_outlier(z, total, dark), F.lit(False)), bands, contract, dilate, image).drop(*names)
 
 
 def pixel_statistics(df: DataFrame, score: Column, dark: tuple[str, ...] = ("nir", "swir1"), percentile: float = 10, px: str = "px") -> DataFrame:

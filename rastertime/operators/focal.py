@@ -134,6 +134,20 @@ def bilinear(df: DataFrame, points: DataFrame, band: str) -> DataFrame:
     return met.groupBy("y", "x").agg(F.try_divide(F.sum(F.col(band) * F.col("_w")), F.sum("_w")).alias(band))
 
 
+def bicubic(df: DataFrame, points: DataFrame, band: str) -> DataFrame:
+    """Values at fractional (y, x) by cubic convolution (a = -1/2) of the sixteen cells around; NULL unless all are valid."""
+
+    def weight(d: Column) -> Column:
+        near = (dbl(1.5) * d - dbl(2.5)) * d * d + dbl(1)
+        far = ((dbl(-0.5) * d + dbl(2.5)) * d - dbl(4)) * d + dbl(2)
+        return F.when(d <= 1, near).otherwise(far)
+
+    near = points.withColumn("row", F.explode(F.sequence(F.floor("y") - 1, F.floor("y") + 2))).withColumn("col", F.explode(F.sequence(F.floor("x") - 1, F.floor("x") + 2)))
+    near = near.withColumn("_w", weight(F.abs(F.col("y") - F.col("row"))) * weight(F.abs(F.col("x") - F.col("col"))))
+    met = near.join(df.select("row", "col", band), ["row", "col"], "left")
+    return met.groupBy("y", "x").agg(F.when(F.count(band) == 16, F.sum(F.col(band) * F.col("_w"))).alias(band))
+
+
 def lee_filter(df: DataFrame, band: str, keys: list[str] = ()) -> DataFrame:
     """Refined Lee speckle filter: direction from 3 x 3 sample means in a 7 x 7 window, then a directional blend.
 

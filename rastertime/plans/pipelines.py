@@ -36,6 +36,9 @@ class Options:
     cloud_threshold: float = 10
     cloud_percentile: float = 10
     score_offset: bool = True
+    cloud_margin: tuple[float, float] = (0, 0)
+    dark_margin: tuple[float, float] = (0, 0)
+    image: tuple[str, ...] = ("t",)
     fmask_cloud: bool = True
     fmask_shadow: bool = True
     fmask_snow: bool = False
@@ -59,11 +62,11 @@ def landsat_scenes(df: DataFrame, o: Options) -> DataFrame:
     """Season, then the masks in their fixed order, then indices; one shuffle by pixel if a history mask is on."""
     df = all_band_mask(in_seasons(df, o), I.SIX)
     if o.cloud_score:
-        df = K.cloud_score_mask(df, M.landsat_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
+        df = K.cloud_score_mask(df, M.landsat_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats, contract=o.cloud_margin[0], dilate=o.cloud_margin[1], image=o.image)
     if o.fmask_cloud:
         df = mask(df, M.fmask(F.col("qa"), "cloud", o.version), SCENE_BANDS)
     if o.dark_outliers:
-        df = K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, o.dark_bands, o.stats)
+        df = K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, o.dark_bands, o.stats, contract=o.dark_margin[0], dilate=o.dark_margin[1], image=o.image)
     if o.fmask_shadow:
         df = mask(df, M.fmask(F.col("qa"), "shadow", o.version), SCENE_BANDS)
     if o.fmask_snow:
@@ -76,20 +79,20 @@ def landsat_scenes(df: DataFrame, o: Options) -> DataFrame:
 def sentinel2_scenes(df: DataFrame, o: Options) -> DataFrame:
     df = all_band_mask(in_seasons(df, o), I.SIX)
     if o.cloud_score:
-        df = K.cloud_score_mask(df, M.sentinel2_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
+        df = K.cloud_score_mask(df, M.sentinel2_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats, contract=o.cloud_margin[0], dilate=o.cloud_margin[1], image=o.image)
     if o.cloud_probability is not None:
         df = mask(df, F.col("cloud_probability") <= o.cloud_probability, SCENE_BANDS)
     if o.cloud_score_plus is not None:
         df = mask(df, F.col("cloudScorePlus") >= o.cloud_score_plus, SCENE_BANDS)
     if o.dark_outliers:
-        df = K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, o.dark_bands, o.stats)
+        df = K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, o.dark_bands, o.stats, contract=o.dark_margin[0], dilate=o.dark_margin[1], image=o.image)
     return with_indices(df)
 
 
 def modis_scenes(df: DataFrame, o: Options) -> DataFrame:
     df = in_seasons(df, o)
-    df = K.cloud_score_mask(df, M.modis_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats)
-    return with_indices(K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, ("nir", "swir2"), o.stats))
+    df = K.cloud_score_mask(df, M.modis_cloud_score(), SCENE_BANDS, o.cloud_threshold, o.cloud_percentile, o.score_offset, o.stats, contract=o.cloud_margin[0], dilate=o.cloud_margin[1], image=o.image)
+    return with_indices(K.shadow_mask(df, SCENE_BANDS, o.z, o.dark_sum, ("nir", "swir2"), o.stats, contract=o.dark_margin[0], dilate=o.dark_margin[1], image=o.image))
 
 
 def with_indices(df: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -27,6 +31,23 @@ def hopping(events: DataFrame, length: str, slide: str, keys: tuple[str, ...] =
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "mean")
 
 
+def running_totals(events: DataFrame, key: str = "event_type") -> DataFrame:
+    """Count and sum of all events of a key so far, whenever it has new ones; two numbers of state a key, no event kept.
+
+    A NULL value counts as an event and adds nothing. The key must be text; write in update mode.
+    """
+
+    def add(of: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for part in parts:
+            n, total = n + len(part), total + float(part["value"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [of[0]], "n": [n], "total": [total]})
+
+    out = f"{key} string, n long, total double"
+    return events.select(key, "value").groupBy(key).applyInPandasWithState(add, out, "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
 def start(df: DataFrame, path: str, checkpoint: str, once: bool = True):
     """Writes closed windows to Parquet; ``once`` takes all that is there and stops."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
