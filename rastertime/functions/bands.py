@@ -118,6 +118,14 @@ def set_no_data(df: DataFrame, bands: Iterable[str], value: float = NO_DATA) ->
     return update(df, bands, lambda c: F.coalesce(c, F.lit(value)))
 
 
+def array_percentile(values: Column, p: float) -> Column:
+    """A percentile, 0 to 100, of an array's valid values, interpolated; NULL if there are none."""
+    a = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
+    at = (F.size(a) - 1) * dbl(p / 100)
+    low, high = F.get(a, F.floor(at).cast("int")), F.get(a, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def replace_mask(x: Column, new: Column, no_data: float = 0) -> Column:
     """Fills NULL from ``new``, then masks the no-data value."""
     return F.nullif(F.coalesce(x, new), F.lit(no_data).cast("double"))

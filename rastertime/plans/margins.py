@@ -125,7 +125,7 @@ def band_expression(obs: DataFrame) -> DataFrame:
 
 
 @obs_query(f"""SELECT {KEYS_SQL}, (px::VARCHAR || ln::VARCHAR)::BIGINT AS "pathRow", round(CASE WHEN nir > 0 THEN 10 * log10(nir) END, 9) AS db, round(nir, 9) AS back
-FROM obs WHERE NOT (sensor = 'R' AND t >= TIMESTAMP '1998-05-31')""")
+FROM obs WHERE NOT (sensor = 'R' AND t >= TIMESTAMP '1998-06-01')""")
 def scene_properties(obs: DataFrame) -> DataFrame:
     """Without one sensor's scenes after its failure; path and row as one number; a band in decibels and back."""
     rows = path_row(without_gaps(obs, "1998-05-31", seven="R"), "px", "ln").withColumn("db", B.to_db(F.col("nir")))

@@ -57,7 +57,7 @@ CLIMATE_BANDS = {
     "CHIRPS_DAILY": ["precipitation"],
 }
 SENSOR_CODES = {"LANDSAT_4": 4, "LANDSAT_5": 5, "LANDSAT_7": 7, "LANDSAT_8": 8, "LANDSAT_9": 9, "Sentinel-2A": 21, "Sentinel-2B": 22, "Sentinel-2C": 23}
-#: The day from which on the scan-line corrector of sensor 7 had failed.
+#: Last date before the scan-line corrector of sensor 7 failed.
 SLC_FAILED = "2003-05-31"
 
 
@@ -102,8 +102,8 @@ def path_row(df: DataFrame, path: str = "WRS_PATH", row: str = "WRS_ROW") -> Dat
 
 
 def without_gaps(df: DataFrame, failed: str = SLC_FAILED, sensor: str = "sensor", seven: str = "LANDSAT_7", t: str = "t") -> DataFrame:
-    """Leaves out scenes of sensor 7 from the day on that its scan-line corrector failed."""
-    broken = (F.col(sensor) == seven) & (F.col(t) >= F.lit(failed).cast("timestamp_ntz"))
+    """Leaves out scenes of sensor 7 after ``failed``, the last day of its scan-line corrector."""
+    broken = (F.col(sensor) == seven) & (F.col(t) >= F.date_add(F.lit(failed).cast("date"), 1).cast("timestamp_ntz"))
     return df.where(~F.coalesce(broken, F.lit(False)))
 
 
