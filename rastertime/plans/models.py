@@ -11,6 +11,7 @@ from rastertime.operators import classify as C
 from rastertime.operators import models as M
 from rastertime.plans.history import annual, clear
 from rastertime.plans.registry import obs_query, query
+from rastertime.plans.space import grid_query
 from rastertime.sources.observations import grid, table
 
 
@@ -73,3 +74,13 @@ def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir).select("row", "col", "z")
     moved = g.select(F.lit(1).alias("image"), "row", (F.col("col") + 1).alias("col"), "z")
     return M.registration_offsets(moved, g, "z", tile=16)
+
+
+@grid_query("""WITH shifts AS (SELECT row, col, (row // 2) % 2 AS dr, (col // 2) % 4 - 1 AS dc FROM grid)
+SELECT 1 AS image, a.row, a.col, b.z FROM shifts a LEFT JOIN grid b ON b.row = a.row + CASE WHEN dc < 2 THEN dr ELSE 0 END AND b.col = a.col + CASE WHEN dc < 2 THEN dc ELSE 0 END""")
+def displacement(g: DataFrame) -> DataFrame:
+    """The grid moved by offsets of its tiles; those of two cells are too large and stay out."""
+    image = g.select(F.lit(1).alias("image"), "row", "col", "z")
+    tiles = image.select("image", F.floor(F.col("row") / 2).alias("tile_row"), F.floor(F.col("col") / 2).alias("tile_col")).distinct()
+    offsets = tiles.withColumns({"dr": F.col("tile_row") % 2, "dc": F.col("tile_col") % 4 - 1})
+    return M.displaced(image, offsets, ["z"], tile=2, most=1)
