@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rastertime.functions import bands as B
 from rastertime.functions import dates as D
+from rastertime.functions import harmonize as H
 from rastertime.functions import segments as S
 from rastertime.operators import focal as L
 from rastertime.plans.history import ANNUAL, SEGS, VERTS, annual, verts
@@ -78,6 +79,15 @@ def masked_filled(obs: DataFrame) -> DataFrame:
     return rounded(obs, KEYS, {"green": B.replace_mask(x, new)}, 9)
 
 
+@obs_query(f"""SELECT {KEYS_SQL}, CASE WHEN doy % 60 > 0 THEN round((pk * 0.00002::DOUBLE - 0.1::DOUBLE) / sin(radians(doy % 60)), 9) END AS refl,
+CASE WHEN pk % 16 > 0 THEN round(1321.0789::DOUBLE / ln(774.8853::DOUBLE / (pk % 16) + 1), 6) END AS temp FROM obs""")
+def toa_calibration(obs: DataFrame) -> DataFrame:
+    """Whole numbers of a sensor to reflectance by the scene's gain, bias and sun, and to brightness temperature."""
+    refl = H.toa_reflectance(F.col("pk").cast("double"), B.dbl(0.00002), B.dbl(-0.1), (F.col("doy") % 60).cast("double"))
+    temp = H.brightness_temperature((F.col("pk") % 16).cast("double"), "L8")
+    return obs.select(*KEYS, F.round(refl, 9).alias("refl"), F.round(temp, 6).alias("temp"))
+
+
 @obs_query("""SELECT count(*) AS size, strftime(min(t), '%Y-%m-%d') AS first, strftime(max(t), '%Y-%m-%d') AS last, 'px,t,nir,red' AS bands FROM obs""")
 def collection_facts(obs: DataFrame) -> DataFrame:
     facts = describe(obs.select("px", "t", "nir", "red"))
