@@ -62,8 +62,13 @@ def window_year(t: Column, first: int, last: int) -> Column:
 
 
 def season_year(t: Column, first: int, last: int) -> Column:
-    """The year that a season's composite is dated to: for a wrapped season, the one with more of its days."""
-    return window_year(t, first, last) + wrap_dates(first, last)[1]
+    """The year that a season's composite is dated to: for a wrapped season, the one with more of its days.
+
+    Days outside the season have a year too, those between two wrapped seasons that of the earlier; ``window_year`` tells
+    which days are in it.
+    """
+    wraps, later = wrap_dates(first, last)
+    return F.year(t) + F.when(F.dayofyear(t) >= first, later).otherwise(later - 1) if wraps else F.year(t)
 
 
 def offset_date(t: Column, n: int, unit: str) -> Column:

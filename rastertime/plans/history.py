@@ -12,7 +12,7 @@ from rastertime.functions import ccdc as C
 from rastertime.functions import indices as I
 from rastertime.functions import masks as M
 from rastertime.functions import segments as S
-from rastertime.functions.dates import season_year
+from rastertime.functions.dates import season_year, window_year
 from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import composite as P
@@ -116,7 +116,7 @@ def obs_count(obs: DataFrame) -> DataFrame:
 @obs_query(f"""WITH y AS (SELECT y::INTEGER AS season, make_date(y::INTEGER, 1, 1) AS jan FROM range(1990, 2003) r(y))
 SELECT px, season, {rounded_sql({'nir': 'median(nir)'})}, count(nir) AS "compositeObsCount" FROM y JOIN obs ON t::DATE >= jan + 299 AND t::DATE <= jan + (60 - 1 + 365) GROUP BY 1, 2""")
 def wrap_dates_composite(obs: DataFrame) -> DataFrame:
-    rows = obs.withColumn("season", season_year(F.col("t"), 300, 60).cast("int")).where("season IS NOT NULL")
+    rows = obs.where(window_year(F.col("t"), 300, 60).isNotNull()).withColumn("season", season_year(F.col("t"), 300, 60).cast("int"))
     return rounded(P.reduce_bands(rows, ["nir"], ["px", "season"]), ["px", "season", "compositeObsCount"], ["nir"])
 
 
