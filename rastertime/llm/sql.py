@@ -13,3 +13,7 @@ def crc32_of(bytes_: str) -> str:
 
 def crc32_of_ascii(text: str) -> str:
     return crc32_of(f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)")
+
+
+def crc32_of_utf8(text: str) -> str:
+    return crc32_of(f"list_transform(range(0, octet_length(encode({text})) * 2, 2), lambda i: ('0x' || substr(hex(encode({text})), i + 1, 2))::BIGINT)")
