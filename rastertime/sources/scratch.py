@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table and reads it again: cuts the lineage, and the constraints that a loop would pile up."""
+def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Writes a table, in at most so many files, and reads it again: cuts the lineage, and the constraints that a loop would pile up."""
     path = f"{shared_dir(df.sparkSession)}/rt-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out
