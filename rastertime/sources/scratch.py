@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where none is set and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -26,6 +31,20 @@ def materialise(df: DataFrame, files: int | None = None) -> DataFrame:
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
+    for scope in getattr(_scopes, "open", ()):
+        scope.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """Writes the table that ``make`` returns, then deletes every other one that ``materialise`` wrote on the way to it."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        out = materialise(make())
+    finally:
+        made = scopes.pop()
+    release(*(t for t in made if t is not out))
     return out
 
 
