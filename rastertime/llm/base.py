@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rastertime.sources.scratch import materialise, release, shared_dir
+from rastertime.sources.scratch import materialise, release, settled, shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a lookup table is broadcast; beyond it the join shuffles.
@@ -98,4 +98,4 @@ def ordering_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-__all__ = ["attach", "materialise", "n_words", "ordered_rank", "ordering_key", "partitions", "ranges", "release", "shared_dir", "table", "unit_hash", "unused"]
+__all__ = ["attach", "materialise", "n_words", "ordered_rank", "ordering_key", "partitions", "ranges", "release", "settled", "shared_dir", "table", "unit_hash", "unused"]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import materialise
+from rastertime.llm.base import materialise, release
 from rastertime.llm.text import agreed, held_out
 
 #: What a text is described by, in the order of the vector.
@@ -136,7 +136,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discri
     Null ids and labels other than 0 and 1 are left out, and so is a document with labels that disagree; repeated rows
     count each. Without rows, or with one label alone, scores stay near the prior.
     """
-    rows = stats.join(agreed(labels, label).where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "label", "stats")
+    rows = stats.select("doc_id", "stats").join(agreed(labels, label).where(~held_out(F.col("doc_id"))), "doc_id").select("doc_id", "label", "stats")
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     x = [F.col("stats")[i] for i in range(d)]
@@ -172,4 +172,6 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: fl
     empty, memory is in proportion to the longest text. Input columns named stats, score or predicted are replaced.
     """
     stats = materialise(describe(docs))
-    return score(stats, train(stats, labels, label), cut)
+    out = materialise(score(stats, train(stats, labels, label), cut))
+    release(stats)
+    return out

@@ -351,13 +351,15 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     stay. An empty table stays empty. Rows that go are taken out by a join with their ids alone; only those of which one
     of several equal ones stays go through an aggregate.
     """
-    rows = grouped(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), percent, n).where("component IS NOT NULL")
+    found = grouped(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), percent, n)
+    rows = found.where("component IS NOT NULL")
     key = F.struct("doc_id", "text_hash")
     first = materialise(rows.groupBy("component").agg(F.min(key).alias("first")))
     counted = rows.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
     counted = attach(counted, first, "component").withColumn("stays", key == F.col("first"))
     out_id, out_hash, row = (unused(c, docs.columns) for c in ("out_id", "out_hash", "row"))
     named = materialise(counted.where("NOT stays OR times > 1").select(F.col("doc_id").alias(out_id), F.col("text_hash").alias(out_hash), "stays"))
+    release(found, first)
     same = (F.col("doc_id").cast("long") == F.col(out_id)) & (F.xxhash64("text") == F.col(out_hash))
     kept = attach(docs, named.select(out_id, out_hash), same, "left_anti", IDS)
     again = named.where("stays")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import materialise
+from rastertime.llm.base import materialise, release
 from rastertime.llm.text import held_out, labelled_sample
 
 SIZES = (6, 7, 8)
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             yield pdf.assign(f=[np.flatnonzero(np.isin(known, np.frombuffer(f, np.int32), assume_unique=True)).astype(np.int32).tobytes() for f in pdf["f"]])
 
     got = found.mapInPandas(places, found.schema).toArrow()
+    release(found)
     kept = [(i, y, np.frombuffer(f, np.int32)) for i, y, f in zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["f"].to_pylist())]
     kept.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
     w, bias = fit([f for _, _, f in kept], np.array([y for _, y, _ in kept], float), ratio)

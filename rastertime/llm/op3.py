@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastertime.llm.base import table
+from rastertime.llm.base import settled, table
 from rastertime.llm.tool_calls import from_turns, link
 
 NAME = "op3_tool_call_linking"
@@ -13,7 +13,8 @@ SCHEMAS = [("lookup", "limit", "integer", True), ("lookup", "query", "string", T
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_turns(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(SCHEMAS, "tool string, field string, type string, required boolean")
-    return link(calls, results, schemas).select("conv_id", "position", "turn", "level", "call_id", "name", "status", "problems", "message")
+    out = settled(lambda: link(calls, results, schemas))
+    return out.select("conv_id", "position", "turn", "level", "call_id", "name", "status", "problems", "message")
 
 
 ORACLE = """

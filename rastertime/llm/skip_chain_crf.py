@@ -2,8 +2,8 @@
 
 The patterns give base spans. Each base span is an observed node of its document's graph, and so is not each other token
 with a digit or an @, over whole texts: its label is unknown. Neighbouring nodes share chain potentials. Nodes that are
-similar, however far apart, share skip potentials: equal but for letter case, at an edit distance of one, or with the
-same last seven digits. Loopy message passing runs until the messages settle, and nodes whose belief in a kind is high
+similar, however far apart, share skip potentials: equal but for letter case (from 5 characters on), at an edit distance
+of one (from 8 on), or with the same last seven digits. Loopy message passing runs until the messages settle, and nodes whose belief in a kind is high
 become added spans. Base spans always stay.
 
 Node and chain weights maximise the pseudo-likelihood of the base labels over all documents; nodes that are similar to a
@@ -84,9 +84,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Length from which a token links to its repeats and to tokens with the same last digits, and lengths at which an edit
-#: distance of one counts (a longer token is no card, phone or address of practical use).
-LONG, TAIL, EDITED = 5, 7, range(8, 65)
+#: Characters from which a token links to its repeats and, at an edit distance of one, to other tokens; and last digits
+#: that tokens must share. Shorter ones agree by chance (years, versions, list numbers). Longer ones have no limit.
+LONG, EDITED, TAIL = 5, 8, 7
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
 
 #: Sizes of the parts of a code: @, leading +, bracket, hyphen, letters, Luhn, dots, digits.
 _FIELDS = (2, 2, 2, 2, 2, 2, 5, 7)
@@ -123,6 +124,26 @@ def _indicators() -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
+def whole_hash(core: str) -> int:
+    h = 0
+    for ch in core:
+        h = (h * _BASE + ord(ch)) % _PRIME
+    return h
+
+
+def shortened(core: str) -> set[int]:
+    """The ``whole_hash`` of the token without each one of its characters, in linear time."""
+    ahead, out = [0], set()
+    for ch in core[:-1]:
+        ahead.append((ahead[-1] * _BASE + ord(ch)) % _PRIME)
+    after, power = 0, 1
+    for k in range(len(core) - 1, -1, -1):
+        out.add((ahead[k] * power + after) % _PRIME)
+        after = (ord(core[k]) * power + after) % _PRIME
+        power = power * _BASE % _PRIME
+    return out
+
+
 def similar(cores: list[str], digits: list[str]) -> set[tuple[int, int]]:
     """Pairs of places of similar nodes. Of nodes that share a reason, each meets the first and the one before it, so pairs
     are linear in the text and still join all of them."""
@@ -141,12 +162,12 @@ def similar(cores: list[str], digits: list[str]) -> set[tuple[int, int]]:
             meet((1, d[-TAIL:]), i)
     by: dict[str, int] = {}
     for i, core in enumerate(cores):
-        if len(core) in EDITED:
+        if len(core) >= EDITED:
             by.setdefault(core, i)
     if len(by) > 1:  # different cores at distance one agree once a character is left out of one or both
         for core, i in by.items():
-            meet((2, core), i)
-            for less in {core[:k] + core[k + 1 :] for k in range(len(core))}:
+            meet((2, whole_hash(core)), i)
+            for less in shortened(core):
                 meet((2, less), i)
     return out
 

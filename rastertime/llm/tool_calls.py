@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastertime.llm.base import BROADCAST_ROWS, materialise, ordered_rank
+from rastertime.llm.base import BROADCAST_ROWS, materialise, ordered_rank, unused
 
 #: What a schema's types accept, as the types that Spark gives parsed JSON.
 TYPES = {"string": "STRING", "integer": "(BIGINT|DECIMAL[(][0-9]+,0[)])", "number": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -22,6 +22,7 @@ def levels(calls: DataFrame) -> DataFrame:
     A call may use calls of earlier turns, which turn order puts first anyway, and calls of its own turn. A dependency
     on an unknown call or a later turn doesn't count here. Rounds are as many as the longest chain within one turn.
     """
+    calls = calls.drop("level")
     nodes = calls.select("conv_id", "call_id", "turn").distinct()
     needs = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("on")).distinct()
     inside = nodes.select("conv_id", F.col("call_id").alias("on"), "turn")
@@ -49,28 +50,31 @@ def validate(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """Adds problems: an array of what is wrong with a call's arguments, empty if nothing is.
 
     ``schemas``: tool, field, type, required. A tool without any field listed takes any object. Whole numbers of any length
-    are integers, 1.0 too; no value is of a type that TYPES doesn't name, or of a null one.
+    are integers, 1.0 too; no value is of a type that TYPES doesn't name, or of a null one. Repeated fields are named each
+    time. An empty table stays empty; columns of ``calls`` stay, whatever their names, but for problems.
     """
-    fields = schemas.groupBy(F.col("tool").alias("name")).agg(F.sort_array(F.collect_list(F.struct("field", "type", "required"))).alias("fields"))
+    calls = calls.drop("problems")
+    listed, parsed = unused("fields", calls.columns), unused("given", calls.columns)
+    fields = schemas.groupBy(F.col("tool").alias("name")).agg(F.sort_array(F.collect_list(F.struct("field", "type", "required"))).alias(listed))
     fields = materialise(fields)
     if fields.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         fields = F.broadcast(fields)
     given = F.from_json(F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.col("arguments")), "map<string,variant>")
-    rows = calls.join(fields, "name", "left").withColumn("given", given)
+    rows = calls.join(fields, "name", "left").withColumn(parsed, given)
 
     def kind(v: Column) -> Column:
         return F.schema_of_variant(v)
 
     accepted = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    missing = F.transform(F.filter("fields", lambda f: f["required"] & ~F.map_contains_key("given", f["field"])), lambda f: F.concat(F.lit("missing "), f["field"]))
+    missing = F.transform(F.filter(listed, lambda f: f["required"] & ~F.map_contains_key(parsed, f["field"])), lambda f: F.concat(F.lit("missing "), f["field"]))
     wrong = F.transform(
-        F.filter("fields", lambda f: F.map_contains_key("given", f["field"]) & ~F.coalesce(F.rlike(kind(F.col("given")[f["field"]]), F.concat(F.lit("^"), accepted[f["type"]], F.lit("$"))), F.lit(False))),
+        F.filter(listed, lambda f: F.map_contains_key(parsed, f["field"]) & ~F.coalesce(F.rlike(kind(F.col(parsed)[f["field"]]), F.concat(F.lit("^"), accepted[f["type"]], F.lit("$"))), F.lit(False))),
         lambda f: F.concat(f["field"], F.lit(" is no "), f["type"]),
     )
-    known = F.transform("fields", lambda f: f["field"])
-    extra = F.transform(F.array_sort(F.array_except(F.map_keys("given"), known)), lambda k: F.concat(F.lit("unknown "), k))
-    problems = F.when(F.col("given").isNull(), F.array(F.lit("no JSON object"))).when(F.col("fields").isNull(), F.array().cast("array<string>"))
-    return rows.withColumn("problems", problems.otherwise(F.concat(missing, wrong, extra))).drop("given", "fields")
+    known = F.transform(listed, lambda f: f["field"])
+    extra = F.transform(F.array_sort(F.array_except(F.map_keys(parsed), known)), lambda k: F.concat(F.lit("unknown "), k))
+    problems = F.when(F.col(parsed).isNull(), F.array(F.lit("no JSON object"))).when(F.col(listed).isNull(), F.array().cast("array<string>"))
+    return rows.withColumn("problems", problems.otherwise(F.concat(missing, wrong, extra))).drop(parsed, listed)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -80,9 +84,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     turn, call_id, content. position is the place in the conversation's topological order: by turn, then by level
     within the turn, then id; calls that wait for one another come last in their turn. status is ok, unanswered,
     invalid (arguments), cyclic, or orphan (a result without a call), the first of cyclic, invalid, unanswered that
-    holds. Of several results of a call the earliest counts. message is canonical JSON of call and result. Nulls: a null
-    id never links, null arguments are invalid, a null content is an answer. Repeated calls stay as rows of their own.
+    holds. Of several results of a call the earliest counts, then the least content. message is canonical JSON of call and
+    result. Nulls: a null id never links, null arguments are invalid, a null content is an answer. Repeated calls stay as
+    rows of their own, and rows that tie in all of the order are alike. Empty tables on any side give the rows of the
+    others; arguments of any length are parsed whole. Other columns, whatever their names, are not read.
     """
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on")
+    results = results.select("conv_id", "turn", "call_id", "content")
     first = results.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"))).alias("first"), F.count(F.lit(1)).alias("n_results"))
     linked = validate(levels(calls), schemas).join(first, ["conv_id", "call_id"], "left")
     status = F.when(F.col("level").isNull(), "cyclic").when(F.size("problems") > 0, "invalid").when(F.col("first").isNull(), "unanswered").otherwise("ok")
