@@ -1,6 +1,7 @@
 """Neighbourhood operators on a grid of (row, col).
 
-Each cell sends its value to the cells that its kernel reaches, and one aggregate by cell sums up: map-side partial
+Extremes, weighted sums and whole windows go by lines (``operators.lines``), which repeats no row. Any other aggregate is
+of small kernels: each cell sends its value to the cells that see it, and one aggregate by cell sums up: map-side partial
 aggregation, a single shuffle, no self-join. Cells outside the grid are received by nobody and dropped.
 """
 
@@ -12,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl
+from rastertime.operators import lines
 from rastertime.sources.scratch import materialise
 
+#: Fixed value: the cells of the kernel of 41 x 41 for scan-line gaps, all of which must be valid.
+FRINGE_LEAST = 279
+
 
 def circle(radius: float) -> list[tuple[int, int]]:
     """Offsets within ``radius`` cells; below 1 only the cell itself."""
@@ -41,11 +46,11 @@ def focal(df: DataFrame, exprs: dict[str, Column], offsets: list[tuple[int, int]
 
 
 def focal_max(df: DataFrame, band: str, radius: float, keys: list[str] = ()) -> DataFrame:
-    return focal(df, {band: F.max(band)}, circle(radius), keys)
+    return lines.extreme(df, band, radius, True, keys)
 
 
 def focal_min(df: DataFrame, band: str, radius: float, keys: list[str] = ()) -> DataFrame:
-    return focal(df, {band: F.min(band)}, circle(radius), keys)
+    return lines.extreme(df, band, radius, False, keys)
 
 
 def focal_mean(df: DataFrame, band: str, radius: float, keys: list[str] = ()) -> DataFrame:
@@ -58,13 +63,11 @@ def focal_mode(df: DataFrame, band: str, radius: float, keys: list[str] = ()) ->
 
 def contract_dilate(df: DataFrame, band: str, contract: float, dilate: float, keys: list[str] = ()) -> DataFrame:
     """Clear cells first grow, then shrink: small masked specks go, larger ones get a margin."""
-    return focal_min(focal_max(df, band, contract, keys), band, dilate, keys)
+    return lines.contract_dilate(df, band, contract, dilate, keys)
 
 
 def kernel_sum(df: DataFrame, band: str, weights: dict[tuple[int, int], float], name: str = "sum", keys: list[str] = ()) -> DataFrame:
-    table = F.create_map(*[F.lit(x) for (a, b), w in weights.items() for x in (f"{a},{b}", float(w))])
-    w = F.coalesce(F.try_element_at(table, F.concat_ws(",", "dr", "dc")), dbl(0))
-    return focal(df, {name: F.sum(F.col(band) * w)}, list(weights), keys)
+    return lines.statistics(df, band, weights, keys).select(*keys, "row", "col", F.col("sum").alias(name))
 
 
 def striped(half: int = 20, step: int = 2) -> dict[tuple[int, int], float]:
@@ -72,8 +75,19 @@ def striped(half: int = 20, step: int = 2) -> dict[tuple[int, int], float]:
     return {(r, c): 1.0 for r in range(-half, half + 1) for c in range(-half, half + 1) if (r + c) % step == 0}
 
 
+def slanting(half: int = 20, run: int = 9) -> dict[tuple[int, int], float]:
+    """The kernel for scan-line gaps: runs of ones in groups of three rows, a row apart, that move left by one with each group."""
+    out = {}
+    for r in range(-half, half + 1):
+        group, place = divmod(abs(r) + 2, 4)
+        if place != 3:
+            shift = (group if r < 0 else -group) - run // 2
+            out |= {(r, shift + c): 1.0 for c in range(run)}
+    return out
+
+
 def defringe(df: DataFrame, bands: list[str], valid: str, least: float, weights: dict[tuple[int, int], float], keys: list[str] = ()) -> DataFrame:
-    """Masks cells with fewer than ``least`` valid cells under the kernel."""
+    """Masks cells with fewer than ``least`` valid cells under the kernel. Only keys and ``valid`` are shuffled for it."""
     n = kernel_sum(df.select(*keys, "row", "col", F.col(valid).cast("double").alias("_v")), "_v", weights, "_n", keys)
     return df.join(n, [*keys, "row", "col"]).withColumns({b: F.when(F.col("_n") >= least, F.col(b)) for b in bands}).drop("_n")
 
@@ -151,11 +165,11 @@ def bicubic(df: DataFrame, points: DataFrame, band: str) -> DataFrame:
 def lee_filter(df: DataFrame, band: str, keys: list[str] = ()) -> DataFrame:
     """Refined Lee speckle filter: direction from 3 x 3 sample means in a 7 x 7 window, then a directional blend.
 
-    Collects each cell's 49 neighbours as one array; all steps are array expressions.
+    Two passes along lines collect each cell's 49 neighbours as one array; all steps are array expressions.
     """
     at = {o: i for i, o in enumerate(square(3))}
-    rows = focal(df, {"_n": F.collect_list(F.struct("dr", "dc", F.col(band).alias("v")))}, square(3), keys)
-    table = F.map_from_entries(F.transform("_n", lambda n: F.struct((n["dr"] * 7 + n["dc"]).alias("k"), n["v"].alias("v"))))
+    rows = lines.window_of(df, band, 3, keys)
+    table = F.map_from_entries(F.transform("cells", lambda n: F.struct((n["dr"] * 7 + n["dc"]).cast("int").alias("k"), n["v"].alias("v"))))
     rows = rows.withColumn("_a", table)
     v = lambda r, c: F.try_element_at(F.col("_a"), F.lit(r * 7 + c))
 

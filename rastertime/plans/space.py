@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rastertime.functions import bands as B
 from rastertime.operators import classify as C
 from rastertime.operators import focal as L
+from rastertime.operators import lines
 from rastertime.operators import normalize as N
 from rastertime.plans.registry import KEYS, obs_query, query, rounded, rounded_sql
 from rastertime.sources.observations import grid, table
@@ -121,13 +122,48 @@ def sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.sieve(grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v")), "v", 4)
 
 
-@query()
+_HALVES = {0: ("dc <= 0", "dc >= 0"), 1: ("dr <= dc", "dr >= dc"), 2: ("dr <= 0", "dr >= 0"), 3: ("dr + dc <= 0", "dr + dc >= 0")}
+_ENDS = {0: ((0, -1), (0, 1)), 1: ((-1, 1), (1, -1)), 2: ((-1, 0), (1, 0)), 3: ((-1, -1), (1, 1))}
+_M = lambda p: f"m{p[0] + 1}{p[1] + 1}"
+_STEEP = [f"abs({_M(p)} - {_M(q)})" for p, q in _ENDS.values()]
+
+
+@query(f"""WITH nb AS (SELECT a.row, a.col, x AS dr, y AS dc, b.z + 2000 AS v FROM grid a, range(-3, 4) p(x), range(-3, 4) q(y) JOIN grid b ON b.row = a.row + x AND b.col = a.col + y),
+st AS (SELECT row, col, i, j, avg(v) AS m, var_pop(v) AS s FROM nb, range(-1, 2) p(i), range(-1, 2) q(j) WHERE abs(dr - 2 * i) <= 1 AND abs(dc - 2 * j) <= 1 GROUP BY ALL),
+noise AS (SELECT row, col, avg(r) AS noise FROM (SELECT row, col, s / (m * m) AS r FROM st QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY r) <= 5) GROUP BY ALL),
+raw AS (SELECT row, col, {", ".join(f"max(m) FILTER (WHERE i = {i} AND j = {j}) AS c{i + 1}{j + 1}" for i in (-1, 0, 1) for j in (-1, 0, 1))} FROM st GROUP BY ALL),
+m AS (SELECT row, col, {", ".join(f"coalesce(c{i}{j}, c11) AS m{i}{j}" for i in range(3) for j in range(3))} FROM raw),
+g AS (SELECT *, list_position([{", ".join(_STEEP)}], greatest({", ".join(_STEEP)})) - 1 AS g FROM m),
+t AS (SELECT *, CASE g {" ".join(f"WHEN {k} THEN abs({_M(p)} - m11) < abs({_M(q)} - m11)" for k, (p, q) in _ENDS.items())} END AS early FROM g),
+h AS (SELECT nb.row, nb.col, avg(v) AS mean, var_pop(v) AS var FROM nb JOIN t ON t.row = nb.row AND t.col = nb.col
+  WHERE CASE g {" ".join(f"WHEN {k} THEN CASE WHEN early THEN {p} ELSE {q} END" for k, (p, q) in _HALVES.items())} END GROUP BY ALL),
+b AS (SELECT h.*, greatest((var - mean * mean * noise) / (noise + 1), 0) AS signal FROM h JOIN noise USING (row, col))
+SELECT b.row, b.col, round(mean + coalesce(signal / nullif(var, 0), 0) * (z + 2000 - mean), 6) AS z FROM b JOIN grid ON grid.row = b.row AND grid.col = b.col""")
 def lee_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refined Lee filter of the surface, shifted to be positive. Tested against plain loops."""
+    """Refined Lee filter of the surface, shifted to be positive."""
     g = grid(spark, sf_dir).select("row", "col", (F.col("z") + 2000).alias("z"))
     return rounded(L.lee_filter(g, "z"), ["row", "col"], ["z"])
 
 
+@grid_query("""WITH k AS (SELECT r AS dr, CASE WHEN r < 0 THEN 1 ELSE -1 END * ((abs(r) + 2) // 4) - 4 + c AS dc FROM range(-20, 21) a(r), range(9) b(c) WHERE (abs(r) + 2) % 4 <> 3),
+n AS (SELECT a.row, a.col, count(*) FILTER (WHERE b.z > 0) AS n FROM grid a, k JOIN grid b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY ALL)
+SELECT grid.row, grid.col, CASE WHEN n >= 20 THEN z END AS z FROM grid LEFT JOIN n ON n.row = grid.row AND n.col = grid.col""")
+def defringe_slanting(g: DataFrame) -> DataFrame:
+    """The kernel of 41 x 41 cells for scan-line gaps."""
+    rows = g.select("row", "col", "z", (F.col("z") > 0).alias("valid"))
+    return L.defringe(rows, ["z"], "valid", 20, L.slanting()).select("row", "col", "z")
+
+
+@grid_query("""WITH k AS (SELECT x AS dr, y AS dc, 3 - abs(x) - abs(y) AS w FROM range(-2, 3) a(x), range(-2, 3) b(y) WHERE abs(x) + abs(y) <= 2),
+n AS (SELECT a.row, a.col, count(*) AS n, sum(w * b.z) AS s, sum(w * b.z) / sum(w) AS m, sum(w * b.z * b.z) / sum(w) AS q FROM grid a, k JOIN grid b ON b.row = a.row + dr AND b.col = a.col + dc WHERE b.z > 0 GROUP BY ALL)
+SELECT grid.row, grid.col, coalesce(n.n, 0) AS n, round(s, 4) AS sum, round(m, 4) AS mean, round(greatest(q - m * m, 0), 2) AS variance FROM grid LEFT JOIN n ON n.row = grid.row AND n.col = grid.col""")
+def kernel_statistics(g: DataFrame) -> DataFrame:
+    """Mean and variance under a kernel of weights that fall with distance."""
+    weights = {(a, b): 3.0 - abs(a) - abs(b) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) <= 2}
+    out = lines.statistics(g.select("row", "col", F.when(F.col("z") > 0, F.col("z")).alias("z")), "z", weights)
+    return out.select("row", "col", "n", *[F.round(c, d).alias(c) for c, d in (("sum", 4), ("mean", 4), ("variance", 2))])
+
+
 @grid_query("""WITH p AS (SELECT row + 0.25::DOUBLE AS y, col + 0.5::DOUBLE AS x FROM grid), n AS (SELECT y, x, floor(y) + i AS row, floor(x) + j AS col FROM p, range(0, 2) a(i), range(0, 2) b(j)),
 m AS (SELECT n.y, n.x, (1 - abs(n.y - n.row)) * (1 - abs(n.x - n.col)) AS w, grid.z FROM n JOIN grid ON grid.row = n.row AND grid.col = n.col) SELECT y, x, round(sum(z * w) / sum(w), 6) AS z FROM m GROUP BY y, x""")
 def resample_bilinear(g: DataFrame) -> DataFrame:
