@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl
 from rastertime.operators import lines
-from rastertime.sources.scratch import materialise
 
 #: Fixed value: the cells of the kernel of 41 x 41 for scan-line gaps, all of which must be valid.
 FRINGE_LEAST = 279
@@ -202,38 +201,3 @@ def lee_filter(df: DataFrame, band: str, keys: list[str] = ()) -> DataFrame:
     signal = F.greatest((F.col("_var") - F.col("_mean") * F.col("_mean") * F.col("_noise")) / (F.col("_noise") + dbl(1)), dbl(0))
     blend = F.coalesce(F.try_divide(signal, F.col("_var")), dbl(0))
     return rows.select(*keys, "row", "col", (F.col("_mean") + blend * (v(0, 0) - F.col("_mean"))).alias(band))
-
-
-def components(df: DataFrame, value: str, eight: bool = False) -> DataFrame:
-    """Adds patch, the smallest cell id of the connected cells of equal value.
-
-    Rounds of the least label among linked neighbours, then of that label's own label, until none changes; labels thus
-    travel about twice as far each round.
-    """
-    offsets = square(1) if eight else circle(1)
-    width = F.lit(1 << 31)
-    rows = df.select("row", "col", value, (F.col("row").cast("long") * width + F.col("col")).alias("id")).withColumn("patch", F.col("id"))
-    while True:
-        near = scatter(rows.select("row", "col", value, "patch"), offsets).groupBy("row", "col", value).agg(F.min("patch").alias("low"))
-        step = rows.join(near, ["row", "col", value], "left").withColumn("low", F.least("patch", "low"))
-        jump = step.select(F.col("id").alias("low"), F.col("low").alias("far"))
-        step = step.join(jump, "low", "left").select("row", "col", value, "id", F.coalesce("far", "low").alias("new"), "patch")
-        step = materialise(step)
-        changed = not step.where("new <> patch").isEmpty()
-        rows = step.select("row", "col", value, "id", F.col("new").alias("patch"))
-        if not changed:
-            return rows.drop("id")
-
-
-def patch_sizes(df: DataFrame, value: str, eight: bool = False, most: int | None = None) -> DataFrame:
-    """Adds n, the cells in each cell's patch, counted up to ``most``."""
-    patches = components(df, value, eight)
-    n = patches.groupBy("patch").agg(F.count(F.lit(1)).alias("n"))
-    return patches.join(n, "patch").withColumn("n", F.least("n", F.lit(most)) if most else F.col("n")).drop("patch")
-
-
-def sieve(df: DataFrame, value: str, mmu: int = 4) -> DataFrame:
-    """Cells of patches of ``mmu`` cells or fewer take the commonest value within mmu / 2 cells."""
-    sized = patch_sizes(df, value, True, mmu + 20)
-    mode = focal_mode(df.select("row", "col", value), value, mmu / 2).withColumnRenamed(value, "_mode")
-    return sized.join(mode, ["row", "col"]).select("row", "col", F.when(F.col("n") <= mmu, F.col("_mode")).otherwise(F.col(value)).alias(value))

@@ -17,6 +17,7 @@ from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import composite as P
 from rastertime.operators import joins as J
+from rastertime.operators import patches
 from rastertime.operators import regress as R
 from rastertime.plans.registry import KEYS, KEYS_SQL, obs_query, query, rounded, rounded_sql
 from rastertime.plans.scenes import LANDSAT_SCORE, nd
@@ -392,6 +393,23 @@ def extract_disturbance(obs: DataFrame) -> DataFrame:
     return verts(obs).select("px", *[(F.round(c, 6) if n.startswith(("mag", "preval")) else c).alias(n) for n, c in wide.items()])
 
 
+def _kept(slot: int, mmu: int) -> str:
+    """s{slot}: pixels in a patch of ``mmu`` cells or more with one year in a slot, joined over corners."""
+    return f"""c{slot} AS (SELECT px, px // 10 AS row, px % 10 AS col, yod FROM d WHERE k = {slot}),
+e{slot} AS (SELECT a.px AS a, b.px AS b FROM c{slot} a JOIN c{slot} b ON a.yod = b.yod AND a.px <> b.px AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+r{slot} AS (SELECT px, px AS root FROM c{slot} UNION SELECT e.b, r.root FROM r{slot} r JOIN e{slot} e ON e.a = r.px), s{slot} AS (SELECT px FROM r{slot} GROUP BY px HAVING count(*) >= {mmu})"""
+
+
+@obs_query(f"""WITH RECURSIVE {SEGS}, d AS (SELECT px, start + 1 AS yod, -mag AS mag, row_number() OVER (PARTITION BY px ORDER BY -mag DESC, start) AS k FROM sg WHERE -mag >= 0.02 OR (dur >= 15 AND -mag >= 0.01)), {_kept(1, 3)}, {_kept(2, 3)}
+SELECT p.px, {', '.join(f"max(CASE WHEN k = {i} AND s{i}.px IS NOT NULL THEN {c} END) AS {c}_{i}" for i in (1, 2) for c in ('yod', 'round(mag, 6)')).replace('AS round(mag, 6)', 'AS mag')}
+FROM (SELECT DISTINCT px FROM vx) p LEFT JOIN d ON d.px = p.px LEFT JOIN s1 ON s1.px = p.px LEFT JOIN s2 ON s2.px = p.px GROUP BY p.px""".replace("AS yod_1", "::INTEGER AS yod_1").replace("AS yod_2", "::INTEGER AS yod_2"))
+def disturbance_mmu(obs: DataFrame) -> DataFrame:
+    """The two largest disturbances of each pixel, of those years that connected pixels share over three cells at least."""
+    wide = verts(obs).select("px", (F.col("px") / 10).cast("long").alias("row"), (F.col("px") % 10).alias("col"), *[c.alias(n) for n, c in S.disturbances(F.col("verts"), 0.02, 0.01, 2).items()])
+    out = patches.disturbances_at_least(wide, 3, 2)
+    return out.select("px", *[F.round(f"{f}_{i}", 6).alias(f"{f}_{i}") if f == "mag" else F.col(f"{f}_{i}") for i in (1, 2) for f in ("yod", "mag")])
+
+
 @obs_query(f"WITH {SEGS} SELECT px, y::INTEGER AS year, dur::INTEGER AS dur, round(end_fit - (end_fit - start_fit) / dur * (yr - y), 6) AS fit, round(end_fit - start_fit, 6) AS mag, round((end_fit - start_fit) / dur, 6) AS slope, round(end_fit - (end_fit - start_fit) / dur * (yr - y) - start_fit, 6) AS diff FROM sg, range(1995, 2002) r(y) WHERE (y > start OR (y = 1995 AND start = 1995)) AND y <= yr")
 def fit_stack_annual(obs: DataFrame) -> DataFrame:
     return rounded(S.annual_from_segments(verts(obs), "verts", 1995, 2001, ["px"]), ["px", "year", "dur"], ["fit", "mag", "slope", "diff"])
@@ -458,3 +476,15 @@ SELECT px, CASE WHEN cover >= 10 AND height >= 5 THEN coalesce(CASE WHEN yod < 2
 def stand_age(obs: DataFrame) -> DataFrame:
     d = annual(obs).groupBy("px").agg(F.max(F.when(F.col("v") < 0.3, F.col("yr"))).alias("yod"), (F.avg("nir") * 40).alias("cover"), (F.avg("red") * 40).alias("height"))
     return d.select("px", S.stand_age(2001, F.col("yod"), F.col("cover"), F.col("height")).cast("int").alias("age"))
+
+
+@obs_query(f"""WITH RECURSIVE {ANNUAL}, d AS (SELECT px, max(CASE WHEN v < 0.3 THEN yr END) AS yod, avg(nir) * 40 AS cover, avg(red) * 40 AS height FROM ann GROUP BY px),
+s AS (SELECT px, px // 10 AS row, px % 10 AS col, CASE WHEN cover >= 11 AND height >= 10 THEN coalesce(CASE WHEN yod < 2001 THEN least(2001 - yod, 20) ELSE 20 END, 20)::INTEGER END AS age FROM d),
+e AS (SELECT a.px AS a, b.px AS b FROM s a JOIN s b ON a.age IS NOT NULL AND b.age IS NOT NULL AND a.px <> b.px AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+r AS (SELECT px, px AS root FROM s WHERE age IS NOT NULL UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.px), n AS (SELECT px FROM r GROUP BY px HAVING count(*) >= 4)
+SELECT px, age, CASE WHEN n.px IS NOT NULL THEN age END AS mmu_age FROM s LEFT JOIN n USING (px)""")
+def stand_age_mmu(obs: DataFrame) -> DataFrame:
+    """Ages of stands, and of those in connected forest of four cells at least."""
+    d = annual(obs).groupBy("px").agg(F.max(F.when(F.col("v") < 0.3, F.col("yr"))).alias("yod"), (F.avg("nir") * 40).alias("cover"), (F.avg("red") * 40).alias("height"))
+    rows = d.select("px", (F.col("px") / 10).cast("long").alias("row"), (F.col("px") % 10).alias("col"), S.stand_age(2001, F.col("yod"), F.col("cover"), F.col("height"), 10, 11).cast("int").alias("age"))
+    return patches.stand_age_at_least(rows, "age", 4).select("px", "age", "mmu_age")

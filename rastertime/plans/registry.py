@@ -20,7 +20,12 @@ def query(sql: str | None = None, obs: bool = True):
     """Registers a function under its name. ``sql`` may use the views obs and grid."""
 
     def keep(fn: Query) -> Query:
-        text = None if sql is None else (f"WITH {OBS_SQL},\n{GRID_SQL}" + (",\n" if sql.lstrip().upper().startswith("WITH ") else "\n") + (sql.lstrip()[5:] if sql.lstrip().upper().startswith("WITH ") else sql)) if obs else sql
+        text = sql
+        if sql is not None and obs:
+            recursive = sql.lstrip().startswith("WITH RECURSIVE ")
+            rest = sql.lstrip().removeprefix("WITH RECURSIVE " if recursive else "WITH ")
+            more = ",\n" if sql.lstrip().startswith("WITH ") else "\n"
+            text = f"WITH {'RECURSIVE ' if recursive else ''}{OBS_SQL},\n{GRID_SQL}{more}{rest}"
         REGISTRY[fn.__name__] = (fn, text)
         return fn
 

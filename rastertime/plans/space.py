@@ -12,6 +12,7 @@ from rastertime.operators import classify as C
 from rastertime.operators import focal as L
 from rastertime.operators import lines
 from rastertime.operators import normalize as N
+from rastertime.operators import patches
 from rastertime.plans.registry import KEYS, obs_query, query, rounded, rounded_sql
 from rastertime.sources.observations import grid, table
 from rastertime.sources.sinks import pyramid
@@ -113,13 +114,19 @@ r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a
 @query("WITH RECURSIVE grid AS (SELECT s_suppkey // 10 AS row, s_suppkey % 10 AS col, s_acctbal AS z FROM supplier)," + PATCH.removeprefix("WITH RECURSIVE") + " SELECT row, col, v, count(*) OVER (PARTITION BY patch) AS n FROM c JOIN p USING (id)", obs=False)
 def patch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v"))
-    return L.patch_sizes(g, "v")
+    return patches.patch_sizes(g, "v")
 
 
-@query()
+SIEVE = """e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.v = b.v AND a.id <> b.id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+r AS (SELECT id, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), p AS (SELECT id, count(*) AS n FROM r GROUP BY id)"""
+
+
+@query(f"""WITH RECURSIVE grid AS (SELECT s_suppkey // 10 AS row, s_suppkey % 10 AS col, s_acctbal AS z FROM supplier), c AS (SELECT row, col, row * 10 + col AS id, (z > 2000)::INTEGER AS v FROM grid), {SIEVE},
+m AS (SELECT a.id, b.v, count(*) AS k FROM c a JOIN c b ON (a.row - b.row) ** 2 + (a.col - b.col) ** 2 <= 4 GROUP BY ALL), q AS (SELECT id, arg_max(v, k * 2 - v) AS mode FROM m GROUP BY id)
+SELECT row, col, CASE WHEN n <= 4 THEN mode ELSE v END AS v FROM c JOIN p USING (id) JOIN q USING (id)""", obs=False)
 def sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches of four cells or fewer take the commonest value nearby. Iterative; tested on small grids."""
-    return L.sieve(grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v")), "v", 4)
+    """Patches of four cells or fewer take the commonest value nearby, of equally common ones the least."""
+    return patches.sieve(grid(spark, sf_dir).select("row", "col", (F.col("z") > 2000).cast("int").alias("v")), "v", 4)
 
 
 _HALVES = {0: ("dc <= 0", "dc >= 0"), 1: ("dr <= dc", "dr >= dc"), 2: ("dr <= 0", "dr >= 0"), 3: ("dr + dc <= 0", "dr + dc >= 0")}

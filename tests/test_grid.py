@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rastertime.operators import focal as L
 from rastertime.operators import normalize as N
+from rastertime.operators import patches
 
 
 def frame(spark, a, name="v"):
@@ -32,14 +33,14 @@ def test_sieve_removes_small_patches(spark):
     a[0, 0] = 1  # one cell
     a[3:5, 3:5] = 2  # four cells
     a[7, 1:6] = 3  # five cells
-    got = array(L.sieve(frame(spark, a), "v", 4), a.shape)
+    got = array(patches.sieve(frame(spark, a), "v", 4), a.shape)
     assert got[0, 0] == 0 and (got[7, 1:6] == 3).all() and not (got == 1).any()
 
 
 def test_patches_of_a_spiral(spark):
     a = np.zeros((7, 7))
     a[0, :] = a[:, 6] = a[6, :] = a[2:, 0] = a[2, :5] = 1
-    got = L.patch_sizes(frame(spark, a), "v").where("v = 1").select("n").distinct().collect()
+    got = patches.patch_sizes(frame(spark, a), "v").where("v = 1").select("n").distinct().collect()
     assert len(got) >= 1 and max(r.n for r in got) == int(a.sum())
 
 
