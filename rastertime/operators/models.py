@@ -356,40 +356,3 @@ def snic(df: DataFrame, bands: list[str], size: int = 5, compactness: float = 1.
 
     keys = [F.floor(F.col("row") / tile).alias("_tr"), F.floor(F.col("col") / tile).alias("_tc")]
     return df.select("row", "col", *bands).groupBy(*keys).applyInPandas(run, "row long, col long, cluster long")
-
-
-def registration_offsets(images: DataFrame, reference: DataFrame, band: str, image: str = "image", tile: int = 64) -> DataFrame:
-    """(image, tile_row, tile_col, dr, dc): the whole-cell shift of each tile against the reference, by phase correlation."""
-    both = images.select(image, "row", "col", F.col(band).alias("a")).join(reference.select("row", "col", F.col(band).alias("b")), ["row", "col"])
-    both = both.withColumns({"tile_row": F.floor(F.col("row") / tile), "tile_col": F.floor(F.col("col") / tile)})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((tile, tile)), np.zeros((tile, tile))
-        r, c = pdf["row"].to_numpy() % tile, pdf["col"].to_numpy() % tile
-        a[r, c], b[r, c] = pdf["a"].fillna(pdf["a"].mean()), pdf["b"].fillna(pdf["b"].mean())
-        cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-        peak = np.unravel_index(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real.argmax(), cross.shape)
-        dr, dc = ((int(p) + tile // 2) % tile - tile // 2 for p in peak)
-        return pd.DataFrame({image: [pdf[image].iloc[0]], "tile_row": [pdf["tile_row"].iloc[0]], "tile_col": [pdf["tile_col"].iloc[0]], "dr": [dr], "dc": [dc]})
-
-    kind = dict(images.dtypes)[image]
-    return both.groupBy(image, "tile_row", "tile_col").applyInPandas(run, f"{image} {kind}, tile_row long, tile_col long, dr long, dc long")
-
-
-def displaced(images: DataFrame, offsets: DataFrame, bands: list[str], image: str = "image", tile: int = 64, most: int = 20) -> DataFrame:
-    """(image, row, col, bands): each cell takes the values at its place plus its tile's offset, NULL where no cell is.
-
-    ``offsets`` as from ``registration_offsets``, a row per image and tile. A tile without one, or whose offset passes
-    ``most`` cells either way, stays in place. Cells are joined by tile, then by place; nothing is collected.
-    """
-    tiles = {"tile_row": F.floor(F.col("row") / tile), "tile_col": F.floor(F.col("col") / tile)}
-    near = offsets.where((F.abs("dr") <= most) & (F.abs("dc") <= most))
-    at = images.select(image, "row", "col").withColumns(tiles).join(near, [image, "tile_row", "tile_col"], "left")
-    at = at.select(image, "row", "col", *[(F.col(c) + F.coalesce(d, F.lit(0))).alias(f"_{c}") for c, d in (("row", "dr"), ("col", "dc"))])
-    source = images.select(image, F.col("row").alias("_row"), F.col("col").alias("_col"), *bands)
-    return at.join(source, [image, "_row", "_col"], "left").drop("_row", "_col")
-
-
-def co_registered(images: DataFrame, reference: DataFrame, band: str, bands: list[str], image: str = "image", tile: int = 64, most: int = 20) -> DataFrame:
-    """The images moved onto the reference, by the shifts of ``band``."""
-    return displaced(images, registration_offsets(images, reference, band, image, tile), bands, image, tile, most)

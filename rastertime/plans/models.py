@@ -6,11 +6,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rastertime.functions import bands as B
 from rastertime.functions import segments as S
 from rastertime.operators import classify as C
 from rastertime.operators import models as M
+from rastertime.operators import registration as G
 from rastertime.plans.history import annual, clear
-from rastertime.plans.registry import obs_query, query
+from rastertime.plans.registry import obs_query, query, rounded
 from rastertime.plans.space import grid_query
 from rastertime.sources.observations import grid, table
 
@@ -68,12 +70,53 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.random_forest(train, rows, ["e"], "label").select("vec_id", "label", "classified")
 
 
-@query()
-def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: found (grp, image, tile_row, tile_col, dr, dc, r): the best shift of every tile of images i (grp, image, row, col, z) against ref (grp, row, col, z).
+def _found(tile: int, most: int) -> str:
+    return f"""v AS (SELECT grp, floor(row / {tile}::DOUBLE)::BIGINT AS tile_row, floor(col / {tile}::DOUBLE)::BIGINT AS tile_col, count(z) AS valid FROM ref GROUP BY ALL),
+tried AS (SELECT i.grp, i.image, floor(b.row / {tile}::DOUBLE)::BIGINT AS tile_row, floor(b.col / {tile}::DOUBLE)::BIGINT AS tile_col, dr, dc, corr(b.z, i.z) AS r, count(*) AS n FROM ref b, range({-most}, {most + 1}) p(dr), range({-most}, {most + 1}) q(dc)
+  JOIN i ON i.grp = b.grp AND i.row = b.row + dr AND i.col = b.col + dc GROUP BY ALL),
+found AS (SELECT t.* FROM tried t JOIN v USING (grp, tile_row, tile_col) WHERE isfinite(r) AND n * 2 >= valid
+  QUALIFY row_number() OVER (PARTITION BY t.grp, image, tile_row, tile_col ORDER BY round(r, 9) DESC, dr * dr + dc * dc, dr, dc) = 1)"""
+
+
+@grid_query(f"""WITH ref AS (SELECT 0 AS grp, row, col, z FROM grid), i AS (SELECT 0 AS grp, 1 AS image, row, col + 1 AS col, z FROM grid), {_found(16, 3)}
+SELECT image, tile_row, tile_col, dr::INTEGER AS dr, dc::INTEGER AS dc, round(r, 6) AS r FROM found""")
+def registration(g: DataFrame) -> DataFrame:
     """Shift of a moved copy of the grid against the grid, by tile."""
-    g = grid(spark, sf_dir).select("row", "col", "z")
+    g = g.select("row", "col", "z")
     moved = g.select(F.lit(1).alias("image"), "row", (F.col("col") + 1).alias("col"), "z")
-    return M.registration_offsets(moved, g, "z", tile=16)
+    return rounded(G.shifts(moved, g, "z", tile=16, most=3, coarse=1), ["image", "tile_row", "tile_col", "dr", "dc"], ["r"])
+
+
+#: Images of two groups: each shows the surface, moved by its own rows and columns and brighter by its number.
+_SCENES = """k AS (SELECT i AS image, i % 2 AS grp, i // 2 AS day, (i * 2 + 1) % 3 - 1 AS mr, (i * 3) % 4 - 1 AS mc FROM range(6) t(i)),
+imgs AS (SELECT k.image, k.grp, k.day, grid.row + mr AS row, grid.col + mc AS col, z + 10 * k.image AS z, (z + 10 * k.image) * 2 AS w FROM k, grid),
+ref AS (SELECT * FROM imgs WHERE day = 0), i AS (SELECT * FROM imgs WHERE day > 0)"""
+
+
+@grid_query(f"""WITH {_SCENES}, {_found(10, 2)}
+SELECT 'g' || grp AS orbit, image, row, col, z, w FROM ref UNION ALL
+SELECT 'g' || a.grp, a.image, a.row, a.col, b.z, b.w FROM i a LEFT JOIN found f ON f.image = a.image AND f.tile_row = floor(a.row / 10::DOUBLE) AND f.tile_col = floor(a.col / 10::DOUBLE)
+  LEFT JOIN i b ON b.image = a.image AND b.row = a.row + coalesce(dr, 0) AND b.col = a.col + coalesce(dc, 0)""")
+def co_register_groups(g: DataFrame) -> DataFrame:
+    """Images of two orbits, each moved onto the first of its orbit."""
+    k = g.withColumn("image", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns({"orbit": F.concat(F.lit("g"), F.col("image") % 2), "day": (F.col("image") / 2).cast("int"), "z": F.col("z") + F.col("image") * 10})
+    images = k.select("image", "orbit", "day", (F.col("row") + (F.col("image") * 2 + 1) % 3 - 1).alias("row"), (F.col("col") + (F.col("image") * 3) % 4 - 1).alias("col"), "z", (F.col("z") * 2).alias("w"))
+    return G.co_registered_groups(images, "z", ["z", "w"], "orbit", "day", tile=10, most=2, coarse=1)
+
+
+@grid_query("""WITH t AS (SELECT DISTINCT row // 4 AS tr, col // 4 AS tc FROM grid), o AS (SELECT tr, tc, (tr % 3)::DOUBLE / 2 AS dr, tc * 0.75::DOUBLE - 1 AS dc FROM t),
+s AS (SELECT a.tr, a.tc, avg(b.dr) AS dr, avg(b.dc) AS dc FROM o a JOIN o b ON abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 GROUP BY ALL),
+w AS (SELECT row, col, s.dr, s.dc, greatest(1 - abs((row + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tr), 0) * greatest(1 - abs((col + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tc), 0) AS w FROM grid JOIN s ON abs(row // 4 - tr) <= 1 AND abs(col // 4 - tc) <= 1),
+f AS (SELECT row, col, row + round(sum(w * dr) / sum(w), 9) AS y, col + round(sum(w * dc) / sum(w), 9) AS x FROM w GROUP BY row, col),
+n AS (SELECT f.row, f.col, b.z, (1 - abs(y - b.row)) * (1 - abs(x - b.col)) AS w FROM f LEFT JOIN grid b ON b.row BETWEEN floor(y) AND ceil(y) AND b.col BETWEEN floor(x) AND ceil(x))
+SELECT 1 AS image, row, col, round(sum(w * z) / nullif(sum(w), 0), 4) AS z FROM n GROUP BY row, col""")
+def displacement_field(g: DataFrame) -> DataFrame:
+    """The surface moved by a field that is interpolated and smoothed from a ramp of tile shifts."""
+    image = g.select(F.lit(1).alias("image"), "row", "col", "z")
+    tiles = image.select("image", F.floor(F.col("row") / 4).alias("tile_row"), F.floor(F.col("col") / 4).alias("tile_col")).distinct()
+    offsets = tiles.withColumns({"dr": (F.col("tile_row") % 3).cast("double") / 2, "dc": F.col("tile_col") * B.dbl(0.75) - 1})
+    return rounded(G.displaced_by_field(image, offsets, ["z"], tile=4), ["image", "row", "col"], ["z"], 4)
 
 
 @grid_query("""WITH shifts AS (SELECT row, col, (row // 2) % 2 AS dr, (col // 2) % 4 - 1 AS dc FROM grid)
@@ -83,4 +126,4 @@ def displacement(g: DataFrame) -> DataFrame:
     image = g.select(F.lit(1).alias("image"), "row", "col", "z")
     tiles = image.select("image", F.floor(F.col("row") / 2).alias("tile_row"), F.floor(F.col("col") / 2).alias("tile_col")).distinct()
     offsets = tiles.withColumns({"dr": F.col("tile_row") % 2, "dc": F.col("tile_col") % 4 - 1})
-    return M.displaced(image, offsets, ["z"], tile=2, most=1)
+    return G.displaced(image, offsets, ["z"], tile=2, most=1)

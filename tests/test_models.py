@@ -51,14 +51,3 @@ def test_lasso():
     assert np.allclose((v - x @ got).mean(axis=0), 0, atol=1e-9) and np.abs(slope).max() <= 0.05 + 1e-7
     on = got[1:] != 0
     assert np.allclose(slope[on], 0.05 * np.sign(got[1:][on]), atol=1e-7) and not on.all()
-
-
-def test_a_moved_image_comes_back(spark):
-    z = np.random.default_rng(2).normal(size=(32, 32))
-    ref = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(32) for c in range(32)], "row long, col long, z double")
-    moved = ref.select(F.lit("a").alias("image"), (F.col("row") + 2).alias("row"), (F.col("col") + 3).alias("col"), "z").where("row < 32 AND col < 32")
-    got = {(x.row, x.col): x.z for x in M.co_registered(moved, ref, "z", ["z"], tile=32).collect()}
-    assert len(got) == 30 * 29
-    assert all(v == (z[r, c] if r < 30 and c < 29 else None) for (r, c), v in got.items())
-    still = M.co_registered(moved, ref, "z", ["z"], tile=32, most=2).exceptAll(moved)
-    assert still.isEmpty()

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,14 +144,6 @@ def test_superpixels_follow_an_edge():
     assert (got >= 0).all() and not set(got[cols < 5]) & set(got[cols >= 5])
 
 
-def test_registration(spark):
-    rng = np.random.default_rng(3)
-    g = pd.DataFrame([(r, c, float(rng.normal())) for r in range(16) for c in range(16)], columns=["row", "col", "z"])
-    moved = g.assign(row=(g.row + 2) % 16, col=(g.col + 1) % 16, image=1)
-    r = M.registration_offsets(spark.createDataFrame(moved), spark.createDataFrame(g), "z", tile=16).first()
-    assert (r.dr, r.dc) == (2, 1)
-
-
 def dated(spark, *days):
     rows = [(1, dt.datetime(y, 1, 1) + dt.timedelta(days=doy - 1), v) for y, doy, v in days]
     return spark.createDataFrame(rows, "px int, t timestamp_ntz, v double")
