@@ -9,11 +9,22 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rastertime.sources.scratch import materialise
+
 
 def names_to_numbers(df: DataFrame, name: str, number: str) -> DataFrame:
-    """Class names numbered from 0 in the order of the names. Ranks the distinct names, which are few."""
-    codes = df.select(name).where(F.col(name).isNotNull()).distinct().withColumn(number, F.row_number().over(Window.orderBy(name)) - 1)
-    return df.join(F.broadcast(codes) if codes.limit(100_001).count() <= 100_000 else codes, name, "left")
+    """Class names numbered from 0 in the order of the names; NULL stays NULL.
+
+    The distinct names are dealt by ranges and numbered there; only the sizes of the ranges meet in one task. The codes are
+    broadcast up to 100,000 names.
+    """
+    names = df.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name)
+    placed = materialise(names.withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    codes = placed.join(F.broadcast(starts), "_part").select(name, (F.col("_start") + F.col("_at")).alias(number))
+    return df.join(F.broadcast(codes) if placed.limit(100_001).count() <= 100_000 else codes, name, "left")
 
 
 def sample_points(predictors: DataFrame, points: DataFrame, on: list[str]) -> DataFrame:

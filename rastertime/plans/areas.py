@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl
+from rastertime.operators import classification as K
 from rastertime.operators import polygons as P
 from rastertime.plans.registry import KEYS, KEYS_SQL, query, rounded
 from rastertime.sources.observations import grid, observations, table
@@ -73,3 +74,45 @@ def shared_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = F.array(F.struct(F.lit(0).alias("half"), F.array(F.array(point(0, 0), point(3, 0), point(3, 3))).alias("rings")), F.struct(F.lit(1).alias("half"), F.array(F.array(point(0, 0), point(3, 3), point(0, 3))).alias("rings")))
     parts = squares.select("r", "c", F.explode(halves).alias("h")).select((F.col("r") * 1000 + F.col("c") * 10 + F.col("h.half")).alias("part"), "h.rings")
     return P.covered(g.select("px", "row", "col"), parts, ["part"], tile=4).select("px", "part")
+
+
+#: Features of cells: means over their observations.
+_FEATURES = "feat AS (SELECT px, row, col, avg(nir) AS nir, avg(red) AS red, avg(swir1) AS swir1 FROM obs GROUP BY ALL)"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return observations(spark, sf_dir).groupBy("px", "row", "col").agg(F.avg("nir").alias("nir"), F.avg("red").alias("red"), F.avg("swir1").alias("swir1"))
+
+
+@query(f"""WITH {_FEATURES}, nm AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS code FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN grid ON zone = n_nationkey WHERE px % 3 = 0)),
+tr AS (SELECT code, nir, red, swir1 FROM feat JOIN grid USING (px) JOIN nation ON n_nationkey = zone JOIN region ON r_regionkey = n_regionkey JOIN nm USING (r_name) WHERE px % 3 = 0),
+ct AS (SELECT code, avg(nir) AS a, avg(red) AS b, avg(swir1) AS c FROM tr GROUP BY code)
+SELECT px, code::BIGINT AS classified FROM feat, ct QUALIFY row_number() OVER (PARTITION BY px ORDER BY round((nir - a) ** 2 + (red - b) ** 2 + (swir1 - c) ** 2, 9), code) = 1""")
+def classify_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by the nearest centre of the regions, whose names are learned at every third cell."""
+    cells, features = _features(spark, sf_dir), ["nir", "red", "swir1"]
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    points = grid(spark, sf_dir).where("px % 3 = 0").join(nations, F.col("zone") == F.col("n_nationkey")).select("px", "r_name")
+    training, number = K.training_points(cells, points, ["px"], "r_name", features)
+    return K.nearest_centre(cells, K.centres(training, features, number), features).select("px", "classified")
+
+
+@query(f"""WITH {HOLDS}, {_FEATURES}, zf AS (SELECT h.area, avg(nir) AS nir, max(red) AS red, count(*) AS n FROM holds h JOIN feat f ON f.px = h.px GROUP BY h.area),
+ct AS (SELECT zone % 4 AS code, avg(nir) AS a, avg(red) AS b FROM zf JOIN grid ON grid.px = area WHERE area % 2 = 0 GROUP BY 1)
+SELECT g.px AS area, coalesce(n, 0) AS n, (arg_min(code, (round((nir - a) ** 2 + (red - b) ** 2, 9), code)))::BIGINT AS classified FROM grid g LEFT JOIN zf ON zf.area = g.px LEFT JOIN ct ON zf.area IS NOT NULL WHERE g.px % 2 = 1 GROUP BY g.px, n""")
+def classify_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons with odd numbers by the nearest centre of classes that are learned from the even ones' zonal features."""
+    cells, all_ = _features(spark, sf_dir), areas(grid(spark, sf_dir)).withColumn("class", F.col("nation") % 4)
+    made = {"nir": F.avg("nir"), "red": F.max("red"), "n": F.count("px")}
+    training, number = K.training_polygons(cells, all_.where("area % 2 = 0"), ["area"], "class", made, tile=4)
+    zones = P.reduce_regions(cells, all_.where("area % 2 = 1"), ["area"], made, tile=4)
+    out = K.nearest_centre(zones, K.centres(training, ["nir", "red"], number), ["nir", "red"])
+    return out.select("area", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("classified").cast("long").alias("classified"))
+
+
+@query()
+def classify_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of light of each cell's observations, learned by a forest at cells with even numbers: a label that follows the features."""
+    cells = _features(spark, sf_dir).withColumn("bright", F.when(F.col("nir") > 0.35, "high").otherwise("low"))
+    _, out = K.classified_points(cells, cells.where("px % 2 = 0").select("px", "bright"), ["px"], "bright", ["nir", "red", "swir1"], trees=15, depth=4, seed=7)
+    return out.select("px", "bright", "classified")
