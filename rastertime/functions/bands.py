@@ -149,8 +149,12 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> Column:
 
 
 def expression(text: str, names: dict[str, str]) -> Column:
-    """An SQL expression in short names for the bands, as in expression("N / (N + R)", {"N": "nir", "R": "red"})."""
-    return F.expr(re.sub(r"\b[A-Za-z_]\w*\b", lambda m: f"`{names[m[0]]}`" if m[0] in names else m[0], text))
+    """An SQL expression in short names for the bands, as in expression("N / (N + R)", {"N": "nir", "R": "red"}).
+
+    Names within quotes are left alone, as are those of fields (after a dot) and of functions (before a bracket).
+    """
+    part = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|(?<![\w.])[A-Za-z_]\w*\b(?!\s*\()""")
+    return F.expr(part.sub(lambda m: f"`{names[m[0]]}`" if m[0] in names else m[0], text))
 
 
 def to_natural(db: Column) -> Column:

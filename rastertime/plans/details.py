@@ -10,10 +10,11 @@ from rastertime.functions import dates as D
 from rastertime.functions import harmonize as H
 from rastertime.functions import segments as S
 from rastertime.operators import focal as L
+from rastertime.operators.reproject import Grid, reproject
 from rastertime.plans.history import ANNUAL, SEGS, VERTS, annual, verts
 from rastertime.plans.registry import KEYS, KEYS_SQL, obs_query, query, rounded
 from rastertime.plans.space import _near, grid_query
-from rastertime.sources.catalog import describe
+from rastertime.sources.catalog import describe, metadata
 from rastertime.sources.observations import table
 from rastertime.streaming.windows import hopping
 
@@ -122,3 +123,37 @@ def hopping_window_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three days, one a day."""
     out = hopping(table(spark, sf_dir, "events"), "3 days", "1 day")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+@obs_query(f"""SELECT {KEYS_SQL}, sensor, round(nir, 9) AS nir FROM obs WHERE sensor IN ('A', 'N') AND contains(orbit, 'F') AND NOT starts_with(sensor, 'N') AND ln <= 4 AND pk >= 20""")
+def metadata_filters(obs: DataFrame) -> DataFrame:
+    """Scenes by filters of their properties."""
+    for name, operator, value in (("sensor", "in_list", ["A", "N"]), ("orbit", "contains", "F"), ("sensor", "not_starts_with", "N"), ("ln", "not_greater_than", 4), ("pk", "not_less_than", 20)):
+        obs = obs.where(metadata(name, operator, value))
+    return rounded(obs, [*KEYS, "sensor"], ["nir"], 9)
+
+
+@obs_query(f"""SELECT {KEYS_SQL}, CASE WHEN sensor = 'R' THEN 'R' ELSE sensor || '-N' END AS named, round(CASE WHEN nir > red THEN nir - red ELSE 0 END, 9) AS more FROM obs""")
+def band_expression_text(obs: DataFrame) -> DataFrame:
+    """Expressions whose texts look like band names."""
+    names = {"N": "nir", "R": "red", "S": "sensor"}
+    named = B.expression("CASE WHEN S = 'R' THEN 'R' ELSE concat(S, '-N') END", names)
+    return obs.select(*KEYS, named.alias("named"), F.round(B.expression("if(N > R, N - R, 0D)", names), 9).alias("more"))
+
+
+#: A grid turned by a right angle and half as fine, and one moved by fractions of a cell.
+TURNED, FINE = Grid(3.0, -1.0, 0.0, 2.0, -2.0, 0.0), Grid(0.25, -0.375, 0.5, 0.0, 0.0, 0.5)
+
+
+@grid_query("""WITH s AS (SELECT col::DOUBLE AS x, row::DOUBLE AS y, z FROM grid), t AS (SELECT (x - 3) / 2 AS fr, -(y + 1) / 2 AS fc, z FROM s)
+SELECT floor(fr + 0.5::DOUBLE)::BIGINT AS row, floor(fc + 0.5::DOUBLE)::BIGINT AS col, round(avg(z), 6) AS z FROM t GROUP BY ALL""")
+def reproject_mean(g: DataFrame) -> DataFrame:
+    """Means of the surface on a turned and coarser grid."""
+    return rounded(reproject(g, ["z"], Grid(), TURNED, "mean"), ["row", "col"], ["z"])
+
+
+@grid_query("""WITH b AS (SELECT min(row) * 2 - 4 AS r0, max(row) * 2 + 6 AS r1, min(col) * 2 - 4 AS c0, max(col) * 2 + 6 AS c1 FROM grid), t AS (SELECT r AS row, c AS col FROM b, unnest(range(r0, r1)) p(r), unnest(range(c0, c1)) q(c))
+SELECT t.row, t.col, grid.z FROM t JOIN grid ON grid.row = floor(-0.375::DOUBLE + t.row * 0.5::DOUBLE + 0.5::DOUBLE) AND grid.col = floor(0.25::DOUBLE + t.col * 0.5::DOUBLE + 0.5::DOUBLE)""")
+def reproject_nearest(g: DataFrame) -> DataFrame:
+    """The surface on a finer grid, moved by fractions of a cell."""
+    return reproject(g.select("row", "col", "z"), ["z"], Grid(), FINE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Band names by product, in the order blue, green, red, nir, swir1, temp, swir2, quality.
@@ -132,3 +132,17 @@ def in_box(df: DataFrame, low_row: int, high_row: int, low_col: int, high_col: i
 def radar(df: DataFrame, polarisation: str, direction: str, mode: str = "IW") -> DataFrame:
     """Scenes of one mode and orbit direction that have a polarisation among those sent and received."""
     return df.where((F.col("instrumentMode") == mode) & F.array_contains("polarisations", polarisation) & (F.col("pass") == direction))
+
+
+def metadata(name: str, operator: str, value) -> Column:
+    """A filter of a property by a named operator, as columns that reach the scan; NULL properties pass none of them."""
+    p = F.col(name)
+    known = {
+        "equals": lambda: p == value, "not_equals": lambda: p != value, "less_than": lambda: p < value, "not_less_than": lambda: p >= value,
+        "greater_than": lambda: p > value, "not_greater_than": lambda: p <= value, "starts_with": lambda: p.startswith(value), "ends_with": lambda: p.endswith(value),
+        "contains": lambda: p.contains(value), "not_contains": lambda: ~p.contains(value), "not_starts_with": lambda: ~p.startswith(value), "not_ends_with": lambda: ~p.endswith(value),
+        "in_list": lambda: p.isin(list(value)), "not_in_list": lambda: ~p.isin(list(value)), "list_contains": lambda: F.array_contains(p, value),
+    }
+    if operator not in known:
+        raise ValueError(f"no operator {operator!r}; known: {', '.join(sorted(known))}")
+    return known[operator]()
