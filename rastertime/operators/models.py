@@ -180,42 +180,6 @@ def wave(t: np.ndarray, harmonics: int, trend: bool = False) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def ewma_chart(t: np.ndarray, v: np.ndarray, train: np.ndarray, harmonics: int, weight: float = 0.3, width: float = 3.0) -> np.ndarray:
-    """Exponentially weighted chart of residuals from the training years' harmonic fit, in whole control limits."""
-    x = wave(t, harmonics)
-    out = np.full(len(t), np.nan)
-    if train.sum() < x.shape[1] + 2:
-        return out
-    for _ in range(2):  # fit again without residuals beyond three deviations
-        beta = np.linalg.lstsq(x[train], v[train], rcond=None)[0]
-        r = v - x @ beta
-        sd = r[train].std(ddof=1)
-        train = train & (np.abs(r) <= 3 * sd)
-    z = 0.0
-    for i, e in enumerate(r):
-        z = (1 - weight) * z + weight * e
-        limit = width * sd * sqrt(weight / (2 - weight) * (1 - (1 - weight) ** (2 * (i + 1))))
-        out[i] = np.trunc(z / limit) if limit > 0 else 0.0
-    return out
-
-
-def ewmacd(df: DataFrame, band: str, keys: list[str], train: tuple[int, int], harmonics: int = 1, t: str = "t_dec", least: float = -1.0) -> DataFrame:
-    """(keys, t, ewma) for observations above ``least``, the vegetation threshold; t is a decimal year."""
-
-    def chart(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[band].notna() & (pdf[band] > least)].sort_values([t, band])
-        at = pdf[t].to_numpy(float)
-        own = (at >= train[0]) & (at < train[1] + 1)
-        return pdf[keys].assign(**{t: at, "ewma": ewma_chart(at, pdf[band].to_numpy(float), own, harmonics)})
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return df.select(*keys, t, band).groupBy(*keys).applyInPandas(chart, f"{head}, {t} double, ewma double")
-
-
-def annual_ewma(chart: DataFrame, keys: list[str], t: str = "t_dec", reducer=F.min) -> DataFrame:
-    return chart.groupBy(*keys, F.floor(t).cast("int").alias("yr")).agg(reducer("ewma").alias("ewma"))
-
-
 def chi_square(p: float, d: int) -> float:
     """Quantile by the cube-root normal approximation."""
     from statistics import NormalDist

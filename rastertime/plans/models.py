@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from rastertime.functions import bands as B
 from rastertime.functions import segments as S
+from rastertime.operators import charts as A
 from rastertime.operators import classify as C
 from rastertime.operators import models as M
 from rastertime.operators import registration as G
-from rastertime.plans.history import annual, clear
+from rastertime.plans.history import CLEAR, annual, clear
 from rastertime.plans.registry import obs_query, query, rounded
 from rastertime.plans.space import grid_query
 from rastertime.sources.observations import grid, table
@@ -37,11 +38,40 @@ def verdet(obs: DataFrame) -> DataFrame:
     return out.select("px", F.size("vertices").alias("n_vertices"), F.transform("slopes", lambda s: F.round(s, 6)).alias("slopes"))
 
 
-@obs_query()
+def _line(own: str, name: str) -> str:
+    """{name} (px, b0, b1, b2): least squares of v on 1, c, s over the rows of o where ``own``, by Cramer's rule."""
+    m = f"SELECT px, count(*) AS n, sum(c) AS c, sum(s) AS s, sum(c * c) AS cc, sum(c * s) AS cs, sum(s * s) AS ss, sum(v) AS v, sum(c * v) AS cv, sum(s * v) AS sv FROM {own} GROUP BY px"
+    det = lambda a, b, c, d, e, f, g, h, i: f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+    d = det("n", "c", "s", "c", "cc", "cs", "s", "cs", "ss")
+    parts = (det("v", "c", "s", "cv", "cc", "cs", "sv", "cs", "ss"), det("n", "v", "s", "c", "cv", "cs", "s", "sv", "ss"), det("n", "c", "v", "c", "cc", "cv", "s", "cs", "sv"))
+    return f"{name} AS (SELECT px, n, " + ", ".join(f"{x} / nullif({d}, 0) AS b{i}" for i, x in enumerate(parts)) + f" FROM ({m}))"
+
+
+_LEFT = "v - (b0 + b1 * c + b2 * s)"
+
+
+@obs_query(f"""WITH q AS (SELECT px, yr::DOUBLE + doy::DOUBLE / 365.0::DOUBLE AS t, (nir - red) / (nir + red) AS v FROM obs WHERE {CLEAR}),
+o AS (SELECT *, cos(2 * pi() * t) AS c, sin(2 * pi() * t) AS s, t >= 1995 AND t < 1997 AS own FROM q WHERE v > -1),
+o1 AS (SELECT * FROM o WHERE own), {_line("o1", "f1")}, r1 AS (SELECT o.*, {_LEFT} AS r FROM o JOIN f1 USING (px) WHERE n >= 5), d1 AS (SELECT px, stddev_samp(r) FILTER (WHERE own) AS sd FROM r1 GROUP BY px),
+o2 AS (SELECT r1.* EXCLUDE (r) FROM r1 JOIN d1 USING (px) WHERE own AND abs(r) <= 3 * sd), {_line("o2", "f2")},
+r2 AS (SELECT r1.px, r1.t, r1.v, {_LEFT.replace("v -", "r1.v -").replace("* c", "* r1.c").replace("* s", "* r1.s")} AS r, row_number() OVER (PARTITION BY r1.px ORDER BY r1.t, r1.v) AS i FROM r1 JOIN f2 USING (px)),
+d2 AS (SELECT o2.px, stddev_samp({_LEFT}) AS sd FROM o2 JOIN f2 USING (px) GROUP BY o2.px),
+z AS (SELECT px, t, i, pow(0.7::DOUBLE, i) * sum(0.3::DOUBLE * r * pow(0.7::DOUBLE, -i)) OVER (PARTITION BY px ORDER BY i) AS z FROM r2),
+e AS (SELECT z.px, t, trunc(z / (3 * sd * sqrt(0.3::DOUBLE / 1.7::DOUBLE * (1 - pow(0.7::DOUBLE, 2 * i))))) AS ewma FROM z JOIN d2 USING (px))
+SELECT o.px, floor(o.t)::INTEGER AS yr, min(e.ewma) AS ewma FROM o LEFT JOIN e ON e.px = o.px AND e.t = o.t GROUP BY 1, 2""")
 def ewmacd(obs: DataFrame) -> DataFrame:
     """Yearly lowest value of the control chart of NDVI residuals."""
     rows = _decimal(clear(obs)).withColumn("v", (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red")))
-    return M.annual_ewma(M.ewmacd(rows, "v", ["px"], (1995, 1996)), ["px"])
+    return A.annual_ewma(A.ewmacd(rows, "v", ["px"], (1995, 1996)), ["px"])
+
+
+@obs_query()
+def verdet_annual(obs: DataFrame) -> DataFrame:
+    """Annual values of the curvature-penalised lines of two bands, side by side."""
+    rows = annual(obs)
+    both = M.verdet(rows, "v", ["px"], (1995, 2001)).select("px", F.col("vertices").alias("v")).join(M.verdet(rows, "nir", ["px"], (1995, 2001)).select("px", F.col("vertices").alias("n")), "px")
+    out = S.annual_many(both, {"NDVI": "v", "NIR": "n"}, 1995, 2001, ["px"], "VT")
+    return rounded(out, ["px", "year", "NDVI_VT_dur", "NIR_VT_dur"], [f"{b}_VT_{f}" for b in ("NDVI", "NIR") for f in ("fit", "mag", "slope", "diff")])
 
 
 @obs_query()
