@@ -52,18 +52,30 @@ def predict(df: DataFrame, segs: str, times: Column, keys: list[str], fill_gaps:
     return rows.select(*keys, "time", value(pick(F.col(segs), F.col("time"), fill_gaps)["coefs"], F.col("time"), harmonics).alias("predicted"))
 
 
-def annualize(df: DataFrame, segs: str, first: int, last: int, keys: list[str], month: int = 9, day: int = 1, extrapolate: float = 0.0, fill_gaps: bool = True) -> DataFrame:
-    """Value without harmonics at one date of each year, and its difference from the year before (first year dropped)."""
+def annualize(df: DataFrame, segs: str, first: int, last: int, keys: list[str], month: int = 9, day: int = 1, extrapolate: float = 0.0, fill_gaps: bool = True, harmonics: tuple[int, ...] = ()) -> DataFrame:
+    """Value at one date of each year, with no harmonics or those given, and its difference from the year before (first year dropped)."""
     at = (dbl((month - 1) * 30.4375 + day - 1)) / dbl(365)
     n = F.size(segs)
     longer = F.transform(F.col(segs), lambda s, i: s.withField("tEnd", F.when(i == n - 1, s["tEnd"] + dbl(extrapolate)).otherwise(s["tEnd"])))
     rows = df.select(*keys, longer.alias("_s"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
     t = F.col("year").cast("double") + at
-    rows = rows.select(*keys, "year", value(pick(F.col("_s"), t, fill_gaps)["coefs"], t, ()).alias("fitted"))
+    rows = rows.select(*keys, "year", value(pick(F.col("_s"), t, fill_gaps)["coefs"], t, harmonics).alias("fitted"))
     slope = F.col("fitted") - F.lag("fitted").over(Window.partitionBy(*keys).orderBy("year"))
     return rows.withColumn("fit_slope", slope).where(F.col("year") > first)
 
 
+def annualize_at(df: DataFrame, segs: str, times: DataFrame, keys: list[str], fill_gaps: bool = True, harmonics: tuple[int, ...] = ()) -> DataFrame:
+    """As ``annualize``, at a time of its own for each pixel and year: ``times`` (keys, year, time), such as the dates of composites.
+
+    The first year of a pixel's times is dropped; a pixel without times has no row, one without a segment NULL values.
+    """
+    rows = times.select(*keys, "year", "time").join(df.select(*keys, segs), keys, "left")
+    rows = rows.select(*keys, "year", "time", value(pick(F.col(segs), F.col("time"), fill_gaps)["coefs"], F.col("time"), harmonics).alias("fitted"))
+    over = Window.partitionBy(*keys).orderBy("year")
+    rows = rows.withColumns({"fit_slope": F.col("fitted") - F.lag("fitted").over(over), "_first": F.row_number().over(over) == 1})
+    return rows.where("NOT _first").drop("_first")
+
+
 def changes(segs: Column, probability: float = 1.0) -> dict[str, Column]:
     """Decimal year and magnitude of the newest and of the largest loss and gain; NULL where that break is uncertain.
 

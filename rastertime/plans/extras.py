@@ -13,7 +13,7 @@ from rastertime.functions import segments as S
 from rastertime.operators import change as X
 from rastertime.operators import composite as P
 from rastertime.operators import joins as J
-from rastertime.plans.history import ANNUAL, CCDC, SEGS, VERTS, annual, ccdc_synth, verts
+from rastertime.plans.history import ANNUAL, CCDC, VALUE, SEGS, VERTS, annual, ccdc_synth, verts
 from rastertime.plans.registry import KEYS, KEYS_SQL, obs_query, rounded
 from rastertime.sources.catalog import radar
 from rastertime.sources.sinks import pack
@@ -101,3 +101,23 @@ def array_to_series(obs: DataFrame) -> DataFrame:
 def modis_state_mask(obs: DataFrame) -> DataFrame:
     keep = M.state_clear(F.col("pk") * 64) & M.observed(F.col("ln") % 4)
     return B.mask(obs, keep, ["nir"]).select(*KEYS, "nir")
+
+
+_STRETCHED = "st AS (SELECT *, CASE WHEN k = 1 THEN a ELSE [1997.0, 1999.0][k - 1]::DOUBLE END AS lo, CASE WHEN k = 3 THEN b ELSE brk END AS hi FROM sg3)"
+
+
+@obs_query(f"""WITH {CCDC}, yy AS (SELECT y::INTEGER AS year, y + 243.5::DOUBLE / 365::DOUBLE AS t FROM range(1995, 2002) r(y)), {_STRETCHED},
+f AS (SELECT p.px, year, {VALUE} AS fitted FROM (SELECT DISTINCT px FROM sg3) p CROSS JOIN yy LEFT JOIN st ON st.px = p.px AND lo < t AND t <= hi), g AS (SELECT *, fitted - lag(fitted) OVER (PARTITION BY px ORDER BY year) AS s FROM f)
+SELECT px, year, round(fitted, 6) AS fitted, round(s, 6) AS fit_slope FROM g WHERE year > 1995""")
+def ccdc_annual_harmonic(obs: DataFrame) -> DataFrame:
+    """The whole curve at one date of each year, and its change from the year before."""
+    return rounded(C.annualize(ccdc_synth(obs), "segs", 1995, 2001, ["px"], harmonics=(1,)), ["px", "year"], ["fitted", "fit_slope"])
+
+
+@obs_query(f"""WITH {CCDC}, {_STRETCHED}, tt AS (SELECT px, yr AS year, yr + min(doy)::DOUBLE / 365::DOUBLE AS t FROM obs WHERE px % 7 > 0 GROUP BY px, yr),
+f AS (SELECT tt.px, year, t, intp + slp * t AS fitted FROM tt LEFT JOIN st ON st.px = tt.px AND lo < t AND t <= hi), g AS (SELECT *, fitted - lag(fitted) OVER w AS s, row_number() OVER w AS n FROM f WINDOW w AS (PARTITION BY px ORDER BY year))
+SELECT px, year, round(t, 6) AS time, round(fitted, 6) AS fitted, round(s, 6) AS fit_slope FROM g WHERE n > 1""")
+def ccdc_annual_composites(obs: DataFrame) -> DataFrame:
+    """The trend at the date of each pixel's composite."""
+    times = obs.where("px % 7 > 0").groupBy("px", F.col("yr").alias("year")).agg((F.col("yr") + F.min("doy").cast("double") / 365).alias("time"))
+    return rounded(C.annualize_at(ccdc_synth(obs), "segs", times, ["px"]), ["px", "year"], ["time", "fitted", "fit_slope"])
