@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertime.functions.bands import dbl, mask
-from rastertime.operators.focal import contract_dilate
+from rastertime.operators.focal import contract_dilate, focal_max, focal_min
 
 
 def with_margin(df: DataFrame, clear: Column, contract: float, dilate: float, image: tuple[str, ...] = ("t",)) -> DataFrame:
@@ -71,3 +72,30 @@ def pixel_statistics(df: DataFrame, score: Column, dark: tuple[str, ...] = ("nir
     exprs = [F.percentile(score, percentile / 100).alias("score_offset")]
     exprs += [f(b).alias(f"{b}_{s}") for b in dark for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
     return df.groupBy(px).agg(*exprs)
+
+
+def shadows_projected(df: DataFrame, bands: list[str], image: list[str], cloud: Column, dark: Column, azimuth: Column, zenith: Column, heights: list[float], cell: float, contract: float = 1.5, dilate: float = 3.5) -> DataFrame:
+    """Masks clouds and the shadows that they throw, and adds cloudShadowMask (1 in shadow); a row per cell of an image.
+
+    Clouds and dark cells first lose specks (least within ``contract``) and grow again (largest within ``dilate``). Each cloud
+    cell throws a shadow from every height, away from the sun of its image (degrees), on a cell of ``cell`` units; where that
+    is dark and no cloud it is shadow, which then loses specks and grows likewise. Shadows are distinct cells, joined by place.
+    """
+
+    def opened(mask_: Column, name: str) -> DataFrame:
+        rows = df.select(*image, "row", "col", F.coalesce(mask_.cast("int"), F.lit(0)).alias(name))
+        return focal_max(focal_min(rows, name, contract, image), name, dilate, image)
+
+    at = [*image, "row", "col"]
+    both = opened(cloud, "_cloud").join(opened(dark, "_dark"), at)
+    sun = df.select(*at, (F.radians(azimuth) + dbl(pi)).alias("_az"), F.tan(F.radians(zenith)).alias("_reach"))
+    both = both.join(sun, at)
+    away = lambda f, h: F.round(h * F.col("_reach") * f(F.col("_az")) / dbl(cell)).cast("long")
+    shifts = F.array_distinct(F.transform(F.array(*[dbl(float(h)) for h in heights]), lambda h: F.struct(away(F.cos, h).alias("dr"), away(F.sin, h).alias("dc"))))
+    thrown = both.where("_cloud = 1").select(*at, F.explode(shifts).alias("_s"))
+    thrown = thrown.select(*image, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col")).distinct()
+    found = both.join(thrown.withColumn("_t", F.lit(1)), at, "left")
+    shadow = found.select(*at, F.when(F.col("_t").isNotNull() & (F.col("_cloud") == 0), F.col("_dark")).otherwise(F.lit(0)).alias("cloudShadowMask"))
+    shadow = focal_max(focal_min(shadow, "cloudShadowMask", contract, image), "cloudShadowMask", dilate, image)
+    out = df.join(shadow, at).join(both.select(*at, "_cloud"), at)
+    return mask(out, (F.col("cloudShadowMask") == 0) & (F.col("_cloud") == 0), bands).select(*df.columns, "cloudShadowMask")

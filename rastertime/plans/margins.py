@@ -9,12 +9,14 @@ from rastertime.functions import bands as B
 from rastertime.functions import indices as I
 from rastertime.functions import masks as M
 from rastertime.functions import segments as S
+from rastertime.functions.indices import SIX
 from rastertime.operators import change as X
 from rastertime.operators import clouds as K
 from rastertime.operators import focal as L
 from rastertime.plans.history import ANNUAL, SEGS, TDOM, ZT, annual, verts
+from rastertime.plans.pipelines import margin_sql
 from rastertime.plans.registry import KEYS, KEYS_SQL, obs_query, rounded
-from rastertime.plans.scenes import LANDSAT_SCORE, TC_VIEW, nd
+from rastertime.plans.scenes import INFRARED, LANDSAT_SCORE, TC_VIEW, VISIBLE, _score, nd, rescale_sql
 from rastertime.plans.space import grid_query
 from rastertime.sources.catalog import path_row, without_gaps
 from rastertime.sources.sinks import pack
@@ -23,39 +25,31 @@ from rastertime.sources.sinks import pack
 IMAGE = ("yr", "ln")
 
 
-def _margin(contract: float, dilate: float) -> str:
-    """From p (clear) to k (v = 1 where a cell of an image stays)."""
-    same = "b.yr = a.yr AND b.ln = a.ln AND b.row = a.row + d.dr AND b.col = a.col + d.dc"
-    return f"""c AS (SELECT yr, ln, row, col, max(clear::INTEGER) AS v FROM p WHERE clear IS NOT NULL GROUP BY ALL), d AS (SELECT x AS dr, y AS dc, x * x + y * y AS r2 FROM range(-3, 4) e(x), range(-3, 4) f(y)),
-m AS (SELECT a.yr, a.ln, a.row, a.col, max(b.v) AS v FROM c a, d JOIN c b ON {same} WHERE r2 <= {contract * contract} GROUP BY ALL),
-k AS (SELECT a.yr, a.ln, a.row, a.col, min(b.v) AS v FROM m a, d JOIN m b ON {same} WHERE r2 <= {dilate * dilate} GROUP BY ALL)"""
-
-
 def _shown(band: str) -> str:
     return f"SELECT {KEYS_SQL}, CASE WHEN v = 1 AND clear IS NOT NULL THEN {band} END AS {band} FROM p LEFT JOIN k USING (yr, ln, row, col)"
 
 
 @obs_query(f"""WITH s AS (SELECT *, {LANDSAT_SCORE} AS score FROM obs), p AS (SELECT *, score - quantile_cont(score, 0.1) OVER (PARTITION BY px) < 20 AS clear FROM s),
-{_margin(1.5, 2.5)} {_shown("nir")}""")
+{margin_sql(1.5, 2.5)} {_shown("nir")}""")
 def cloud_score_margin(obs: DataFrame) -> DataFrame:
     return K.cloud_score_mask(obs, M.landsat_cloud_score(), ["nir"], contract=1.5, dilate=2.5, image=IMAGE).select(*KEYS, "nir")
 
 
 @obs_query(f"""WITH o AS (SELECT *, avg(nir) OVER w AS nir_m, stddev_pop(nir) OVER w AS nir_s, avg(swir1) OVER w AS swir1_m, stddev_pop(swir1) OVER w AS swir1_s FROM obs WINDOW w AS (PARTITION BY px)),
-p AS (SELECT *, NOT coalesce({TDOM}, false) AS clear FROM o), {_margin(1, 1.5)} {_shown("red")}""")
+p AS (SELECT *, NOT coalesce({TDOM}, false) AS clear FROM o), {margin_sql(1, 1.5)} {_shown("red")}""")
 def tdom_margin(obs: DataFrame) -> DataFrame:
     return K.shadow_mask(obs, ["red"], contract=1, dilate=1.5, image=IMAGE).select(*KEYS, "red")
 
 
 @obs_query(f"""WITH p AS (SELECT *, NOT (({nd("green", "swir1")} > 0.4::DOUBLE AND nir > 0.11::DOUBLE) OR ({nd("green", "swir1")} > 0.1::DOUBLE AND {nd("green", "swir1")} < 0.4::DOUBLE)) AS clear FROM obs),
-{_margin(0, 1.5)} {_shown("nir")}""")
+{margin_sql(0, 1.5)} {_shown("nir")}""")
 def snow_margin(obs: DataFrame) -> DataFrame:
     out = K.with_margin(obs, ~M.snow(), 0, 1.5, IMAGE)
     return B.mask(out, F.col("keep"), ["nir"]).select(*KEYS, "nir")
 
 
 @obs_query(f"""WITH {TC_VIEW}, w AS (SELECT *, round(atan2(wetness, brightness) / pi(), 9) AS bw, round(atan2(greenness, brightness) / pi(), 9) AS bg FROM tc),
-p AS (SELECT *, bw >= -0.05::DOUBLE AND bg <= 0.05::DOUBLE AND brightness < 0.3::DOUBLE AND px % 4 > 0 AS clear FROM w), {_margin(0, 1)}
+p AS (SELECT *, bw >= -0.05::DOUBLE AND bg <= 0.05::DOUBLE AND brightness < 0.3::DOUBLE AND px % 4 > 0 AS clear FROM w), {margin_sql(0, 1)}
 SELECT {KEYS_SQL}, coalesce(v = 1, false) AS water FROM p LEFT JOIN k USING (yr, ln, row, col)""")
 def water_margin(obs: DataFrame) -> DataFrame:
     """Water on flat ground, less its outermost cells."""
@@ -140,3 +134,27 @@ SELECT y, x, CASE WHEN count(z) = 16 THEN round(sum(z * w), 6) END AS z FROM m G
 def resample_bicubic(g: DataFrame) -> DataFrame:
     points = g.select((F.col("row") + B.dbl(0.25)).alias("y"), (F.col("col") + B.dbl(0.5)).alias("x"))
     return rounded(L.bicubic(g, points, "z"), ["y", "x"], ["z"])
+
+
+def _opened(source: str, name: str, out: str, contract: float, dilate: float) -> str:
+    """``out`` (yr, row, col, name): least within ``contract``, then largest within ``dilate``, of a view of whole images."""
+    near = lambda a, b: f"b.yr = a.yr AND b.row = a.row + x AND b.col = a.col + y"  # noqa: E731, F541
+    step = lambda src, f, r: f"SELECT a.yr, a.row, a.col, {f}(b.{name}) AS {name} FROM {src} a, range(-3, 4) p(x), range(-3, 4) q(y) JOIN {src} b ON {near('a', 'b')} WHERE x * x + y * y <= {r * r} GROUP BY ALL"
+    return f"{out}_0 AS ({step(source, 'min', contract)}), {out} AS ({step(f'{out}_0', 'max', dilate)})"
+
+
+S2_SCORE = _score(f'greatest(0::DOUBLE, {rescale_sql("blue", 0.1, 0.5)}, {rescale_sql("blue * 2", 0.1, 0.5)})', VISIBLE, INFRARED, rescale_sql(nd("green", "swir1"), 0.8, 0.6))
+
+
+@obs_query(f"""WITH im AS (SELECT yr, row, col, {", ".join(f"avg({b}) AS {b}" for b in SIX)} FROM obs WHERE yr BETWEEN 1995 AND 1997 GROUP BY ALL),
+fl AS (SELECT yr, row, col, coalesce({S2_SCORE} > 12, false)::INTEGER AS cloud, (nir + swir1 + swir2 < 1.4::DOUBLE)::INTEGER AS dark FROM im), {_opened("fl", "cloud", "cl", 0.5, 1)}, {_opened("fl", "dark", "dk", 0.5, 1)},
+th AS (SELECT DISTINCT yr, row + round(h * tan(radians(40)) * cos(radians(135 + 20 * (yr - 1995)) + pi()) / 30)::BIGINT AS row, col + round(h * tan(radians(40)) * sin(radians(135 + 20 * (yr - 1995)) + pi()) / 30)::BIGINT AS col FROM cl, (VALUES (60), (90), (150)) v(h) WHERE cloud = 1),
+sh AS (SELECT cl.yr, cl.row, cl.col, CASE WHEN th.yr IS NOT NULL AND cloud = 0 THEN dark ELSE 0 END AS s FROM cl JOIN dk USING (yr, row, col) LEFT JOIN th USING (yr, row, col)), {_opened("sh", "s", "so", 0.5, 1)}
+SELECT im.yr, im.row, im.col, so.s AS "cloudShadowMask", round(CASE WHEN so.s = 0 AND cl.cloud = 0 THEN nir END, 9) AS nir FROM im JOIN so USING (yr, row, col) JOIN cl USING (yr, row, col)""")
+def shadow_wrapper(obs: DataFrame) -> DataFrame:
+    """Yearly images without clouds by score and without the dark ground that these throw shadows on; each image has its sun."""
+    image = obs.where(F.col("yr").between(1995, 1997)).groupBy("yr", "row", "col").agg(*[F.avg(b).alias(b) for b in SIX]).withColumn("cb", F.col("blue") * 2)
+    dark = F.col("nir") + F.col("swir1") + F.col("swir2") < B.dbl(1.4)
+    sun = (F.lit(135) + (F.col("yr") - 1995) * 20).cast("double")
+    out = K.shadows_projected(image, ["nir"], ["yr"], M.sentinel2_cloud_score() > 12, dark, sun, B.dbl(40), [60, 90, 150], 30, 0.5, 1)
+    return rounded(out, ["yr", "row", "col", "cloudShadowMask"], ["nir"], 9)

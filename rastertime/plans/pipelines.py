@@ -140,6 +140,14 @@ s2 AS (SELECT * REPLACE ({_kept(f"score - low < 20 AND {cloud}")}) FROM s1), s3
 s4 AS (SELECT * REPLACE ({_kept(f"NOT coalesce({tdom}, false) AND {shadow}")}) FROM s3)"""
 
 
+def margin_sql(contract: float, dilate: float, n: str = "") -> str:
+    """From p{n} (clear) to k{n} (v = 1 where a cell of an image stays)."""
+    same = "b.yr = a.yr AND b.ln = a.ln AND b.row = a.row + d.dr AND b.col = a.col + d.dc"
+    return f"""c{n} AS (SELECT yr, ln, row, col, max(clear::INTEGER) AS v FROM p{n} WHERE clear IS NOT NULL GROUP BY ALL), d{n} AS (SELECT x AS dr, y AS dc, x * x + y * y AS r2 FROM range(-3, 4) e(x), range(-3, 4) f(y)),
+m{n} AS (SELECT a.yr, a.ln, a.row, a.col, max(b.v) AS v FROM c{n} a, d{n} d JOIN c{n} b ON {same} WHERE r2 <= {contract * contract} GROUP BY ALL),
+k{n} AS (SELECT a.yr, a.ln, a.row, a.col, min(b.v) AS v FROM m{n} a, d{n} d JOIN m{n} b ON {same} WHERE r2 <= {dilate * dilate} GROUP BY ALL)"""
+
+
 MEDIANS = f'count(green) AS "compositeObsCount", {rounded_sql({b: f"median({b})" for b in FIVE})}'
 
 
@@ -193,3 +201,14 @@ def recipe_climate(obs: DataFrame) -> DataFrame:
     """Means over water years, October to September, dated to the later year."""
     out = climate_composites(obs, Options(days=(274, 273)), ["nir", "temp"])
     return rounded(out, ["px", "year", "compositeObsCount"], ["nir", "temp"], 9)
+
+
+@obs_query(f"""WITH s0 AS (SELECT *, {LANDSAT_SCORE} AS score FROM obs WHERE doy BETWEEN 152 AND 273), p AS (SELECT *, score - quantile_cont(score, 0.1) OVER (PARTITION BY px) < 20 AS clear FROM s0),
+{margin_sql(1.5, 2.5)}, s1 AS (SELECT p.* REPLACE ({_kept("v = 1 AND clear IS NOT NULL")}) FROM p LEFT JOIN k USING (yr, ln, row, col)), s2 AS (SELECT * REPLACE ({_kept("(qa & 8) = 0")}) FROM s1),
+s3 AS (SELECT * EXCLUDE (clear), avg(nir) OVER w AS nir_m, stddev_pop(nir) OVER w AS nir_s, avg(swir1) OVER w AS swir1_m, stddev_pop(swir1) OVER w AS swir1_s FROM s2 WINDOW w AS (PARTITION BY px)),
+p2 AS (SELECT *, NOT coalesce({TDOM}, false) AS clear FROM s3), {margin_sql(1, 1.5, "2")}, s4 AS (SELECT p2.* REPLACE ({_kept("v = 1 AND clear IS NOT NULL AND (qa & 16) = 0")}) FROM p2 LEFT JOIN k2 USING (yr, ln, row, col))
+SELECT px, yr AS year, {MEDIANS} FROM s4 WHERE green IS NOT NULL GROUP BY px, yr""")
+def recipe_margins(obs: DataFrame) -> DataFrame:
+    """Cloud score and dark outliers, each with its margin in every image, quality bits, medians."""
+    o = Options(method="median", cloud_score=True, cloud_threshold=20, dark_outliers=True, cloud_margin=(1.5, 2.5), dark_margin=(1, 1.5), image=("yr", "ln"))
+    return _shown(composites(landsat_scenes(obs, o), o))
