@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rastertime.plans import areas, details, extras, history, margins, models, pipelines, preparation, primitives, scenes, space  # noqa: F401  (they register their queries)
+from rastertime.plans import areas, details, extras, history, margins, models, pipelines, preparation, primitives, scenes, space, stores  # noqa: F401  (they register their queries)
 from rastertime.plans.registry import REGISTRY
 
 

@@ -22,7 +22,7 @@ def test_collection_round_trip(spark, tmp_path):
 
 def test_catalogue_reads_its_bands_only(spark, tmp_path):
     spark.createDataFrame([(1, 2, 3, 4, 5, 6, 7, 8, 9)], "SR_B1 int, SR_B2 int, SR_B3 int, SR_B4 int, SR_B5 int, ST_B6 int, SR_B7 int, QA_PIXEL int, other int").write.parquet(str(tmp_path / "c"))
-    df = landsat(str(tmp_path / "c"), "C2_L5_SR").read(spark)
+    df = landsat(str(tmp_path / "c"), ("C2", 5, "SR")).read(spark)
     assert df.columns == ["blue", "green", "red", "nir", "swir1", "temp", "swir2", "qa"] and df.first().swir2 == 7
 
 

@@ -42,8 +42,8 @@ def test_images_don_t_see_each_other(spark):
 @pytest.mark.parametrize("family", ["landsat", "sentinel2", "modis"])
 def test_catalogues_rename_and_scale(spark, tmp_path, family):
     products = {"landsat": C.LANDSAT_BANDS, "sentinel2": C.S2_BANDS, "modis": C.MODIS_BANDS}[family]
-    for product in products:
-        source = getattr(C, family)(str(tmp_path / product), product)
+    for i, product in enumerate(products):
+        source = getattr(C, family)(str(tmp_path / str(i)), product)
         raw = spark.range(1).select(F.lit(1).alias("px"), F.lit("x").alias("unused"), *[F.lit(10000).alias(b) for b in source.bands])
         raw.write.parquet(source.path)
         row = source.read(spark, ("px",)).first()
@@ -54,6 +54,8 @@ def test_catalogues_rename_and_scale(spark, tmp_path, family):
 
 def test_landsat_names_are_complete():
     assert len(C.LANDSAT_BANDS) == 18 and all(len(b) == len(C.NAMES) for b in C.LANDSAT_BANDS.values())
+    assert C.LANDSAT_BANDS["C2", 9, "SR"] == ["SR_B2", "SR_B3", "SR_B4", "SR_B5", "SR_B6", "ST_B10", "SR_B7", "QA_PIXEL"]
+    assert C.LANDSAT_BANDS["C1", 7, "TOA"] == ["B1", "B2", "B3", "B4", "B5", "B6_VCID_1", "B7", "BQA"] and C.LANDSAT_BANDS["C1", 7, "SR"][5] == "B6"
 
 
 def test_colours_of_black_grey_and_masked(spark):
