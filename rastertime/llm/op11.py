@@ -52,9 +52,10 @@ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 w AS (SELECT conv_id, turn, CASE WHEN chance = 4 THEN 'user' ELSE role END AS role, CASE chance WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
       FROM k, unnest(range(CASE chance WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(n)),
 o AS (SELECT *, coalesce(conv_id::VARCHAR, 'null') AS c, substr(role, 1, 1) AS ini, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ending,
-             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM w),
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM w),
+l AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth FROM o),
 f AS (SELECT *, CASE WHEN ending = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(ending, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
-             lag(ini) OVER (PARTITION BY c ORDER BY i) || ini AS pair FROM o),
+             lag(ini) OVER (PARTITION BY c ORDER BY i) || ini AS pair FROM l),
 r AS (SELECT c, i, ini, role, text, fault IN ('b', 'd') AS must, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS more FROM f),
 v AS (SELECT DISTINCT c, 0::BIGINT AS i, '00000000' AS s0, NULL::VARCHAR AS s1, '00000003I' AS s2, '00000006II' AS s3 FROM r
       UNION ALL
