@@ -140,13 +140,13 @@ s AS (SELECT a.tr, a.tc, avg(b.dr) AS dr, avg(b.dc) AS dc FROM o a JOIN o b ON a
 w AS (SELECT row, col, s.dr, s.dc, greatest(1 - abs((row + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tr), 0) * greatest(1 - abs((col + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tc), 0) AS w FROM grid JOIN s ON abs(row // 4 - tr) <= 1 AND abs(col // 4 - tc) <= 1),
 f AS (SELECT row, col, row + round(sum(w * dr) / sum(w), 9) AS y, col + round(sum(w * dc) / sum(w), 9) AS x FROM w GROUP BY row, col),
 n AS (SELECT f.row, f.col, b.z, (1 - abs(y - b.row)) * (1 - abs(x - b.col)) AS w FROM f LEFT JOIN grid b ON b.row BETWEEN floor(y) AND ceil(y) AND b.col BETWEEN floor(x) AND ceil(x))
-SELECT 1 AS image, row, col, round(sum(w * z) / nullif(sum(w), 0), 4) AS z FROM n GROUP BY row, col""")
+SELECT 1 AS image, row, col, round(sum(w * z) / nullif(sum(w), 0), 7) AS z FROM n GROUP BY row, col""")
 def displacement_field(g: DataFrame) -> DataFrame:
     """The surface moved by a field that is interpolated and smoothed from a ramp of tile shifts."""
     image = g.select(F.lit(1).alias("image"), "row", "col", "z")
     tiles = image.select("image", F.floor(F.col("row") / 4).alias("tile_row"), F.floor(F.col("col") / 4).alias("tile_col")).distinct()
     offsets = tiles.withColumns({"dr": (F.col("tile_row") % 3).cast("double") / 2, "dc": F.col("tile_col") * B.dbl(0.75) - 1})
-    return rounded(G.displaced_by_field(image, offsets, ["z"], tile=4), ["image", "row", "col"], ["z"], 4)
+    return rounded(G.displaced_by_field(image, offsets, ["z"], tile=4), ["image", "row", "col"], ["z"], 7)
 
 
 @grid_query("""WITH shifts AS (SELECT row, col, (row // 2) % 2 AS dr, (col // 2) % 4 - 1 AS dc FROM grid)

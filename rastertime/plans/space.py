@@ -163,12 +163,12 @@ def defringe_slanting(g: DataFrame) -> DataFrame:
 
 @grid_query("""WITH k AS (SELECT x AS dr, y AS dc, 3 - abs(x) - abs(y) AS w FROM range(-2, 3) a(x), range(-2, 3) b(y) WHERE abs(x) + abs(y) <= 2),
 n AS (SELECT a.row, a.col, count(*) AS n, sum(w * b.z) AS s, sum(w * b.z) / sum(w) AS m, sum(w * b.z * b.z) / sum(w) AS q FROM grid a, k JOIN grid b ON b.row = a.row + dr AND b.col = a.col + dc WHERE b.z > 0 GROUP BY ALL)
-SELECT grid.row, grid.col, coalesce(n.n, 0) AS n, round(s, 4) AS sum, round(m, 4) AS mean, round(greatest(q - m * m, 0), 2) AS variance FROM grid LEFT JOIN n ON n.row = grid.row AND n.col = grid.col""")
+SELECT grid.row, grid.col, coalesce(n.n, 0) AS n, round(s, 4) AS sum, round(m, 7) AS mean, round(greatest(q - m * m, 0), 4) AS variance FROM grid LEFT JOIN n ON n.row = grid.row AND n.col = grid.col""")
 def kernel_statistics(g: DataFrame) -> DataFrame:
     """Mean and variance under a kernel of weights that fall with distance."""
     weights = {(a, b): 3.0 - abs(a) - abs(b) for a in range(-2, 3) for b in range(-2, 3) if abs(a) + abs(b) <= 2}
     out = lines.statistics(g.select("row", "col", F.when(F.col("z") > 0, F.col("z")).alias("z")), "z", weights)
-    return out.select("row", "col", "n", *[F.round(c, d).alias(c) for c, d in (("sum", 4), ("mean", 4), ("variance", 2))])
+    return out.select("row", "col", "n", *[F.round(c, d).alias(c) for c, d in (("sum", 4), ("mean", 7), ("variance", 4))])
 
 
 @grid_query("""WITH p AS (SELECT row + 0.25::DOUBLE AS y, col + 0.5::DOUBLE AS x FROM grid), n AS (SELECT y, x, floor(y) + i AS row, floor(x) + j AS col FROM p, range(0, 2) a(i), range(0, 2) b(j)),
