@@ -135,7 +135,7 @@ def co_register_groups(g: DataFrame) -> DataFrame:
     return G.co_registered_groups(images, "z", ["z", "w"], "orbit", "day", tile=10, most=2, coarse=1)
 
 
-@grid_query("""WITH t AS (SELECT DISTINCT row // 4 AS tr, col // 4 AS tc FROM grid), o AS (SELECT tr, tc, (tr % 3)::DOUBLE / 2 AS dr, tc * 0.75::DOUBLE - 1 AS dc FROM t),
+@grid_query("""WITH t AS (SELECT DISTINCT row // 4 AS tr, col // 4 AS tc FROM grid), o AS (SELECT tr, tc, (tr % 3)::DOUBLE / 7 AS dr, tc::DOUBLE / 3 - 1 AS dc FROM t),
 s AS (SELECT a.tr, a.tc, avg(b.dr) AS dr, avg(b.dc) AS dc FROM o a JOIN o b ON abs(a.tr - b.tr) <= 1 AND abs(a.tc - b.tc) <= 1 GROUP BY ALL),
 w AS (SELECT row, col, s.dr, s.dc, greatest(1 - abs((row + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tr), 0) * greatest(1 - abs((col + 0.5::DOUBLE) / 4 - 0.5::DOUBLE - tc), 0) AS w FROM grid JOIN s ON abs(row // 4 - tr) <= 1 AND abs(col // 4 - tc) <= 1),
 f AS (SELECT row, col, row + round(sum(w * dr) / sum(w), 9) AS y, col + round(sum(w * dc) / sum(w), 9) AS x FROM w GROUP BY row, col),
@@ -145,7 +145,7 @@ def displacement_field(g: DataFrame) -> DataFrame:
     """The surface moved by a field that is interpolated and smoothed from a ramp of tile shifts."""
     image = g.select(F.lit(1).alias("image"), "row", "col", "z")
     tiles = image.select("image", F.floor(F.col("row") / 4).alias("tile_row"), F.floor(F.col("col") / 4).alias("tile_col")).distinct()
-    offsets = tiles.withColumns({"dr": (F.col("tile_row") % 3).cast("double") / 2, "dc": F.col("tile_col") * B.dbl(0.75) - 1})
+    offsets = tiles.withColumns({"dr": (F.col("tile_row") % 3).cast("double") / 7, "dc": F.col("tile_col").cast("double") / 3 - 1})
     return rounded(G.displaced_by_field(image, offsets, ["z"], tile=4), ["image", "row", "col"], ["z"], 7)
 
 
