@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -143,8 +145,6 @@ def training_order(docs: DataFrame, length: int = 1024, shard_rows: int = 4096,
 
 def _store(path: str):
     """The file system of a path or address that driver and executors can all open, and the path in it."""
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
@@ -190,6 +190,10 @@ class ShardWriter(DataSourceWriter):
                 store.move(path, f"{folder}/{shard_name(shard)}")
         store.delete_dir(f"{folder}/_attempts")
         facts = {k: int(self.options[k]) for k in ("length", "width", "shard_rows")} | {"slots": sum(m.rows for m in messages if m)}
+        mine = {shard_name(i) for i in range(-(-facts["slots"] // facts["shard_rows"]))}
+        for found in store.get_file_info(fs.FileSelector(folder)):  # of a larger run before
+            if _SHARD.fullmatch(found.base_name) and found.base_name not in mine:
+                store.delete_file(found.path)
         with store.open_output_stream(f"{folder}/manifest.json") as f:
             f.write(json.dumps(facts).encode())
 
@@ -204,6 +208,9 @@ class Written(WriterCommitMessage):
     rows: int
 
 
+_SHARD = re.compile(r"shard-[0-9]{8,}\.bin")
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
@@ -211,8 +218,12 @@ def shard_name(shard: int) -> str:
 def write_shards(sequences: DataFrame, path: str, length: int = 1024, shard_rows: int = 4096, width: int = 2) -> None:
     """Raw files of ``shard_rows`` payloads of ``length * width`` bytes end to end, and a manifest, in a shared folder.
 
-    A rerun into an empty folder writes the same bytes. Files of an earlier run under the same names are replaced.
+    A rerun writes the same bytes. Shards of an earlier run are replaced, and those that this one doesn't have deleted. A path
+    without a scheme is one of the cluster's own file system. No sequences give a manifest of no slots.
     """
+    spark = sequences.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     sequences.sparkSession.dataSource.register(ShardSink)
     rows = sequences.select("shard", "slot", "payload")
     rows.write.format("fixed_stride_shards").mode("append").option("path", path).option("length", length).option("width", width).option("shard_rows", shard_rows).save()

@@ -148,6 +148,10 @@ def test_training_order_round_trip(spark, docs, tmp_path):
     before = {f.name: f.read_bytes() for f in files}
     write_shards(df, str(folder), 64, 100)
     assert {f.name: f.read_bytes() for f in folder.glob("*.bin")} == before
+    (folder / "notes.txt").write_text("stays")
+    write_shards(df.where("slot < 6"), str(folder), 64, 100)  # fewer shards than the run before
+    assert [f.name for f in folder.glob("*.bin")] == [shard_name(0)] and (folder / "notes.txt").exists()
+    assert [s for s, _ in read_slots(str(folder))] == list(range(6))
 
 
 def test_the_permutation_is_a_feistel_network():
