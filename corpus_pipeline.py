@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark copies, mixture of sources, shards.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame over every row that the stage before kept. All but the last return the
-columns of ``docs``, extra ones included. Null and empty texts pass the filters; an empty table stays empty.
+columns of ``docs``, extra ones included, whatever their names. Null and empty texts pass the filters; an empty table stays
+empty. Repeated rows are judged alike: toxicity and benchmark copies keep or drop all of them, near-duplicates keep one (all
+with a null id), the mixture draws each by its id. A score of TOXIC goes, a likeness of PERCENT is a copy. Whole texts of any
+length are read, and memory is in proportion to the longest.
 """
 
 from __future__ import annotations

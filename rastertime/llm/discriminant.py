@@ -120,7 +120,10 @@ def calibrate(model: Discriminant, x: np.ndarray, y: np.ndarray) -> Discriminant
 
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces the text of every row by its statistics, an array ``stats``; a null text counts as an empty one."""
+    """Replaces the text of every row by its statistics, an array ``stats``; a null text counts as an empty one.
+
+    Equal texts have equal statistics; an empty table stays empty; a column named stats is replaced, all others stay.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,7 +156,10 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Discri
 
 
 def score(stats: DataFrame, model: Discriminant, cut: float = 0.7) -> DataFrame:
-    """Adds score (0 to 1, higher: label 1 likelier) and predicted; empty texts get a score as any other."""
+    """Adds score (0 to 1, higher: label 1 likelier) and predicted, 1 from ``cut`` on; empty texts get a score as any other.
+
+    Equal statistics score alike; an empty table stays empty; columns of the two names are replaced, all others stay.
+    """
     stats = stats.drop("score", "predicted")
     held = stats.sparkSession.sparkContext.broadcast(model)  # a few kB
 

@@ -259,7 +259,8 @@ def copies(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the rows whose text holds a copy of an item; all columns stay as they are, whatever their names.
 
-    Null and empty texts stay, rows with a null doc_id are treated as others; either table may be empty.
+    Null and empty texts stay, rows with a null doc_id are treated as others; either table may be empty. Repeated rows fare
+    alike; a score of just ``least`` goes. Whole texts are read, in passages, so one of any length costs what its words do.
     """
     out_id, out_hash = (unused(c, docs.columns) for c in ("out_id", "out_hash"))
     named = materialise(scored(docs, benchmark, least).select(F.col("doc_id").alias(out_id), F.col("text_hash").alias(out_hash)).distinct())

@@ -294,7 +294,11 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame, text: str = "text", steps: int = 300) -> SkipChain:
-    """Pseudo-likelihood over all documents. Only counts by (code, label, labels beside) come to the driver."""
+    """Pseudo-likelihood over all documents. Only counts by (code, label, labels beside) come to the driver.
+
+    Null and empty texts count nothing, repeated rows count each. Without any span, and for an empty table, all weights stay
+    zero and the skip weight has its least value. Other columns are not read; memory is in proportion to the longest text.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()

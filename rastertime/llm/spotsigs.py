@@ -67,7 +67,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds fingerprint, the chain hashes in hex, to every row; null texts count as empty ones."""
+    """Adds fingerprint, the chain hashes in hex, to every row; a column of that name is replaced, all others stay.
+
+    Null texts count as empty ones; equal texts, repeated rows too, have equal fingerprints; an empty table stays empty;
+    memory is in proportion to the longest text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,7 +86,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Equal fingerprints are one class. Classes are partitioned by set length, in steps by which a pair can at most
     differ, and posted under the rarest of their chains in their own partition and the next; lists meet in bounded
-    blocks that prune by length and confirm on whole sets. Null ids have no group; empty tables stay empty.
+    blocks that prune by length and confirm on whole sets. Null ids have no group; null texts are empty ones, which are
+    linked with one another; repeated rows get equal results; a tie in likeness with ``percent`` is a link. Empty tables
+    stay empty; other columns, whatever their names, are not read; memory is in proportion to the longest text.
     """
     per_doc = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "fingerprint", F.md5("fingerprint").alias("class")))
     reps = materialise(per_doc.where("doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("fingerprint").alias("fingerprint")))
