@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastertime.llm.base import attach, materialise, release, unused
-from rastertime.llm.text import MIX, WordHashes, mixed
+from rastertime.llm.text import MIX, mixed
 
 #: A pair of neighbouring item words is found in a document with at most so many words less one between them.
 REACH = 3
@@ -32,13 +33,62 @@ LEAST = 0.5
 #: Rare seeds that a passage and an item must share, bits of the table of seeds (as a power of two), words of a passage at
 #: most (or four widths of the longest copy), ids and bytes of item words that are broadcast at most.
 JOINED, BITS, PASSAGE, IDS, BYTES = 8, 26, 1024, 1_000_000, 64 << 20
-_WORD = re.compile(r"[^\W_]+")
+#: Code points that are hashed at once, the odd base of word hashes, and items that a task remembers.
+PIECE, BASE, ITEMS = 1 << 18, 0xD6E8FEB86659FD93, 10_000
+_WORD, _GAP = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 
 
 def item_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+@cache
+def letters() -> np.ndarray:
+    """A number for each code point that words are made of, 0 for all others."""
+    out = np.zeros(0x110000, np.uint64)
+    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = mixed(np.arange(m.start() + 1, m.end() + 1, dtype=np.uint64) * MIX)
+    return out
+
+
+@lru_cache(maxsize=2)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (see ``item_words``) of texts, one after another, and the place of each text's first, and the end.
+
+    A word's hash is the sum of its letters' numbers times powers of BASE by their place, modulo 2^64. Sums run over many
+    words at once, in pieces cut between words.
+    """
+    lower = [t.lower() for t in texts]
+    text, at, words, starts = "\n".join(["", *lower, ""]), 0, [], []
+    while at < len(text) - 1:
+        gap = _GAP.search(text, min(at + PIECE, len(text) - 1)).start()
+        number = letters()[np.frombuffer(text[at : gap + 1].encode("utf-32-le", "surrogatepass"), "<u4")]
+        edges = np.flatnonzero(np.diff(number != 0)).reshape(-1, 2)  # last gap before and last letter of each word
+        n = 1 << max(PIECE, len(number)).bit_length()
+        sums = np.cumsum(number * powers(BASE, n)[: len(number)])
+        words.append(mixed((sums[edges[:, 1]] - sums[edges[:, 0]]) * powers(pow(BASE, -1, 1 << 64), n)[edges[:, 0]]))
+        starts.append(edges[:, 0] + at)
+        at = gap
+    bounds = np.cumsum([0, *(len(t) + 1 for t in lower)])
+    return np.concatenate(words or [np.zeros(0, np.uint64)]), np.searchsorted(np.concatenate(starts or [bounds[:0]]), bounds)
+
+
+def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about PIECE code points together, one at least: first, and end."""
+    first = size = 0
+    for k, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= PIECE or k == len(texts):
+            yield first, k
+            first, size = k, 0
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of an item in a stretch of words: its score, and start and end (exclusive) in the stretch."""
     n = len(doc)
@@ -90,14 +140,16 @@ def items_of(benchmark: DataFrame, least: float) -> DataFrame:
     """(item, item_id, words, seeds, need, matches, width): a row per item with words; item numbers the rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHashes()
         for pdf in batches:
             out = []
-            for item, item_id, text in zip(pdf["item"], pdf["item_id"], pdf["text"]):
-                w = seen.of(item_words(text if isinstance(text, str) else ""))
-                if len(w):
-                    pairs, matches, width = kept(len(w), least)
-                    out.append((item, item_id, w.tobytes(), seeds_of(w, pairs).view(np.int64), pairs if pairs > 0 else matches, matches, width, pairs < 1))
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            for first, end in portions(texts):
+                words, at = hashed(texts[first:end])
+                for item, item_id, a, b in zip(pdf["item"][first:end], pdf["item_id"][first:end], at.tolist(), at[1:].tolist()):
+                    if b > a:
+                        w = words[a:b]
+                        pairs, matches, width = kept(len(w), least)
+                        out.append((item, item_id, w.tobytes(), seeds_of(w, pairs).view(np.int64), pairs if pairs > 0 else matches, matches, width, pairs < 1))
             yield pd.DataFrame(out, columns=["item", "item_id", "words", "seeds", "need", "matches", "width", "by_word"]).astype({"item": "int64", "item_id": "Int64", "need": "int64", "matches": "int64", "width": "int64", "by_word": "bool"})
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
@@ -120,11 +172,15 @@ def unpacked(table: np.ndarray) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").view(bool)
 
 
-def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(start, end, seeds, their places) of the passages of a text that may hold a copy of some item."""
+def runs(words: np.ndarray, bounds: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(text, start, end, seeds, their places) of the passages that may hold a copy of some item.
+
+    ``bounds`` are the places of the texts' first words, and the end. All places count from the first text's first word.
+    """
     at, found = [], []
-    for g in [*pair_hashes(words, REACH), *([mixed(words)] if by_word else [])]:
+    for d, g in [*enumerate(pair_hashes(words, REACH), 1), *([(0, mixed(words))] if by_word else [])]:
         p = np.flatnonzero(table[(g & np.uint64(len(table) - 1)).view(np.int64)])
+        p = p[p + d < bounds[np.searchsorted(bounds, p, "right")]]  # both words in one text
         at.append(p)
         found.append(g[p])
     if not at or not sum(map(len, at)):
@@ -132,25 +188,42 @@ def runs(words: np.ndarray, table: np.ndarray, by_word: bool, low: int, width: i
     at, found = np.concatenate(at), np.concatenate(found)
     order = np.argsort(at, kind="stable")
     at, found = at[order], found[order]
+    text = np.searchsorted(bounds, at, "right") - 1
     long = max(PASSAGE, 4 * width)
-    cuts = np.flatnonzero(np.diff(at) > width) + 1
-    for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(at)]]).tolist()):
-        if b - a < low:
-            continue
-        start, end = max(0, int(at[a]) - width), min(len(words), int(at[b - 1]) + width + REACH)
+    cuts = np.concatenate([[0], np.flatnonzero((np.diff(at) > width) | (np.diff(text) > 0)) + 1, [len(at)]])
+    enough = np.flatnonzero(np.diff(cuts) >= low)
+    for a, b in zip(cuts[enough].tolist(), cuts[enough + 1].tolist()):
+        k = int(text[a])
+        start, end = max(int(bounds[k]), int(at[a]) - width), min(int(bounds[k + 1]), int(at[b - 1]) + width + REACH)
         for begin in range(start, max(start + 1, end - width), long - width):
             stop = min(end, begin + long)
-            x, y = np.searchsorted(at, [begin, stop])
+            x, y = np.searchsorted(at, [begin, stop]).tolist()
             if y - x >= low:
-                yield begin, stop, found[x:y], at[x:y]
+                yield k, begin, stop, found[x:y], at[x:y]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_counts=True)
 
 
-def regions(at: np.ndarray, seeds: np.ndarray, own: np.ndarray, need: int, width: int) -> list[tuple[int, int]]:
-    """Where in a text a copy of an item may lie: ``width`` words with ``need`` of its seeds, places ``at`` in order."""
-    own, times = np.unique(own, return_counts=True)
-    k = np.minimum(np.searchsorted(own, seeds), len(own) - 1)
-    mine = own[k] == seeds
-    at, k, times = at[mine].tolist(), k[mine].tolist(), times.tolist()
+def places_in(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted ``own``, and at which place."""
+    k = np.minimum(np.searchsorted(own, values), len(own) - 1)
+    mine = own[k] == values
+    return mine, k[mine]
+
+
+def regions(at: np.ndarray, seeds: np.ndarray, own: np.ndarray, times: np.ndarray, need: int, width: int) -> list[tuple[int, int]]:
+    """Where in a text a copy of an item may lie: ``width`` words with ``need`` of its seeds, places ``at`` in order.
+
+    ``own`` are the item's distinct seeds in order, ``times`` how many of its places each stands for.
+    """
+    mine, k = places_in(own, seeds)
+    has = np.zeros(len(own), bool)
+    has[k] = True
+    if times[has].sum() < need:
+        return []
+    at, k, times = at[mine].tolist(), k.tolist(), times.tolist()
     inside, points, left = [0] * len(own), 0, 0
     out: list[tuple[int, int]] = []
     for p, i in zip(at, k):
@@ -175,17 +248,18 @@ def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((seed_table(items)[1], bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, row = WordHashes(), (TaskContext.get().partitionId() << 40) - 1
+        row = TaskContext.get().partitionId() << 40
         table, by_word, low, width = held.value
-        table, passage = unpacked(table), row
+        table, passage = unpacked(table), row - 1
         for pdf in batches:
             out = []
-            for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"]):
-                row += 1
-                w = seen.of(item_words(text if isinstance(text, str) else ""))
-                for a, b, s, at in runs(w, table, by_word, low, width):
+            texts, ids, hashes = [t if isinstance(t, str) else "" for t in pdf["text"]], pdf["doc_id"].tolist(), pdf["text_hash"].tolist()
+            for first, end in portions(texts):
+                w, bounds = hashed(texts[first:end])
+                for k, a, b, s, at in runs(w, bounds, table, by_word, low, width):
                     passage += 1
-                    out.append((passage, row, doc_id, text_hash, a, w[a:b].tobytes(), s.view(np.int64), at.astype(np.int32)))
+                    out.append((passage, row + first + k, ids[first + k], hashes[first + k], a - bounds[k], w[a:b].tobytes(), s.view(np.int64), (at - bounds[k]).astype(np.int32)))
+            row += len(pdf)
             yield pd.DataFrame(out, columns=["passage", "row", "doc_id", "text_hash", "start", "words", "seeds", "places"]).astype({"passage": "int64", "row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -216,15 +290,20 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     found = attach(passages, pairs, "passage", bound=IDS).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                w, item = np.frombuffer(r.words, np.uint64), np.frombuffer(r.item_words, np.uint64)
-                own = seeds_of(item, kept(len(item), least)[0]).view(np.int64)
-                best = (0.0, 0, 0)
-                for a, b in regions(r.places.astype(np.int64) - r.start, r.seeds, own, r.need, r.width):
+                if r.item not in known:
+                    if len(known) >= ITEMS:
+                        known.clear()
+                    item = np.frombuffer(r.item_words, np.uint64)
+                    known[r.item] = item, *counted(seeds_of(item, kept(len(item), least)[0]).view(np.int64)), *counted(item)
+                item, own, times, own_words, words_times = known[r.item]
+                w, best = np.frombuffer(r.words, np.uint64), (0.0, 0, 0)
+                for a, b in regions(r.places - np.int64(r.start), r.seeds, own, times, r.need, r.width):
                     a = max(a, 0)
-                    if np.isin(item, w[a:b]).sum() < r.matches:
+                    if words_times[np.unique(places_in(own_words, w[a:b])[1])].sum() < r.matches:
                         continue
                     points, x, y = align(w[a:b], item)
                     if points > best[0]:

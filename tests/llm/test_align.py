@@ -1,8 +1,11 @@
 """Copies of benchmark items against full alignment of every pair, under edits of every rate."""
 
+import time
+
 import numpy as np
 import pytest
 
+from rastertime.llm import seed_align
 from rastertime.llm.seed_align import LEAST, copies, decontaminate, item_words
 from tests.conftest import SF
 from tests.llm.util import frame
@@ -82,3 +85,49 @@ def test_recall_of_edited_copies(spark):
     share = {rate: sum(d // 1000 == rate for d in got) / len(items) for rate in (0, 10, 20, 25, 30)}
     print(share)
     assert share[0] == 1 and share[10] == 1 and min(share.values()) >= 0.9
+
+
+def test_hashes_are_of_the_same_words(monkeypatch):
+    rng = np.random.default_rng(9)
+    signs = list("ab1_ -.\n\x1c\x85 éßİΣσς²½Ⅷ一三𝔘🙂́")
+    texts = ["", "ΑΣ", "Σ", "_", "İİ x", "w" * 300, *("".join(rng.choice(signs, rng.integers(0, 90))) for _ in range(400))]
+    for piece in (1, 7, 64, seed_align.PIECE):  # texts are cut between words into pieces of so many code points
+        monkeypatch.setattr(seed_align, "PIECE", piece)
+        of = {}
+        for first, end in seed_align.portions(texts):
+            words, bounds = seed_align.hashed(texts[first:end])
+            for t, a, b in zip(texts[first:end], bounds, bounds[1:]):
+                assert len(item_words(t)) == b - a
+                assert all(of.setdefault(w, h) == h for w, h in zip(item_words(t), words[a:b].tolist()))
+            assert len(words) == bounds[-1]
+        assert len(set(of.values())) == len(of) > 500
+    assert [len(x) for x in seed_align.hashed([])] == [0, 1]
+
+
+def test_passages_are_those_of_each_text_alone():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 40, n)) for n in (0, 1, 2, 3, 0, 50, 400, 3000, 1, 7)]
+    item = seed_align.seeds_of(seed_align.hashed(["w1 w2 w3 w4 w5 w6 w7"])[0], 1)
+    table = np.zeros(1 << 16, bool)
+    table[(item & np.uint64(len(table) - 1)).astype(np.int64)] = True
+    for by_word in (False, True):
+        alone = [(k, *r) for k, t in enumerate(texts) for r in (x[1:] for x in seed_align.runs(*seed_align.hashed([t]), table, by_word, 2, 12))]
+        words, bounds = seed_align.hashed(texts)
+        together = [(k, a - bounds[k], b - bounds[k], s, at - bounds[k]) for k, a, b, s, at in seed_align.runs(words, bounds, table, by_word, 2, 12)]
+        assert len(alone) == len(together) > 3
+        for x, y in zip(alone, together):
+            assert x[:3] == y[:3] and (x[3] == y[3]).all() and (x[4] == y[4]).all()
+
+
+def test_hashing_words_takes_less_than_finding_them():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"wörd{i}" for i in rng.integers(0, 10**6, 400)) for _ in range(1500)]
+    seed_align.hashed(texts[:1])  # tables
+
+    def took(run):
+        began = time.process_time()
+        run()
+        return time.process_time() - began
+
+    found = min(took(lambda: [item_words(t) for t in texts]) for _ in range(3))
+    assert min(took(lambda: [seed_align.hashed(texts[a:b]) for a, b in seed_align.portions(texts)]) for _ in range(3)) < found
