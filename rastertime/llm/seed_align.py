@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ LEAST = 0.5
 JOINED, BITS, PASSAGE, IDS, BYTES = 8, 26, 1024, 1_000_000, 64 << 20
 #: Code points that are hashed at once, the odd base of word hashes, and items that a task remembers.
 PIECE, BASE, ITEMS = 1 << 18, 0xD6E8FEB86659FD93, 10_000
+#: Bytes of an Arrow batch that a task turns into objects at once, and of passages that it puts out at once, about.
+SLICE = 2 << 20
+ITEM = pa.schema({"item": pa.int64(), "item_id": pa.int64(), "words": pa.binary(), "seeds": pa.list_(pa.int64()), "need": pa.int64(), "matches": pa.int64(), "width": pa.int64(), "by_word": pa.bool_()})
+FOUND = pa.schema({"passage": pa.int64(), "row": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "start": pa.int64(), "words": pa.binary(), "seeds": pa.list_(pa.int64()), "places": pa.list_(pa.int32())})
+SCORED = pa.schema({"row": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "item": pa.int64(), "item_id": pa.int64(), "similarity": pa.float64(), "first_word": pa.int64(), "last_word": pa.int64()})
 _WORD, _GAP = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 
 
@@ -89,6 +94,31 @@ def portions(texts: list[str]) -> Iterator[tuple[int, int]]:
             first, size = k, 0
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of about SLICE bytes together, one at least, without copying them."""
+    for batch in batches:
+        n = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for first in range(0, batch.num_rows, n):
+            yield batch.slice(first, n)
+
+
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of numbers of a column, as parts of its memory."""
+    values, at = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in zip(at, at[1:])]
+
+
+def record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows, one at least, whose lists are arrays."""
+
+    def column(values: tuple, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array(values, kind)
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)], dtype=np.int32), pa.array(np.concatenate(values), kind.value_type))
+
+    return pa.RecordBatch.from_arrays([column(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[float, int, int]:
     """Best local alignment of an item in a stretch of words: its score, and start and end (exclusive) in the stretch."""
     n = len(doc)
@@ -139,21 +169,23 @@ def seeds_of(words: np.ndarray, pairs: int) -> np.ndarray:
 def items_of(benchmark: DataFrame, least: float) -> DataFrame:
     """(item, item_id, words, seeds, need, matches, width): a row per item with words; item numbers the rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             out = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            items, ids, texts = (batch.column(c).to_pylist() for c in ("item", "item_id", "text"))
+            texts = [t or "" for t in texts]
             for first, end in portions(texts):
                 words, at = hashed(texts[first:end])
-                for item, item_id, a, b in zip(pdf["item"][first:end], pdf["item_id"][first:end], at.tolist(), at[1:].tolist()):
+                for item, item_id, a, b in zip(items[first:end], ids[first:end], at.tolist(), at[1:].tolist()):
                     if b > a:
                         w = words[a:b]
                         pairs, matches, width = kept(len(w), least)
                         out.append((item, item_id, w.tobytes(), seeds_of(w, pairs).view(np.int64), pairs if pairs > 0 else matches, matches, width, pairs < 1))
-            yield pd.DataFrame(out, columns=["item", "item_id", "words", "seeds", "need", "matches", "width", "by_word"]).astype({"item": "int64", "item_id": "Int64", "need": "int64", "matches": "int64", "width": "int64", "by_word": "bool"})
+            if out:
+                yield record(out, ITEM)
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
-    return rows.mapInPandas(run, "item long, item_id long, words binary, seeds array<long>, need long, matches long, width long, by_word boolean")
+    return rows.mapInArrow(run, "item long, item_id long, words binary, seeds array<long>, need long, matches long, width long, by_word boolean")
 
 
 def seed_table(items: DataFrame) -> tuple[int, np.ndarray]:
@@ -242,28 +274,37 @@ def regions(at: np.ndarray, seeds: np.ndarray, own: np.ndarray, times: np.ndarra
     return out
 
 
+def passages_in(batches: Iterator[pa.RecordBatch], row: int, table: np.ndarray, by_word: bool, low: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The passages of rows (doc_id, text_hash, text), of which ``row`` is the number of the first, in batches of FOUND."""
+    passage = row - 1
+    for batch in slices(batches):
+        ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))
+        texts, out, size = [t or "" for t in texts], [], 0
+        for first, end in portions(texts):
+            w, bounds = hashed(texts[first:end])
+            for k, a, b, s, at in runs(w, bounds, table, by_word, low, width):
+                passage += 1
+                out.append((passage, row + first + k, ids[first + k], hashes[first + k], a - bounds[k], w[a:b].tobytes(), s.view(np.int64), (at - bounds[k]).astype(np.int32)))
+                size += w[a:b].nbytes + 12 * len(s)
+                if size >= SLICE:
+                    yield record(out, FOUND)
+                    out, size = [], 0
+        if out:
+            yield record(out, FOUND)
+        row += batch.num_rows
+
+
 def passages_of(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(passage, row, doc_id, text_hash, start, words, seeds, places): the passages of all documents, whose rows are numbered."""
     facts = items.agg(F.min("need").alias("low"), F.max("width").alias("width"), F.max("by_word").alias("by_word")).first()
     held = docs.sparkSession.sparkContext.broadcast((seed_table(items)[1], bool(facts.by_word), int(facts.low or 1), int(facts.width or 1)))  # 8 MB
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = TaskContext.get().partitionId() << 40
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, by_word, low, width = held.value
-        table, passage = unpacked(table), row - 1
-        for pdf in batches:
-            out = []
-            texts, ids, hashes = [t if isinstance(t, str) else "" for t in pdf["text"]], pdf["doc_id"].tolist(), pdf["text_hash"].tolist()
-            for first, end in portions(texts):
-                w, bounds = hashed(texts[first:end])
-                for k, a, b, s, at in runs(w, bounds, table, by_word, low, width):
-                    passage += 1
-                    out.append((passage, row + first + k, ids[first + k], hashes[first + k], a - bounds[k], w[a:b].tobytes(), s.view(np.int64), (at - bounds[k]).astype(np.int32)))
-            row += len(pdf)
-            yield pd.DataFrame(out, columns=["passage", "row", "doc_id", "text_hash", "start", "words", "seeds", "places"]).astype({"passage": "int64", "row": "int64", "doc_id": "Int64", "text_hash": "int64", "start": "int64"})
+        return passages_in(batches, TaskContext.get().partitionId() << 40, unpacked(table), by_word, low, width)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(run, "passage long, row long, doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<int>")
+    return rows.mapInArrow(run, "passage long, row long, doc_id long, text_hash long, start long, words binary, seeds array<long>, places array<int>")
 
 
 def rare_seeds(items: DataFrame, passages: DataFrame) -> DataFrame:
@@ -277,6 +318,33 @@ def rare_seeds(items: DataFrame, passages: DataFrame) -> DataFrame:
     return chosen.groupBy("seed", "item").agg(F.count(F.lit(1)).alias("times"), F.first("joined").alias("joined"))
 
 
+def scores_in(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a passage and an item that score ``least`` of an exact copy, in batches of SCORED."""
+    known: dict = {}
+    for batch in slices(batches):
+        out = []
+        plain = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text_hash", "start", "words", "item", "item_id", "item_words", "need", "matches", "width"))
+        for row, doc_id, text_hash, start, words, n, item_id, item_words, need, matches, width, seeds, places in zip(*plain, *(lists(batch.column(c)) for c in ("seeds", "places"))):
+            if n not in known:
+                if len(known) >= ITEMS:
+                    known.clear()
+                item = np.frombuffer(item_words, np.uint64)
+                known[n] = item, *counted(seeds_of(item, kept(len(item), least)[0]).view(np.int64)), *counted(item)
+            item, own, times, own_words, words_times = known[n]
+            w, best = np.frombuffer(words, np.uint64), (0.0, 0, 0)
+            for a, b in regions(places - np.int64(start), seeds, own, times, need, width):
+                a = max(a, 0)
+                if words_times[np.unique(places_in(own_words, w[a:b])[1])].sum() < matches:
+                    continue
+                points, x, y = align(w[a:b], item)
+                if points > best[0]:
+                    best = (points, start + a + x, start + a + y)
+            if best[0] >= least * MATCH * len(item):
+                out.append((row, doc_id, text_hash, n, item_id, best[0] / (MATCH * len(item)), best[1], best[2]))
+        if out:
+            yield record(out, SCORED)
+
+
 def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, first_word, last_word) per row of ``docs`` and item of which it has a copy."""
     items = materialise(items_of(benchmark, least))
@@ -288,34 +356,8 @@ def scored(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     least_of = items.select("item", "item_id", F.col("words").alias("item_words"), "need", "matches", "width")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).first()
     found = attach(passages, pairs, "passage", bound=IDS).join(F.broadcast(least_of) if size.n <= IDS and (size.bytes or 0) <= BYTES else least_of, "item")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict = {}
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.item not in known:
-                    if len(known) >= ITEMS:
-                        known.clear()
-                    item = np.frombuffer(r.item_words, np.uint64)
-                    known[r.item] = item, *counted(seeds_of(item, kept(len(item), least)[0]).view(np.int64)), *counted(item)
-                item, own, times, own_words, words_times = known[r.item]
-                w, best = np.frombuffer(r.words, np.uint64), (0.0, 0, 0)
-                for a, b in regions(r.places - np.int64(r.start), r.seeds, own, times, r.need, r.width):
-                    a = max(a, 0)
-                    if words_times[np.unique(places_in(own_words, w[a:b])[1])].sum() < r.matches:
-                        continue
-                    points, x, y = align(w[a:b], item)
-                    if points > best[0]:
-                        best = (points, r.start + a + x, r.start + a + y)
-                if best[0] >= least * MATCH * len(item):
-                    out.append((r.row, r.doc_id, r.text_hash, r.item, r.item_id, best[0] / (MATCH * len(item)), best[1], best[2]))
-            yield pd.DataFrame(out, columns=["row", "doc_id", "text_hash", "item", "item_id", "similarity", "first_word", "last_word"]).astype(
-                {"row": "int64", "doc_id": "Int64", "text_hash": "int64", "item": "int64", "item_id": "Int64", "similarity": "float64", "first_word": "int64", "last_word": "int64"}
-            )
-
     rows = found.select("row", "doc_id", "text_hash", "start", "words", "seeds", "places", "item", "item_id", "item_words", "need", "matches", "width")
-    rows = rows.mapInPandas(score, "row long, doc_id long, text_hash long, item long, item_id long, similarity double, first_word long, last_word long")
+    rows = rows.mapInArrow(lambda batches: scores_in(batches, least), "row long, doc_id long, text_hash long, item long, item_id long, similarity double, first_word long, last_word long")
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("before"), "last_word", "doc_id", "text_hash", "item_id")).alias("b")
     out = rows.groupBy("row", "item").agg(best).select("b.doc_id", "b.text_hash", "b.item_id", "b.similarity", (-F.col("b.before")).alias("first_word"), "b.last_word")
     out = materialise(out)

@@ -1,8 +1,10 @@
 """Copies of benchmark items against full alignment of every pair, under edits of every rate."""
 
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rastertime.llm import seed_align
@@ -131,3 +133,68 @@ def test_hashing_words_takes_less_than_finding_them():
 
     found = min(took(lambda: [item_words(t) for t in texts]) for _ in range(3))
     assert min(took(lambda: [seed_align.hashed(texts[a:b]) for a, b in seed_align.portions(texts)]) for _ in range(3)) < found
+
+
+def peak_of(run):
+    """What a generator of batches gives, and the MB of Python's objects and of a batch that it needed at most."""
+    tracemalloc.start()
+    out, largest = [], 0
+    for batch in run():
+        largest = max(largest, batch.nbytes)
+        out.append(batch)
+    held = sum(b.nbytes for b in out)  # Arrow's memory, which tracemalloc doesn't see
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held > 0
+    return pa.Table.from_batches(out), peak / 1e6, largest / 1e6
+
+
+def test_a_task_holds_a_slice_of_a_batch_as_objects(monkeypatch):
+    """Batches have up to 10,000 rows: as objects all at once, with all their passages, they took hundreds of MB of a worker."""
+    rng = np.random.default_rng(6)
+    item = " ".join(f"item{k}" for k in range(40))
+    pads = [" ".join(f"pad{i}" for i in rng.integers(0, 10**6, 350)) for _ in range(50)]
+    texts = [None if k % 97 == 0 else f"{pads[k % 50]} {item} {k} {pads[k * 7 % 50]}" for k in range(1500)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([None if k % 5 == 0 else 2**53 + k for k in range(len(texts))], pa.int64()), "text_hash": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    words = seed_align.hashed([item])[0]
+    need, matches, width = seed_align.kept(len(words), LEAST)
+    table = np.zeros(1 << 16, bool)
+    table[(seed_align.seeds_of(words, need) & np.uint64(len(table) - 1)).astype(np.int64)] = True
+    seed_align.hashed(pads)  # tables
+    monkeypatch.setattr(seed_align, "SLICE", 1 << 18)
+
+    def passages():
+        return peak_of(lambda: seed_align.passages_in(iter([docs.slice(0, 0), docs]), 5 << 40, table, False, need, width))
+
+    found, peak, largest = passages()
+    assert found.schema == seed_align.FOUND and set(found["row"].to_pylist()) == {(5 << 40) + k for k, t in enumerate(texts) if t}
+    assert all(i is None if r % 5 == 0 else i == 2**53 + r for r, i in zip((r - (5 << 40) for r in found["row"].to_pylist()), found["doc_id"].to_pylist()))
+    some = found.slice(0, 600)
+    n = some.num_rows
+    pairs = some.append_column("item", pa.array([3] * n, pa.int64())).append_column("item_id", pa.array([7] * n, pa.int64())).append_column("item_words", pa.array([words.tobytes()] * n, pa.binary()))
+    for name, value in (("need", need), ("matches", matches), ("width", width)):
+        pairs = pairs.append_column(name, pa.array([value] * n, pa.int64()))
+    pairs = pairs.combine_chunks().to_batches()[0]
+
+    def scores():
+        return peak_of(lambda: seed_align.scores_in(iter([pairs]), LEAST))
+
+    scored, score_peak, _ = scores()
+    assert scored["similarity"].to_pylist() == [1.0] * n and scored["row"] == some["row"] and scored["doc_id"] == some["doc_id"]
+    monkeypatch.setattr(seed_align, "SLICE", 1 << 40)  # a whole batch at once, as before
+    whole, whole_peak, whole_largest = passages()
+    whole_scored, whole_score_peak, _ = scores()
+    assert whole == found and whole_scored == scored
+    print(peak, largest, score_peak, "at once", whole_peak, whole_largest, whole_score_peak, "of", docs.nbytes / 1e6, pairs.nbytes / 1e6)
+    assert peak < 0.6 * whole_peak and 10 * largest < whole_largest
+    assert score_peak < 0.4 * whole_score_peak
+
+
+def test_large_ids_stay_beside_null_ones(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    ids = [None, *(2**60 + k for k in range(1, 8, 2))]
+    docs = frame(spark, [(i, f"before {item} after") for i in ids]).coalesce(1)  # a batch of both
+    bench = spark.createDataFrame([(i, item) for i in ids], "item_id long, text string").coalesce(1)
+    got = copies(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in ids for i in ids} and len(got) == 25
+    assert decontaminate(docs, bench).count() == 0
