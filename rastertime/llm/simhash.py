@@ -75,10 +75,13 @@ def postings(nodes: DataFrame) -> DataFrame:
 
 
 def tables(nodes: DataFrame) -> DataFrame:
-    """(list, n, id, exact, hub): the lists that may hold a link, with their smallest own node."""
+    """(list, n, id, exact, hub): the lists that may hold a link, with their smallest own node.
+
+    Spark sizes postings by their nodes, of which each has about 34, so the hint keeps it from broadcasting them.
+    """
     posts = postings(nodes)
     facts = posts.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("exact"), F.col("id"))).alias("hub")).where("n > 1 AND hub IS NOT NULL")
-    return posts.join(facts, "list").select("list", "n", "id", "exact", "hub")
+    return posts.hint("merge").join(facts, "list").select("list", "n", "id", "exact", "hub")
 
 
 def block_links(lists: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from rastertime.llm import simhash
+from rastertime.llm.base import materialise, release
 from tests.llm.util import empty, frame, odd
 
 
@@ -96,6 +97,13 @@ def test_no_pairs_leave_a_group(spark):
     assert len(ball) - 1 <= found <= len(ball) * blocks
 
 
+def test_postings_are_never_broadcast(spark):
+    nodes = materialise(spark.range(2000).selectExpr("xxhash64(id) AS id"))  # 34 times as many postings, sized as the nodes
+    plan = simhash.tables(nodes)._jdf.queryExecution().executedPlan().toString()
+    release(nodes)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_edges(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     rows = odd(spark).selectExpr("*", "doc_id * 0 AS fp").withColumnRenamed("lang", "component")
