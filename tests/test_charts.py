@@ -71,3 +71,10 @@ def test_annual_values_of_penalised_lines(spark):
         assert r.NDVI_VT_dur == y1 - y0 and r.NDVI_VT_fit == pytest.approx(f0 + (f1 - f0) * (r.year - y0) / (y1 - y0), abs=1e-5)
         seen += 1
     assert seen == 7 * len(lines)
+
+
+def test_annual_values_leave_out_pixels_without_a_year(spark):
+    obs = observations(spark, SF)
+    gone = obs.select("px").first().px
+    got = {r.px for r in Q.verdet_annual(obs.where(~((F.col("px") == gone) & (F.col("yr") == 1998)))).select("px").distinct().collect()}
+    assert got == {r.px for r in obs.select("px").distinct().collect()} - {gone}
