@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import pow
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,17 +44,32 @@ def reduce_bands(df: DataFrame, bands: list[str], keys: list[str], reducer: Call
     return df.groupBy(*keys).agg(*[reducer(F.col(b)).alias(b) for b in bands], F.count(bands[0]).alias("compositeObsCount"))
 
 
+def _squares(*off: Column) -> Column:
+    """Sum of squares by the C library's pow, as other engines have it: it rounds some squares unlike a product or the JVM's pow."""
+
+    def run(*columns: pd.Series) -> pd.Series:
+        square = [pd.Series([pow(x, 2.0) if abs(x) < 1e150 else x * x for x in c.astype(float)], dtype="float64") for c in columns]
+        return reduce(lambda a, b: a + b, square)  # in order, rounded at each step
+
+    return F.pandas_udf(run, "double")(*off)
+
+
 def medoid(df: DataFrame, bands: list[str], keys: list[str], near: list[str] = MEDOID_BANDS, ties: list[str] = TIES) -> DataFrame:
     """The whole observation nearest to the medians of ``near``; ties go to the earliest. Adds its date.
 
-    Medians are window expressions and the choice an aggregate over the same keys, so the rows are shuffled once.
+    Medians and the least distance are window expressions and the choice an aggregate over the same keys, so the rows are
+    shuffled once. Two observations are as far from their medians but for rounding, so the last bit decides: the rows
+    that are nearest but for some bits, hardly more than one a composite, are compared by ``_squares``.
     """
     over = Window.partitionBy(*keys)
     rows = df.withColumns({f"_m_{b}": F.median(b).over(over) for b in near})
-    far = reduce(lambda a, b: a + b, [F.pow(F.col(b) - F.col(f"_m_{b}"), dbl(2)) for b in near])
-    rows = rows.withColumn("_far", far)
+    off = [F.col(b) - F.col(f"_m_{b}") for b in near]
+    rows = rows.withColumn("_far", reduce(lambda a, b: a + b, [d * d for d in off]))
+    rows = rows.withColumns({"_n": F.count("_far").over(over), "_least": F.min("_far").over(over)})
+    rows = rows.where((F.col("_far") <= F.col("_least") * dbl(1 + 1e-12)) | F.col("_least").isNull())
+    rows = rows.withColumn("_far", F.when(F.col("_far").isNotNull(), _squares(*off)))
     best = F.min_by(F.struct(*bands, "t"), F.when(F.col("_far").isNotNull(), F.struct("_far", *ties)))
-    out = rows.groupBy(*keys).agg(best.alias("_b"), F.count("_far").alias("compositeObsCount"))
+    out = rows.groupBy(*keys).agg(best.alias("_b"), F.first("_n").alias("compositeObsCount"))
     out = out.select(*keys, *[F.col(f"_b.{b}").alias(b) for b in bands], "compositeObsCount", F.col("_b.t").alias("t"))
     return out.withColumns({"obs_year": F.year("t"), "julianDay": F.dayofyear("t")})
 
