@@ -11,12 +11,12 @@ from tests.compare import same
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name, first", [("composite_medoid", dt.datetime(1996, 6, 10)), ("composite_wrapped_medoid", dt.datetime(1996, 10, 10))])
-def test_medoids_of_two_observations(spark, tmp_path, name, first):
+@pytest.mark.parametrize("name, month, years", [("composite_medoid", 6, 1), ("composite_wrapped_medoid", 10, 1), ("recipe_landsat", 6, 5)])
+def test_medoids_of_two_observations(spark, tmp_path, name, month, years):
     rng = random.Random(5)
     rows = [
-        (rng.randrange(10**6), rng.randrange(20_000), px, rng.choice([1, 5]), float(rng.randrange(1, 51)), round(rng.uniform(900, 105_000), 2), rng.randrange(11) / 100, rng.randrange(9) / 100, "A", "O", first + dt.timedelta(days=rng.randrange(100)))
-        for px in range(12_000) for _ in range(2)
+        (rng.randrange(10**6), rng.randrange(20_000), px, rng.choice([1, 5]), float(rng.randrange(1, 51)), round(rng.uniform(900, 105_000), 2), rng.randrange(11) / 100, rng.randrange(9) / 100, "A", "O", dt.datetime(1996 + y, month, 10) + dt.timedelta(days=rng.randrange(100)))
+        for px in range(12_000 // years) for y in range(years) for _ in range(2)
     ]
     columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
     spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
